@@ -15,12 +15,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from growthlens.config import LOCATION_YEAR, PAIR, PeriodSpec
 from growthlens.functions.growth import sign_class
 from growthlens.functions.scaling import minmax, share, standard
-from growthlens.operators.aggregates import struct_scalar, trend_table
+from growthlens.operators.aggregates import trend_table
 from growthlens.operators.panel import fill_zero, split_panel
 from growthlens.operators.ranking import global_rank
 from growthlens.plans.attach import BROADCAST_ROWS, attach
 from growthlens.plans.materialise import materialise
 
+MOMENTS = ("min", "max", "mean", "std")
 FEATURE_COLUMNS = [
     *PAIR,
     "year",
@@ -118,8 +119,8 @@ def _roll_up_trend(groups: DataFrame) -> DataFrame:
     )
 
 
-def global_moments(groups: DataFrame) -> Column:
-    """Moments of value and share over all kept rows, as one scalar subquery.
+def global_moments(groups: DataFrame) -> dict[str, Column]:
+    """Moments of value and share over all kept rows: one row, fetched as constants.
 
     Within a location and year the share is the value over a constant, so its
     moments there are the value's over that constant. Groups without a total
@@ -128,24 +129,25 @@ def global_moments(groups: DataFrame) -> Column:
     total = F.col("export_total_loc_year")
     base = groups.select(
         F.col("n").alias("value_n"),
-        *[F.col(f"value_{m}") for m in ("min", "max", "mean", "std")],
+        *[F.col(f"value_{m}") for m in MOMENTS],
         F.when(total != 0, F.col("n")).alias("share_n"),
-        *[share(F.col(f"value_{m}"), total).alias(f"share_{m}") for m in ("min", "max", "mean", "std")],
+        *[share(F.col(f"value_{m}"), total).alias(f"share_{m}") for m in MOMENTS],
     )
-    centres = struct_scalar(
-        base, **{k: _pooled_mean(F.col(f"{k}_n"), F.col(f"{k}_mean")) for k in ("value", "share")}
-    )
-    base = base.withColumns({f"{k}_centre": centres.getField(k) for k in ("value", "share")})
-    out = {}
+    centres = base.agg(
+        *[_pooled_mean(F.col(f"{k}_n"), F.col(f"{k}_mean")).alias(k) for k in ("value", "share")]
+    ).first()
+    out = []
     for k in ("value", "share"):
         n, mean, std = (F.col(f"{k}_{m}") for m in ("n", "mean", "std"))
-        out |= {
-            f"{k}_min": F.min(f"{k}_min"),
-            f"{k}_max": F.max(f"{k}_max"),
-            f"{k}_mean": F.max(f"{k}_centre"),
-            f"{k}_std": _pooled_std(n, mean, std, F.col(f"{k}_centre")),
-        }
-    return struct_scalar(base, **out)
+        centre = F.lit(centres[k]).cast("double")
+        out += [
+            F.min(f"{k}_min").alias(f"{k}_min"),
+            F.max(f"{k}_max").alias(f"{k}_max"),
+            centre.alias(f"{k}_mean"),
+            _pooled_std(n, mean, std, centre).alias(f"{k}_std"),
+        ]
+    found = base.agg(*out).first().asDict()
+    return {name: F.lit(value).cast("double") for name, value in found.items()}
 
 
 def build_features(panel: DataFrame, spec: PeriodSpec, broadcast_rows: int = BROADCAST_ROWS) -> Features:
@@ -173,19 +175,25 @@ def build_features(panel: DataFrame, spec: PeriodSpec, broadcast_rows: int = BRO
     rows = materialise(rows, "split_rows")
     groups = materialise(_group_statistics(rows), "groups")
     trend = _roll_up_trend(groups)
-    lookup = groups.drop("trend_min", "trend_max", "trend_mean", "trend_std").join(trend, "location_id")
+    lookup = groups.drop(*[f"trend_{m}" for m in MOMENTS]).join(trend, "location_id")
     attached = attach(
-        rows.filter("kept").drop("kept"), lookup, LOCATION_YEAR, ["product_id"], "inner", broadcast_rows
+        rows.filter("kept").drop("kept"),
+        lookup,
+        LOCATION_YEAR,
+        ["product_id"],
+        "inner",
+        broadcast_rows,
+        sized_by=groups,
     )
 
     value, total, trend = F.col("export_value"), F.col("export_total_loc_year"), F.col("export_trend")
     pct = share(value, total)
-    everywhere = global_moments(groups).getField
-    in_group = [F.col(f"value_{m}") for m in ("min", "max", "mean", "std")]
+    everywhere = global_moments(groups)
+    in_group = [F.col(f"value_{m}") for m in MOMENTS]
     in_group_pct = [share(m, total) for m in in_group]
-    in_location = [F.col(f"trend_{m}") for m in ("min", "max", "mean", "std")]
-    all_value = [everywhere(f"value_{m}") for m in ("min", "max", "mean", "std")]
-    all_pct = [everywhere(f"share_{m}") for m in ("min", "max", "mean", "std")]
+    in_location = [F.col(f"trend_{m}") for m in MOMENTS]
+    all_value = [everywhere[f"value_{m}"] for m in MOMENTS]
+    all_pct = [everywhere[f"share_{m}"] for m in MOMENTS]
     scaled = {"export_pct": pct}
     for name, column, stats in (
         ("export_val_{}_all", value, all_value),

@@ -29,15 +29,19 @@ def attach(
     spread_by: Sequence[str],
     how: str = "left",
     broadcast_rows: int = BROADCAST_ROWS,
+    sized_by: DataFrame | None = None,
 ) -> DataFrame:
     """``rows`` joined with ``lookup`` on ``keys`` (``left`` or ``inner``).
 
     ``rows`` is read more than once in the shuffled form, so it should be a
     written table. ``spread_by`` names columns that differ between rows of one
     key; they decide the slice of a hot key's rows, and always decide the same.
+    ``sized_by`` is a written table known to have no fewer rows than ``lookup``;
+    without it the lookup is written here so that it can be counted.
     """
-    lookup = materialise(lookup, "lookup")
-    if fits(lookup, broadcast_rows):
+    if sized_by is None:
+        lookup = sized_by = materialise(lookup, "lookup")
+    if fits(sized_by, broadcast_rows):
         return rows.join(F.broadcast(lookup), list(keys), how)
     return spread_join(rows, lookup, keys, spread_by, how)
 

@@ -90,10 +90,10 @@ def prep_tables(panel: DataFrame, splits: Splits, train: Features, test: Feature
 
 def _undo(kind: str, value: Column, features: Features) -> Column:
     """Back from scaled to amounts, by the moments of the given period."""
-    moment = global_moments(features.groups).getField
+    moment = global_moments(features.groups)
     if kind == "knn":
-        return unminmax(value, moment("value_min"), moment("value_max"))
-    return destandardise(value, moment("value_mean"), moment("value_std"))
+        return unminmax(value, moment["value_min"], moment["value_max"])
+    return destandardise(value, moment["value_mean"], moment["value_std"])
 
 
 def fit_model(train: Features, cfg: RunConfig):

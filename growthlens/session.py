@@ -13,6 +13,7 @@ def local_session(cores: int = 8, partitions: int | None = None, memory: str = "
         SparkSession.builder.master(f"local[{cores}]")
         .appName("growthlens")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(partitions or cores))
         .config("spark.sql.adaptive.enabled", "true")
