@@ -183,7 +183,7 @@ def build_features(panel: DataFrame, spec: PeriodSpec, broadcast_rows: int = BRO
         ["product_id"],
         "inner",
         broadcast_rows,
-        sized_by=groups,
+        lookup_rows=groups.count(),
     )
 
     value, total, trend = F.col("export_value"), F.col("export_total_loc_year"), F.col("export_trend")

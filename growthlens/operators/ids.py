@@ -2,26 +2,36 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from growthlens.plans.attach import fits
 from growthlens.plans.materialise import materialise
 
 ONE_TASK_ROWS = 100_000  # distinct values that may be numbered by one task
 BUCKETS = 4_096
 
 
-def dense_ids(distinct: DataFrame, column: str, name: str, one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
+@dataclass(frozen=True)
+class Numbering:
+    """Distinct values with their numbers, and how many there are."""
+
+    table: DataFrame
+    size: int
+
+
+def dense_ids(df: DataFrame, column: str, name: str, one_task_rows: int = ONE_TASK_ROWS) -> Numbering:
     """Number the distinct values of ``column`` from 0.
 
     A list checked to be short is numbered in value order. A longer one is
     numbered by hash bucket: positions within a bucket, shifted by the sizes of
     the buckets before it. Both depend on the set of values only.
     """
-    values = materialise(distinct.select(column), "ids")
-    if fits(values, one_task_rows):
+    values = materialise(df.select(column).filter(F.col(column).isNotNull()).distinct(), "ids")
+    size = values.count()
+    if size <= one_task_rows:
         position = F.row_number().over(Window.orderBy(column))
-        return values.withColumn(name, (position - 1).cast("long"))
+        return Numbering(values.withColumn(name, (position - 1).cast("long")), size)
 
     values = values.withColumn("_bucket", F.pmod(F.xxhash64(column), F.lit(BUCKETS)).cast("int"))
     sizes = values.groupBy("_bucket").count().orderBy("_bucket").collect()  # at most BUCKETS rows
@@ -32,8 +42,9 @@ def dense_ids(distinct: DataFrame, column: str, name: str, one_task_rows: int =
     schema = T.StructType([T.StructField("_bucket", T.IntegerType()), T.StructField("_below", T.LongType())])
     offsets = values.sparkSession.createDataFrame(starts, schema)
     position = F.row_number().over(Window.partitionBy("_bucket").orderBy(column))
-    return (
+    numbered = (
         values.withColumn("_position", position - 1)
         .join(F.broadcast(offsets), "_bucket")
         .select(column, (F.col("_below") + F.col("_position")).alias(name))
     )
+    return Numbering(numbered, size)

@@ -17,11 +17,6 @@ from growthlens.plans.materialise import materialise
 BROADCAST_ROWS = 200_000  # rows of a lookup that may be broadcast
 
 
-def fits(table: DataFrame, bound: int) -> bool:
-    """Whether a written table has at most ``bound`` rows; Parquet footers hold the answer."""
-    return table.count() <= bound
-
-
 def attach(
     rows: DataFrame,
     lookup: DataFrame,
@@ -29,21 +24,21 @@ def attach(
     spread_by: Sequence[str],
     how: str = "left",
     broadcast_rows: int = BROADCAST_ROWS,
-    sized_by: DataFrame | None = None,
+    lookup_rows: int | None = None,
 ) -> DataFrame:
     """``rows`` joined with ``lookup`` on ``keys`` (``left`` or ``inner``).
 
-    ``rows`` is read more than once in the shuffled form, so it should be a
-    written table. ``spread_by`` names columns that differ between rows of one
-    key; they decide the slice of a hot key's rows, and always decide the same.
-    ``sized_by`` is a written table known to have no fewer rows than ``lookup``;
-    without it the lookup is written here so that it can be counted.
+    ``spread_by`` names columns that differ between rows of one key; they decide
+    the slice of a hot key's rows, and always decide the same. ``lookup_rows`` is
+    the size of the lookup, or more, where that is known; otherwise the lookup is
+    written here so that it can be counted.
     """
-    if sized_by is None:
-        lookup = sized_by = materialise(lookup, "lookup")
-    if fits(sized_by, broadcast_rows):
+    if lookup_rows is None:
+        lookup = materialise(lookup, "lookup")
+        lookup_rows = lookup.count()  # answered by the Parquet footers
+    if lookup_rows <= broadcast_rows:
         return rows.join(F.broadcast(lookup), list(keys), how)
-    return spread_join(rows, lookup, keys, spread_by, how)
+    return spread_join(materialise(rows, "rows"), lookup, keys, spread_by, how)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -60,6 +55,7 @@ def spread_join(
 ) -> DataFrame:
     """Shuffle join in which a key with more than one partition's share of rows is sliced.
 
+    ``rows`` is read three times and should be a written table.
     With P shuffle partitions fewer than P keys can exceed ``1/P`` of the rows,
     and they get fewer than 2 P slices together, which bounds both what is
     broadcast here and how often lookup rows are repeated.

@@ -8,18 +8,45 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from growthlens.operators.ids import dense_ids
 
-LINE_COLUMNS = ["l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice", "l_discount"]
+# The columns read from each table. A stated schema spares a job per table that would infer it.
+TABLES = {
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_extendedprice double, l_discount double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderdate timestamp_ntz",
+    "supplier": "s_suppkey bigint, s_nationkey int",
+    "customer": "c_custkey bigint, c_nationkey int",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string",
+    "nation": "n_nationkey int, n_name string",
+    "events": "ts timestamp_ntz, user_id bigint, value double, props string",
+}
+
+UNITS = 10_000  # a price in cents times a discount in percent points
+HIGH = 1_000_000  # units per step of the high part of a split sum
+
+
+def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.schema(TABLES[name]).parquet(f"{folder}/{name}.parquet")
 
 
 def read_tables(spark: SparkSession, folder: str, names: Sequence[str]) -> dict[str, DataFrame]:
-    return {n: spark.read.parquet(f"{folder}/{n}.parquet") for n in names}
+    return {n: read_table(spark, folder, n) for n in names}
 
 
-def line_value() -> Column:
-    """Discounted price as an exact decimal, so that sums do not depend on their order."""
-    price = F.col("l_extendedprice").cast("decimal(12,2)")
-    discount = F.col("l_discount").cast("decimal(4,2)")
-    return price * (F.lit(1).cast("decimal(4,2)") - discount)
+def line_units() -> Column:
+    """Discounted price in whole ten-thousandths, so that sums do not depend on their order."""
+    cents = F.rint(F.col("l_extendedprice") * 100).cast("long")
+    kept = F.lit(100) - F.rint(F.col("l_discount") * 100).cast("long")
+    return cents * kept
+
+
+def sum_of_units(units: str) -> Column:
+    """Exact sum of whole units as an amount.
+
+    Summed as high and low part: two 64-bit sums stay in generated code, where a
+    decimal sum would not, and neither can overflow at any realistic size.
+    """
+    high = F.sum(F.expr(f"{units} div {HIGH}")).cast("double")
+    low = F.sum(F.col(units) % HIGH).cast("double")
+    return (high * HIGH + low) / UNITS
 
 
 def in_years(orders: DataFrame, years: tuple[int, int] | None) -> DataFrame:
@@ -32,7 +59,7 @@ def in_years(orders: DataFrame, years: tuple[int, int] | None) -> DataFrame:
 
 def product_lookup(part: DataFrame, product: str) -> DataFrame:
     """``l_partkey -> product_id``, numbering the names of a text column."""
-    names = dense_ids(part.select(product).distinct(), product, "product_id")
+    names = dense_ids(part, product, "product_id").table
     return part.select(F.col("p_partkey").alias("l_partkey"), product).join(names, product).drop(product)
 
 
@@ -63,34 +90,29 @@ def build_panel(
     suppliers = tables["supplier"].select(
         F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").cast("long").alias("exporter")
     )
-    lines = tables["lineitem"].select(*LINE_COLUMNS).join(suppliers, "l_suppkey")
+    lines = tables["lineitem"].join(suppliers, "l_suppkey")
     if product == "p_partkey":
         lines = lines.withColumn("product_id", F.col("l_partkey").cast("long"))
     else:
         lines = lines.join(product_lookup(tables["part"], product), "l_partkey")
+    lines = lines.select("l_orderkey", "product_id", "exporter", line_units().alias("units"))
+    none = F.lit(None).cast("long")
     flows = F.explode(
         F.array(
             F.struct(
-                F.col("exporter").alias("location_id"),
-                F.col("value").alias("export"),
-                F.lit(None).cast("decimal(18,4)").alias("import"),
+                F.col("exporter").alias("location_id"), F.col("units").alias("export"), none.alias("import")
             ),
             F.struct(
-                F.col("importer").alias("location_id"),
-                F.lit(None).cast("decimal(18,4)").alias("export"),
-                F.col("value").alias("import"),
+                F.col("importer").alias("location_id"), none.alias("export"), F.col("units").alias("import")
             ),
         )
     )
     return (
         lines.join(orders, "l_orderkey")
-        .select("product_id", "year", "exporter", "importer", line_value().cast("decimal(18,4)").alias("value"))
         .select("product_id", "year", flows.alias("flow"))
-        .groupBy("flow.location_id", "product_id", "year")
-        .agg(
-            F.sum("flow.export").cast("double").alias("export_value"),
-            F.sum("flow.import").cast("double").alias("import_value"),
-        )
+        .select("flow.*", "product_id", "year")
+        .groupBy("location_id", "product_id", "year")
+        .agg(sum_of_units("export").alias("export_value"), sum_of_units("import").alias("import_value"))
     )
 
 
@@ -102,24 +124,24 @@ def trade_panel(
 
 
 def nations_as_locations(spark: SparkSession, folder: str) -> DataFrame:
-    nation = spark.read.parquet(f"{folder}/nation.parquet")
+    nation = read_table(spark, folder, "nation")
     return nation.select(F.col("n_nationkey").cast("long").alias("index"), F.col("n_name").alias("name_en"))
 
 
 def parts_as_classes(spark: SparkSession, folder: str) -> DataFrame:
     """Fine classes are parts; coarse classes are brands, numbered in name order."""
-    part = spark.read.parquet(f"{folder}/part.parquet")
+    part = read_table(spark, folder, "part")
     fine = part.select(
         F.col("p_partkey").cast("long").alias("index"), F.col("p_name").alias("name"), F.lit("6digit").alias("level")
     )
-    brands = dense_ids(part.select("p_brand").distinct(), "p_brand", "index")
-    coarse = brands.select("index", F.col("p_brand").alias("name"), F.lit("2digit").alias("level"))
+    brands = dense_ids(part, "p_brand", "index")
+    coarse = brands.table.select("index", F.col("p_brand").alias("name"), F.lit("2digit").alias("level"))
     return fine.unionByName(coarse)
 
 
 def event_panel(spark: SparkSession, folder: str) -> DataFrame:
     """Another panel of the same shape: users as locations, the event key as product, day as period."""
-    events = spark.read.parquet(f"{folder}/events.parquet")
+    events = read_table(spark, folder, "events")
     key = F.get_json_object("props", "$.k").cast("long")
     return (
         events.select(
