@@ -76,39 +76,37 @@ def null_report(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
 
 
 def key_cardinality(df: DataFrame, columns: Sequence[str], approximate: bool = False) -> DataFrame:
-    """Largest id and number of distinct values per column; NULL counts as a value.
+    """Largest value and number of distinct values per numeric column; NULL counts as a value.
 
-    The exact form groups by each column first, so that distinct values are
-    merged map-side and counted in parallel. ``approximate`` uses one sketch pass.
+    The exact form merges distinct values map-side and counts them in parallel.
+    ``approximate`` takes one sketch per column instead, in a single pass.
     """
     columns = col_names(columns)
+    largest = [F.max(c).cast("double").alias(f"max_{c}") for c in columns]
     if approximate:
-        row = df.agg(
-            *[F.max(c).cast("long").alias(f"max_{c}") for c in columns],
-            *[
-                (F.approx_count_distinct(c) + F.max(F.col(c).isNull().cast("int"))).alias(f"n_{c}")
-                for c in columns
-            ],
-        )
-        entry = [
-            F.struct(
-                F.lit(c).alias("column"),
-                F.col(f"max_{c}").alias("max_id"),
-                F.col(f"n_{c}").alias("distinct_values"),
-            )
-            for c in columns
-        ]
-        return row.select(F.explode(F.array(*entry)).alias("e")).select("e.*")
+        has_null = {c: F.max(F.col(c).isNull().cast("int")) for c in columns}
+        counts = [(F.approx_count_distinct(c) + has_null[c]).alias(f"n_{c}") for c in columns]
+        return _per_column(df.agg(*largest, *counts), columns, max_value="max_", distinct_values="n_")
     cells = F.explode(
-        F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("long").alias("id")) for c in columns])
+        F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])
     )
-    return (
+    counts = (
         df.select(cells.alias("e"))
-        .select("e.column", "e.id")
+        .select("e.*")
         .distinct()
         .groupBy("column")
-        .agg(F.max("id").alias("max_id"), F.count(F.lit(1)).alias("distinct_values"))
+        .agg(F.count(F.lit(1)).alias("distinct_values"))
     )
+    return _per_column(df.agg(*largest), columns, max_value="max_").join(counts, "column")
+
+
+def _per_column(row: DataFrame, columns: Sequence[str], **prefixes: str) -> DataFrame:
+    """One row of per-column aggregates as one row per column."""
+    entries = [
+        F.struct(F.lit(c).alias("column"), *[F.col(f"{p}{c}").alias(name) for name, p in prefixes.items()])
+        for c in columns
+    ]
+    return row.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
 
 
 def shape(df: DataFrame) -> tuple[int, int]:

@@ -73,9 +73,9 @@ def _plan_ranks(df: DataFrame, columns: Sequence[str], weight: Column) -> list[R
     """Two passes over the ranked columns: cuts for all of them, then weights per bucket."""
     buckets = _bucket_count(df)
     probabilities = [i / buckets for i in range(1, buckets)]
-    accuracy = max(1_000, 8 * buckets)
+    accuracy = max(1_000, 2 * buckets)  # bounds the sketches that meet in the final task
     quantiles = df.agg(*[F.percentile_approx(_clean(c), probabilities, accuracy) for c in columns]).first()
-    cut_lists = [_cuts(q or []) for q in quantiles]
+    cut_lists = [_cuts(q or [0.0]) for q in quantiles]
 
     bucketed = _with_buckets(df.select(*columns, weight.alias("_weight")), columns, [c for c, _ in cut_lists])
     cells = F.explode(

@@ -317,7 +317,7 @@ def _nulls(column: str) -> str:
 
 
 def _cardinality(column: str) -> str:
-    return f"""SELECT '{column}' AS "column", max({column})::BIGINT AS max_id,
+    return f"""SELECT '{column}' AS "column", max({column})::DOUBLE AS max_value,
   count(DISTINCT {column}) + max(({column} IS NULL)::INTEGER) AS distinct_values FROM panel_raw"""
 
 
