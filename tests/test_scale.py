@@ -1,0 +1,96 @@
+"""Hot keys and size bounds: the shuffled forms must give what the broadcast forms give."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from growthlens.operators.ids import dense_ids
+from growthlens.operators.scaling import scale_global, scale_grouped
+from growthlens.plans import attach as attach_module
+from growthlens.plans.attach import attach, spread_join
+from growthlens.plans.materialise import materialise, shared_folder
+
+from conftest import by_key
+
+
+@pytest.fixture(scope="module")
+def hot(spark):
+    """Key 0 holds a third of the rows."""
+    key = F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50 + 1)
+    return materialise(spark.range(3_000).select("id", key.alias("k"), (F.col("id") % 17).cast("double").alias("v")))
+
+
+@pytest.mark.parametrize("how", ["left", "inner"])
+def test_spread_join_equals_plain_join(spark, hot, how):
+    lookup = spark.range(0, 45).select(F.col("id").alias("k"), (F.col("id") * 10).alias("x"))
+    want = sorted(hot.join(lookup, "k", how).select("k", "id", "v", "x").collect(), key=str)
+    for rows_allowed in (0, 1_000):
+        got = attach(hot, lookup, ["k"], ["id"], how, broadcast_rows=rows_allowed)
+        assert sorted(got.select("k", "id", "v", "x").collect(), key=str) == want
+
+
+def test_hot_key_is_spread_over_tasks(spark, hot, monkeypatch):
+    seen = {}
+    original = attach_module.slice_of
+
+    def spy(spread_by, slices):
+        seen["slices"] = slices
+        return original(spread_by, slices)
+
+    monkeypatch.setattr(attach_module, "slice_of", spy)
+    lookup = spark.range(0, 60).select(F.col("id").alias("k"))
+    assert spread_join(hot, lookup, ["k"], ["id"]).count() == 3_000
+    # With 4 partitions only the hot key has more than a fair share: ceil(4 / 3) slices.
+    assert seen["slices"] is not None
+
+
+def test_grouped_scaling_in_both_forms(hot):
+    targets = {"v": {"norm": "n", "std": "s"}}
+    small = by_key(scale_grouped(hot, ["k"], targets, ["id"]), "id")
+    large = by_key(scale_grouped(hot, ["k"], targets, ["id"], broadcast_rows=0), "id")
+    assert small == large
+
+
+def test_scaling_of_edge_groups(frame):
+    rows = [("a", 2.0), ("a", 4.0), ("a", 6.0), ("b", 5.0), ("b", 5.0), ("c", 7.0), ("d", None), ("e", 0.1), ("e", 0.1), ("e", 0.1)]
+    df = frame([(i, *r) for i, r in enumerate(rows)], "id long, g string, x double")
+    got = by_key(scale_grouped(df, "g", {"x": {"norm": "n", "std": "s"}}, ["id"]), "id")
+    assert [got[(i,)]["n"] for i in range(10)] == [0.0, 0.5, 1.0] + [0.0] * 7
+    assert [got[(i,)]["s"] for i in range(10)] == [-1.0, 0.0, 1.0] + [0.0] * 7
+
+
+def test_global_scaling_bounds(frame):
+    df = frame([(i, float(i * i)) for i in range(20)], "id long, x double")
+    out = scale_global(df, {"x": {"norm": "n", "std": "s"}})
+    m = out.agg(F.min("n"), F.max("n"), F.avg("s"), F.stddev_samp("s")).first()
+    assert tuple(m) == pytest.approx((0.0, 1.0, 0.0, 1.0), abs=1e-12)
+    assert scale_global(df.limit(1), {"x": {"norm": "n", "std": "s"}}).first()["s"] == 0.0
+
+
+def test_grouped_scaling_uses_no_window(hot):
+    plan = scale_grouped(hot, ["k"], {"v": {"norm": "n"}}, ["id"])._jdf.queryExecution().toString()
+    assert "Window" not in plan and "Python" not in plan
+
+
+@pytest.mark.parametrize("one_task_rows", [100_000, 0])
+def test_dense_ids_are_consecutive_and_unique(spark, one_task_rows):
+    df = spark.range(500).select(F.concat(F.lit("n"), F.col("id") % 123).alias("name"))
+    numbering = dense_ids(df, "name", "number", one_task_rows)
+    rows = numbering.table.collect()
+    assert numbering.size == len(rows) == 123
+    assert sorted(r["number"] for r in rows) == list(range(123))
+    if one_task_rows:
+        assert [r["name"] for r in sorted(rows, key=lambda r: r["number"])] == sorted(r["name"] for r in rows)
+
+
+def test_materialised_frame_reads_back_identically(frame):
+    df = frame([(1, None, "a"), (2, float("inf"), None)], "id long, x double, s string")
+    again = materialise(df)
+    assert again.schema == df.schema
+    assert sorted(again.collect()) == sorted(df.collect())
+    assert "ExistingRDD" not in again._jdf.queryExecution().toString()
+
+
+def test_shared_folder_comes_from_the_session(spark):
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured:
+        assert shared_folder(spark) == configured.rstrip("/")
