@@ -19,7 +19,7 @@ from growthlens.operators.aggregates import trend_table
 from growthlens.operators.panel import fill_zero, split_panel
 from growthlens.operators.ranking import global_rank
 from growthlens.plans.attach import BROADCAST_ROWS, attach
-from growthlens.plans.materialise import materialise
+from growthlens.plans.materialise import materialise, materialise_by
 
 MOMENTS = ("min", "max", "mean", "std")
 FEATURE_COLUMNS = [
@@ -56,7 +56,7 @@ class Features:
     groups: DataFrame
 
 
-def pair_features(panel: DataFrame, spec: PeriodSpec) -> DataFrame:
+def pair_features(panel: DataFrame, spec: PeriodSpec, colocate: bool = False) -> DataFrame:
     """Trend table plus sign class and percentile rank, ranked over panel rows."""
     pairs = materialise(trend_table(panel, spec), "pairs")
     ranked = global_rank(
@@ -68,9 +68,8 @@ def pair_features(panel: DataFrame, spec: PeriodSpec) -> DataFrame:
         pct=True,
         weight="rows",
     )
-    return materialise(
-        ranked.withColumn("export_trend_class", sign_class(F.col("export_trend"))), "pair_features"
-    )
+    ranked = ranked.withColumn("export_trend_class", sign_class(F.col("export_trend")))
+    return materialise_by(ranked, PAIR, "pair_features") if colocate else materialise(ranked, "pair_features")
 
 
 def _group_statistics(rows: DataFrame) -> DataFrame:
@@ -150,9 +149,15 @@ def global_moments(groups: DataFrame) -> dict[str, Column]:
     return {name: F.lit(value).cast("double") for name, value in found.items()}
 
 
-def build_features(panel: DataFrame, spec: PeriodSpec, broadcast_rows: int = BROADCAST_ROWS) -> Features:
-    """Features of one split. ``panel`` is clean and should be a written table."""
-    pairs = pair_features(panel, spec)
+def build_features(
+    panel: DataFrame, spec: PeriodSpec, broadcast_rows: int = BROADCAST_ROWS, colocate: bool = False
+) -> Features:
+    """Features of one split. ``panel`` is clean and should be a written table.
+
+    ``colocate`` buckets the pair table by pair. With a panel bucketed alike,
+    neither the half sums nor the join of pairs and rows shuffle the panel.
+    """
+    pairs = pair_features(panel, spec, colocate)
     rows = (
         split_panel(panel, spec)
         .select(*PAIR, "year", "export_value")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from growthlens.config import require
+from growthlens.plans.materialise import materialise
 
 DISPLAY_COLUMNS = [
     "product_id",
@@ -30,7 +31,12 @@ def classes_of_level(classes: DataFrame, level: str) -> DataFrame:
 
 
 def with_names(recommended: DataFrame, classes: DataFrame) -> DataFrame:
-    """Add product names. The catalogue is cut to the recommended products before the outer join."""
+    """Add product names.
+
+    The recommended rows are few and written first. The catalogue, which may be
+    large, is cut to their products before the outer join.
+    """
+    recommended = materialise(recommended, "recommended")
     names = classes.select(F.col("index").alias("product_id"), "name")
     wanted = recommended.select("product_id").distinct()
     return recommended.join(names.join(wanted, "product_id", "left_semi"), "product_id", "left")

@@ -30,7 +30,10 @@ from growthlens.operators.recommend import (
     top_n_all,
     with_names,
 )
-from growthlens.plans.materialise import materialise
+from growthlens.plans.materialise import materialise, materialise_by
+
+
+COLOCATE_ROWS = 10_000_000
 
 
 @dataclass(frozen=True)
@@ -46,6 +49,7 @@ class RunConfig:
     n: int = 50
     new_goods_only: bool = False
     inverted: bool = False  # rank of actual change within the top: 1 is the lowest
+    colocate: bool | None = None  # bucket panel and pairs by pair; None: from COLOCATE_ROWS rows on
     model_options: dict = field(default_factory=dict)
 
 
@@ -59,9 +63,23 @@ class RunResult:
     model: object
 
 
-def split_features(panel: DataFrame, splits: Splits) -> tuple[Features, Features]:
+def write_panel(panel: DataFrame, colocate: bool | None = None) -> tuple[DataFrame, bool]:
+    """The panel as a written table, and whether it is bucketed by pair.
+
+    A run groups the panel by pair and joins it with pair tables several times.
+    For a large one a single shuffle into buckets replaces those.
+    """
+    if colocate is None:
+        panel = materialise(panel, "panel")
+        colocate = panel.count() >= COLOCATE_ROWS
+        return (materialise_by(panel, PAIR, "panel") if colocate else panel), colocate
+    return (materialise_by(panel, PAIR, "panel") if colocate else materialise(panel, "panel")), colocate
+
+
+def split_features(panel: DataFrame, splits: Splits, colocate: bool = False) -> tuple[Features, Features]:
     """Features of both periods from one written panel."""
-    return build_features(panel, splits.train), build_features(panel, splits.test)
+    train, test = (build_features(panel, spec, colocate=colocate) for spec in (splits.train, splits.test))
+    return train, test
 
 
 def prep_tables(panel: DataFrame, splits: Splits, train: Features, test: Features) -> dict[str, DataFrame]:
@@ -140,8 +158,7 @@ def recommend(scored: DataFrame, classes: DataFrame, cfg: RunConfig, location: i
     else:
         rows = scored.filter(F.col("export_period_train") == 0) if cfg.new_goods_only else scored
         top = top_n_all(rows, year, cfg.n)
-    top = materialise(rank_within(top, cfg.inverted), "top")
-    return with_names(top, classes).select("location_id", *DISPLAY_COLUMNS)
+    return with_names(rank_within(top, cfg.inverted), classes).select("location_id", *DISPLAY_COLUMNS)
 
 
 def run_pipeline(
@@ -154,8 +171,8 @@ def run_pipeline(
 ) -> RunResult:
     """Clean panel in, recommendations out. Pass ``model`` to use one fitted earlier."""
     location = location_id_of(locations, location_name) if location_name is not None else None
-    panel = materialise(panel, "panel")
-    train, test = split_features(panel, cfg.splits)
+    panel, colocate = write_panel(panel, cfg.colocate)
+    train, test = split_features(panel, cfg.splits, colocate)
     predictions, model = predict(train, test, cfg, model)
     pairs = score_pairs(train, test, predictions, cfg)
     scored = expand(pairs, panel, cfg.splits.test)

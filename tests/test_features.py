@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from growthlens.config import PeriodSpec, Splits
 from growthlens.operators.features import FEATURE_COLUMNS, build_features, global_moments
 from growthlens.plans.materialise import materialise
+from growthlens.plans.pipeline import write_panel
 
 SPLITS = Splits(PeriodSpec(1995, 1997, 1999), PeriodSpec(1999, 2001, 2003))
 PANEL = "location_id long, product_id long, year int, export_value double, import_value double"
@@ -102,3 +103,26 @@ def test_feature_plan_stays_in_the_jvm_and_off_single_partitions(frame):
 def test_empty_split(frame):
     panel = materialise(frame([(1, 1, 1950, 1.0, 1.0)], PANEL))
     assert build_features(panel, SPLITS.train).rows.count() == 0
+
+
+def test_colocated_run_is_equal_and_joins_without_shuffling_the_panel(spark, frame):
+    panel = frame(random_panel(6), PANEL)
+    plain, _ = write_panel(panel, False)
+    bucketed, colocated = write_panel(panel, True)
+    assert colocated and write_panel(panel)[1] is False  # far below the automatic bound
+    want = build_features(plain, SPLITS.train).rows.toPandas()
+    got = build_features(bucketed, SPLITS.train, colocate=True)
+    key = ["location_id", "product_id", "year"]
+    got_rows = got.rows.toPandas()
+    pd.testing.assert_frame_equal(
+        got_rows.sort_values(key).reset_index(drop=True), want.sort_values(key).reset_index(drop=True)
+    )
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for colocal in (
+            bucketed.groupBy("location_id", "product_id").agg(F.sum("export_value")),
+            bucketed.join(got.pairs, ["location_id", "product_id"]),
+        ):
+            assert "Exchange" not in colocal._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
