@@ -31,6 +31,7 @@ from growthlens.operators.recommend import (
     with_names,
 )
 from growthlens.plans.materialise import materialise, materialise_by
+from growthlens.sources.catalog import TableCatalog
 
 
 COLOCATE_ROWS = 10_000_000
@@ -178,3 +179,21 @@ def run_pipeline(
     scored = expand(pairs, panel, cfg.splits.test)
     metrics = validation_report(pairs, "rows" if cfg.level == "row" else None)
     return RunResult(recommend(scored, classes, cfg, location), scored, metrics, train, test, model)
+
+
+def save_run(
+    result: RunResult,
+    clean: TableCatalog,
+    predictions: TableCatalog,
+    predictions_key: str,
+    prep: TableCatalog | None = None,
+    prep_frames: dict[str, DataFrame] | None = None,
+) -> None:
+    """Store a run: train and test replace the clean store, predictions keep the keys beside theirs.
+
+    The named intermediate tables are written only when a store for them is given.
+    """
+    clean.write_all({"train": result.train.rows, "test": result.test.rows}, replace=True)
+    predictions.write(predictions_key, result.scored)
+    if prep is not None:
+        prep.write_all(prep_frames or {}, replace=True)

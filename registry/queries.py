@@ -13,7 +13,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from growthlens.config import CELL, PAIR, PeriodSpec, Splits
 from growthlens.functions.growth import sign_class
 from growthlens.functions.scaling import destandardise, share, unminmax
-from growthlens.models.learned import FactorisationMachine, FactorTrees, MatrixFactorisation, als_grid_search
+from growthlens.models.learned import (
+    FactorisationMachine,
+    FactorTrees,
+    MatrixFactorisation,
+    als_grid_search,
+    evaluate,
+)
 from growthlens.operators.aggregates import (
     key_cardinality,
     location_year_totals,
@@ -447,6 +453,14 @@ def gbt_predictions(spark, folder):
     return _model_predictions(spark, folder, FactorTrees())
 
 
+def model_evaluation(spark, folder):
+    """Losses of the boosted trees on the test rows."""
+    panel = _panel(spark, folder)
+    train, test = build_features(panel, SPLITS.train), build_features(panel, SPLITS.test)
+    model = FactorTrees().fit(materialise(train.rows, "model_rows"))
+    return evaluate(model, materialise(test.rows, "test_rows"))
+
+
 def als_grid(spark, folder):
     train = build_features(_panel(spark, folder), SPLITS.train)
     return als_grid_search(train.rows)[1]
@@ -506,6 +520,7 @@ QUERIES = {
     "als_predictions": als_predictions,
     "fm_predictions": fm_predictions,
     "gbt_predictions": gbt_predictions,
+    "model_evaluation": model_evaluation,
     "als_grid_search": als_grid,
     "recommend_end_to_end": recommend_end_to_end,
 }

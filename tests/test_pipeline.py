@@ -10,10 +10,11 @@ from growthlens.models.learned import (
     MatrixFactorisation,
     TARGET,
     als_grid_search,
+    evaluate,
 )
 from growthlens.operators.baseline import carry_forward
 from growthlens.plans.materialise import materialise
-from growthlens.plans.pipeline import RunConfig, prep_tables, run_pipeline, split_features
+from growthlens.plans.pipeline import RunConfig, prep_tables, run_pipeline, save_run, split_features
 from growthlens.sources.catalog import PREP_KEYS, TableCatalog
 
 from conftest import by_key
@@ -110,6 +111,21 @@ def test_models_beat_the_mean_and_survive_saving(spark, split, tmp_path, make, l
     assert before == after and len(before) == test.pairs.count()
 
 
+def test_evaluation_and_saved_run(spark, panel, classes, split, tmp_path):
+    model = MatrixFactorisation(iterations=5).fit(split[0].rows)
+    losses = {r["metric"]: r["value"] for r in evaluate(model, split[1].rows).collect()}
+    assert set(losses) == {"mse", "mae", "logcosh", "huber", "cosine"} and losses["cosine"] > 0.8
+
+    result = run_pipeline(panel, classes, RunConfig(splits=SPLITS, model="als"), model=model)
+    assert result.model is model
+    clean, predictions = TableCatalog(spark, str(tmp_path / "clean")), TableCatalog(spark, str(tmp_path / "out"))
+    predictions.write("df_knn", panel.limit(1))
+    save_run(result, clean, predictions, "df_predictions_als")
+    assert clean.keys() == ["test", "train"] and predictions.keys() == ["df_knn", "df_predictions_als"]
+    stored = clean.read("train")
+    assert stored.columns == result.train.rows.columns and stored.count() == result.train.rows.count()
+
+
 def test_unseen_products_are_kept(spark, split, frame):
     train, _ = split
     pairs = frame([(0, 999, 0, 0.5), (77, 1, 0, 0.5)], "location_id long, product_id long, export_trend_class int, export_trend_pct_rank double")
