@@ -72,7 +72,11 @@ def spread_join(
     hot = materialise(hot, "hot_keys")
     slices = F.coalesce(F.col("_slices"), F.lit(1))
 
-    left = rows.join(F.broadcast(hot), keys, "left").withColumn("_slice", slice_of(spread_by, slices))
+    # Rows without a key match nothing, however many there are: spread them too.
+    no_key = F.coalesce(*[F.when(F.col(k).isNull(), True) for k in keys], F.lit(False))
+    left = rows.join(F.broadcast(hot), keys, "left").withColumn(
+        "_slice", slice_of(spread_by, F.when(no_key, partitions).otherwise(slices))
+    )
     right = lookup.join(F.broadcast(hot), keys, "left").withColumn(
         "_slice", F.explode(F.sequence(F.lit(0), slices - 1))
     )

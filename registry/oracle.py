@@ -269,7 +269,7 @@ EVENT_TARGETS = """
 SELECT location_id AS user_id, product_id AS item_id FROM event_panel
 WHERE coalesce(export_value, 0) >= 0 AND year >= 17"""
 
-SIMILAR_SELECT = f"SELECT user_a, user_b, support, {r('similarity', 9)} AS similarity FROM alike"
+SIMILAR_SELECT = f"SELECT user_a, user_b, support, {r('similarity')} AS similarity FROM alike"
 PREDICTED_SELECT = (
     f"SELECT user_id, item_id, {r('prediction', 9)} AS prediction, neighbours, impossible FROM predicted"
 )

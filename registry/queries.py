@@ -64,9 +64,15 @@ LOCATION = "NATION_3"
 TOP = 50
 
 
+def _round(column: str, places: int):
+    """Like ``round``, without its detour over decimals; adding 0.0 makes a negative zero positive."""
+    step = F.lit(10.0**places)
+    return F.rint(F.col(column) * step) / step + F.lit(0.0)
+
+
 def rounded(df: DataFrame, places: int = 6, **per_column: int) -> DataFrame:
     doubles = [f.name for f in df.schema.fields if f.dataType.simpleString() == "double"]
-    return df.withColumns({c: F.round(c, per_column.get(c, places)) for c in doubles})
+    return df.withColumns({c: _round(c, per_column.get(c, places)) for c in doubles})
 
 
 def _panel(spark: SparkSession, folder: str) -> DataFrame:
@@ -352,7 +358,7 @@ def ratings(spark, folder):
 
 def user_similarity(spark, folder):
     train = build_features(_panel(spark, folder), SPLITS.train)
-    return rounded(similarities(index_ratings(_trade_ratings(train))), 9)
+    return rounded(similarities(index_ratings(_trade_ratings(train))))
 
 
 def knn_predictions(spark, folder):
@@ -395,7 +401,7 @@ def _event_ratings(spark, folder) -> tuple[DataFrame, DataFrame]:
 
 def event_user_similarity(spark, folder):
     known, _ = _event_ratings(spark, folder)
-    return rounded(similarities(index_ratings(known)), 9)
+    return rounded(similarities(index_ratings(known)))
 
 
 def event_knn_predictions(spark, folder):
@@ -406,18 +412,21 @@ def event_knn_predictions(spark, folder):
 # --- metrics ------------------------------------------------------------------------------------
 
 
+def _rounded_report(report: DataFrame) -> DataFrame:
+    is_cosine = F.col("metric").startswith("cosine")
+    return report.withColumn("value", F.when(is_cosine, _round("value", 6)).otherwise(_round("value", 2)))
+
+
 def validation_report(spark, folder):
     _, scored = _trend_scored(spark, folder)
     report = validate(rank_pairs(materialise(scored, "scored")))
-    places = F.when(F.col("metric").startswith("cosine"), F.round("value", 6)).otherwise(F.round("value", 2))
-    return report.withColumn("value", places)
+    return _rounded_report(report)
 
 
 def validation_report_pairs(spark, folder):
     _, scored = _trend_scored(spark, folder)
     report = validate(rank_pairs(materialise(scored, "scored"), level="pair"), weight=None)
-    places = F.when(F.col("metric").startswith("cosine"), F.round("value", 6)).otherwise(F.round("value", 2))
-    return report.withColumn("value", places)
+    return _rounded_report(report)
 
 
 def loss_report(spark, folder):

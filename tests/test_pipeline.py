@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from growthlens.config import PAIR, PeriodSpec, Splits
+from growthlens.models import learned
 from growthlens.models.learned import (
     FactorisationMachine,
     FactorTrees,
@@ -111,6 +112,15 @@ def test_models_beat_the_mean_and_survive_saving(spark, split, tmp_path, make, l
     assert before == after and len(before) == test.pairs.count()
 
 
+def test_wide_ids_are_hashed(split, monkeypatch):
+    monkeypatch.setattr(learned, "MAX_ONE_HOT", 4)
+    monkeypatch.setattr(learned, "HASHED_WIDTH", 256)
+    rows = materialise(split[0].rows)
+    model = FactorisationMachine(full_features=False, iterations=60).fit(rows)
+    error, variance = in_sample_mse(model, rows)
+    assert error < 0.9 * variance
+
+
 def test_evaluation_and_saved_run(spark, panel, classes, split, tmp_path):
     model = MatrixFactorisation(iterations=5).fit(split[0].rows)
     losses = {r["metric"]: r["value"] for r in evaluate(model, split[1].rows).collect()}

@@ -28,6 +28,15 @@ def test_spread_join_equals_plain_join(spark, hot, how):
         assert sorted(got.select("k", "id", "v", "x").collect(), key=str) == want
 
 
+def test_rows_without_a_key_are_kept_and_spread(spark):
+    key = F.when(F.col("id") % 3 > 0, F.col("id") % 5)
+    rows = materialise(spark.range(300).select("id", key.alias("k")))
+    lookup = spark.range(5).select(F.col("id").alias("k"), F.lit(1).alias("x"))
+    got = spread_join(rows, lookup, ["k"], ["id"])
+    assert got.count() == 300 and got.filter("x is null").count() == 100
+    assert spread_join(rows, lookup, ["k"], ["id"], "inner").count() == 200
+
+
 def test_hot_key_is_spread_over_tasks(spark, hot, monkeypatch):
     seen = {}
     original = attach_module.slice_of
