@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from growthlens.config import CELL, DECADES, PAIR, Splits
 from growthlens.functions.scaling import destandardise, unminmax
-from growthlens.models.learned import MODELS
+from growthlens.models.learned import MODELS, training_rows
 from growthlens.operators.aggregates import location_year_totals
 from growthlens.operators.baseline import (
     carry_forward,
@@ -119,8 +119,7 @@ def fit_model(train: Features, cfg: RunConfig):
     options = dict(cfg.model_options)
     if cfg.model in ("fm", "gbt"):
         options.setdefault("full_features", cfg.full_features)
-    rows = materialise(train.rows, "model_rows")
-    return MODELS[cfg.model](**options).fit(rows)
+    return MODELS[cfg.model](**options).fit(training_rows(train.rows))
 
 
 def predict(train: Features, test: Features, cfg: RunConfig, model=None) -> tuple[DataFrame, object]:

@@ -19,6 +19,7 @@ from growthlens.models.learned import (
     MatrixFactorisation,
     als_grid_search,
     evaluate,
+    training_rows,
 )
 from growthlens.operators.aggregates import (
     key_cardinality,
@@ -445,7 +446,7 @@ def _model_predictions(spark, folder, model) -> DataFrame:
     panel = _panel(spark, folder)
     train, test = build_features(panel, SPLITS.train), build_features(panel, SPLITS.test)
     m = global_moments(test.groups)
-    fitted = model.fit(materialise(train.rows, "model_rows"))
+    fitted = model.fit(training_rows(train.rows))
     z = fitted.predict(carry_forward(test.pairs, train.pairs))
     return z.select(*PAIR, destandardise(F.col("z"), m["value_mean"], m["value_std"]).alias("predictions"))
 
@@ -466,8 +467,8 @@ def model_evaluation(spark, folder):
     """Losses of the boosted trees on the test rows."""
     panel = _panel(spark, folder)
     train, test = build_features(panel, SPLITS.train), build_features(panel, SPLITS.test)
-    model = FactorTrees().fit(materialise(train.rows, "model_rows"))
-    return evaluate(model, materialise(test.rows, "test_rows"))
+    model = FactorTrees().fit(training_rows(train.rows))
+    return evaluate(model, training_rows(test.rows))
 
 
 def als_grid(spark, folder):
