@@ -32,45 +32,39 @@ MEMO_ENTRIES = 250_000  # pre-tokens in each of the two generations that a worke
 
 
 class PerfectHash:
-    """Minimal perfect hash of byte strings: one displacement per bucket, one slot per key."""
+    """Minimal perfect hash of byte strings: one seed per bucket, one slot per key."""
 
     def __init__(self, keys: list[bytes], values: list[int]):
         self.size = max(len(keys), 1)
         self.buckets = max(len(keys) // 3, 1)
         groups: dict[int, list[int]] = {}
-        hashes = [self._hashes(k) for k in keys]
-        for i, (bucket, _, _) in enumerate(hashes):
-            groups.setdefault(bucket, []).append(i)
-        self.displacement = [0] * self.buckets
+        for i, key in enumerate(keys):
+            groups.setdefault(xxhash.xxh64_intdigest(key) % self.buckets, []).append(i)
+        self.seeds = [0] * self.buckets  # of the second hash; below zero: the slot itself
         slots: list[int] = [-1] * self.size
         free = None
         for bucket, members in sorted(groups.items(), key=lambda g: (-len(g[1]), g[0])):
-            if len(members) == 1:  # a bucket of its own names its slot, below zero
+            if len(members) == 1:
                 free = free or [p for p in range(self.size) if slots[p] < 0]
                 place = free.pop()
-                self.displacement[bucket], slots[place] = -1 - place, members[0]
+                self.seeds[bucket], slots[place] = -1 - place, members[0]
                 continue
-            shift = 0
+            seed = 1
             while True:
-                places = [(hashes[i][1] + shift * hashes[i][2] + shift * shift) % self.size for i in members]
+                places = [xxhash.xxh64_intdigest(keys[i], seed) % self.size for i in members]
                 if len(set(places)) == len(places) and all(slots[p] < 0 for p in places):
                     break
-                shift += 1
-            self.displacement[bucket] = shift
+                seed += 1
+            self.seeds[bucket] = seed
             for i, p in zip(members, places, strict=True):
                 slots[p] = i
         self.keys = [keys[i] if i >= 0 else b"" for i in slots]
         self.values = [values[i] if i >= 0 else -1 for i in slots]
 
-    def _hashes(self, key: bytes) -> tuple[int, int, int]:
-        h = xxhash.xxh3_128_intdigest(key)
-        return h % self.buckets, (h >> 32) % self.size, ((h >> 64) % self.size) | 1
-
     def get(self, key: bytes) -> int:
         """The key's value, -1 for a key that is not in the table."""
-        bucket, start, step = self._hashes(key)
-        shift = self.displacement[bucket]
-        place = -1 - shift if shift < 0 else (start + shift * step + shift * shift) % self.size
+        seed = self.seeds[xxhash.xxh64_intdigest(key) % self.buckets]
+        place = -1 - seed if seed < 0 else xxhash.xxh64_intdigest(key, seed) % self.size
         return self.values[place] if self.keys[place] == key else -1
 
 

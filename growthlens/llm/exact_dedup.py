@@ -121,15 +121,18 @@ def keep_first_copies(docs: DataFrame, id_column: str = "doc_id", text: str = "t
     texts are shuffled only if those groups are too many to be broadcast.
     """
     _, groups = grouped(docs, id_column, text)
-    repeated = written(groups.filter("group_size > 1").drop("_part", "group_size"), "repeated_groups")
+    repeated = groups.filter("group_size > 1").select(
+        "_hash", "_sha", F.col("keep_id").alias("_keep_id"), F.col("keep_length").alias("_keep_length"), F.col("keepers").alias("_keepers")
+    )
+    repeated = written(repeated, "repeated_groups")
     norm = normalised(text)
     looked_up = attach_small(
         docs.withColumns({"_hash": content_hash(norm), "_sha": F.sha2(norm, 256)}), repeated, ["_hash", "_sha"], 160
     )
-    first = F.col(id_column).eqNullSafe(F.col("keep_id")) & (F.char_length(whole_text(text)) == F.col("keep_length"))
-    stays = looked_up.filter(F.col("keepers").isNull() | first)
-    once = stays.filter("keepers is null or keepers = 1").select(*docs.columns)
-    if repeated.filter("keepers > 1").isEmpty():
+    first = F.col(id_column).eqNullSafe(F.col("_keep_id")) & (F.char_length(whole_text(text)) == F.col("_keep_length"))
+    stays = looked_up.filter(F.col("_keepers").isNull() | first)
+    once = stays.filter("_keepers is null or _keepers = 1").select(*docs.columns)
+    if repeated.filter("_keepers > 1").isEmpty():
         return once
-    again = stays.filter("keepers > 1").dropDuplicates(["_hash", "_sha"]).select(*docs.columns)
+    again = stays.filter("_keepers > 1").dropDuplicates(["_hash", "_sha"]).select(*docs.columns)
     return once.unionByName(again)

@@ -196,17 +196,16 @@ def fingerprint_links(distinct: DataFrame, distance: int = 3, bucket_rows: int =
         )
         rows = waiting.select("fp", F.explode(options).alias("mask"))
         rows = written(rows.withColumn("bucket", F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask")))), "buckets")
-        finer = [x for cut in blocks.values() for x in cut if _cut(x, distance + 1)]
-        crowded = written(
-            rows.groupBy("mask", "bucket").count().filter(F.col("count") > bucket_rows).select("mask", "bucket"), "crowded"
-        )
-        if not finer or crowded.isEmpty():
+        crowded = rows.groupBy("mask", "bucket").count().filter(F.col("count") > bucket_rows).select("mask", "bucket")
+        crowded = written(crowded, "crowded")
+        names = {_signed(x): x for cut in blocks.values() for x in cut if _cut(x, distance + 1)}
+        masks = [names[r["mask"]] for r in crowded.select("mask").distinct().collect() if r["mask"] in names]
+        if not masks:
             settled.append(rows)
             break
-        again = F.col("mask").isin([_signed(m) for m in finer])
-        crowded = crowded.filter(again)
+        crowded = crowded.filter(F.col("mask").isin([_signed(m) for m in masks]))
         settled.append(rows.join(crowded, ["mask", "bucket"], "left_anti").select("fp", "mask", "bucket"))
-        waiting, masks = rows.join(crowded, ["mask", "bucket"], "left_semi").select("fp", "mask"), finer
+        waiting = rows.join(crowded, ["mask", "bucket"], "left_semi").select("fp", "mask")
     buckets = settled[0]
     for more in settled[1:]:
         buckets = buckets.unionByName(more)

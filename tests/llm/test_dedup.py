@@ -118,7 +118,7 @@ def test_simhash_equals_brute_force(spark):
     assert got == brute_components(want, lambda a, b: (a ^ b).bit_count() <= 3)
 
 
-@pytest.mark.parametrize("bucket_rows", [8_192, 16])
+@pytest.mark.parametrize("bucket_rows", [8_192, 64])
 def test_links_of_crowded_blocks_and_chains(spark, bucket_rows):
     rng = random.Random(9)
     fps = {rng.getrandbits(64) for _ in range(150)}
