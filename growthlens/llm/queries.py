@@ -4,23 +4,47 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from growthlens.llm import bpe
-from growthlens.llm.common import table
+from growthlens.llm import bpe, langid
+from growthlens.llm import quality as rules
+from growthlens.llm import toxicity as kernel
+from growthlens.llm.common import remainder, table
 from growthlens.llm.exact_dedup import exact_dedup
 from growthlens.llm.simhash import hex_fingerprint, simhash_classes
 
 
+def op1_quality(spark, folder):
+    docs = table(spark, folder, "documents")
+    scored = rules.quality(docs, rules.fit(docs, table(spark, folder, "labels")))
+    return scored.select(
+        "doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
 def op3_exact_dedup(spark, folder):
     return exact_dedup(table(spark, folder, "documents"))
 
 
+def op5_toxicity(spark, folder):
+    docs = table(spark, folder, "documents")
+    scored = kernel.toxicity(docs, kernel.fit(docs, table(spark, folder, "labels")))
+    return scored.select(
+        "doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 def op7_simhash(spark, folder):
     classes = simhash_classes(table(spark, folder, "documents"), words_per_shingle=3, distance=3)
     return classes.select("doc_id", hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+def op8_language(spark, folder):
+    docs = table(spark, folder, "documents")
+    found = langid.predict(docs, langid.fit(docs), max_distance=1.0)
+    return found.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op9_bpe(spark, folder):
     return bpe.digests(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_exact_dedup, op7_simhash, op9_bpe)}
+QUERIES = {f.__name__: f for f in (op1_quality, op3_exact_dedup, op5_toxicity, op7_simhash, op8_language, op9_bpe)}
