@@ -1,25 +1,53 @@
-"""The corpus pipeline: each stage reads what its predecessor wrote."""
+"""The corpus pipeline: each stage reads what its predecessor wrote.
+
+``STAGES`` names the stages in order. Each takes ``(spark, docs, sf_dir)`` and works on
+all rows its predecessor kept; all but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from growthlens.llm import bpe
+from growthlens.llm import bpe, mixing, simhash, toxicity
 from growthlens.llm.common import table, written
 from growthlens.llm.exact_dedup import keep_first_copies
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the string-kernel machine rejects go."""
+    machine = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.drop_toxic(docs, machine, threshold=0.5)
+
+
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts stays."""
     return keep_first_copies(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near fingerprints stays."""
+    return simhash.keep_representatives(docs, words_per_shingle=3, distance=3)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents by target weights; a document that several epochs read is there as often."""
+    return mixing.keep_mixed(docs, mixing.TARGETS)
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the encoded and decoded texts."""
     return bpe.digests(docs)
 
 
-STAGES = [("exact dedup", drop_exact_copies), ("byte-level BPE", encode)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact dedup", drop_exact_copies),
+    ("SimHash near-dedup", drop_near_copies),
+    ("mixing sources to target weights", mix_sources),
+    ("byte-level BPE encoding and decoding", encode),
+]
 
-#: The stages train models and hash shingles, which SQL cannot express.
+#: The first stage trains a model and the third hashes shingles, which SQL cannot express.
 ORACLE_SQL = None
 
 

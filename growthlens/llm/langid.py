@@ -24,8 +24,9 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import IDF, Normalizer
+from pyspark.ml.feature import IDF, ElementwiseProduct, Normalizer
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, functions as F
 
 from growthlens.llm.common import bounded_sample, remainder, written
@@ -108,8 +109,9 @@ def fit(docs: DataFrame, label: str = "lang", at_most: int = TRAIN_DOCS, centroi
     rows = written(rows, "language_vectors").select("name", array_to_vector("counts").alias("counts"))
     if rows.isEmpty():
         return Centroids([], np.ones(DIMENSIONS), np.zeros(0, np.int64), np.zeros((0, DIMENSIONS)))
-    idf = IDF(inputCol="counts", outputCol="weighted").fit(rows)
-    unit = Normalizer(inputCol="weighted", outputCol="features").transform(idf.transform(rows)).select("name", "features")
+    idf = IDF(inputCol="counts").fit(rows).idf.toArray() + 1.0  # an n-gram of every text still counts
+    weigh = ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="counts", outputCol="weighted")
+    unit = Normalizer(inputCol="weighted", outputCol="features").transform(weigh.transform(rows)).select("name", "features")
     unit = unit.cache()
     names = [r["name"] for r in unit.select("name").distinct().orderBy("name").collect()]
     language, found = [], []
@@ -121,7 +123,7 @@ def fit(docs: DataFrame, label: str = "lang", at_most: int = TRAIN_DOCS, centroi
     unit.unpersist()
     matrix = np.array(found)
     matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
-    return Centroids(names, idf.idf.toArray(), np.array(language), matrix)
+    return Centroids(names, idf, np.array(language), matrix)
 
 
 def _nearest_column(text: Column, model: Centroids) -> Column:

@@ -15,4 +15,144 @@ ranked AS (
 SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(t) AS text_sha256 FROM ranked
 """
 
-SQL = {"op3_exact_dedup": EXACT_DEDUP}
+WORDS = r"[^\x20\x09-\x0D]+"
+
+
+def _level(name: str, children: str, parents: str, child: str) -> str:
+    """One level of the budget tree: ``children`` has budget, weight and cap."""
+    return f"""
+{name}_1 AS (
+  SELECT *, budget - coalesce(sum(cap) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS remaining,
+         sum(weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weights,
+         row_number() OVER w AS place
+  FROM ({children}) WINDOW w AS (PARTITION BY {parents} ORDER BY cap::DOUBLE / weight, {child})
+),
+{name}_2 AS (
+  SELECT *, cap::HUGEINT * weights > remaining::HUGEINT * weight AS is_open FROM {name}_1
+),
+{name}_3 AS (
+  SELECT *, min(place) FILTER (is_open) OVER p AS opens,
+         max(remaining) FILTER (is_open) OVER p AS rest, max(weights) FILTER (is_open) OVER p AS everything
+  FROM {name}_2 WINDOW p AS (PARTITION BY {parents})
+),
+{name} AS (
+  SELECT *, CASE WHEN opens IS NULL OR place < opens THEN cap
+    ELSE (rest::HUGEINT * (everything - weights + weight)::HUGEINT) // everything::HUGEINT
+       - (rest::HUGEINT * (everything - weights)::HUGEINT) // everything::HUGEINT END::BIGINT AS share
+  FROM {name}_3
+)"""
+
+
+MIX = (
+    r"""
+WITH numbered AS (
+  SELECT doc_id, coalesce(lang, 'und') AS lang, coalesce(source, 'none') AS source,
+         try_cast(regexp_extract(source, '^src([0-9]{1,9})$', 1) AS BIGINT) AS number,
+         len(regexp_extract_all(coalesce(text, ''), '"""
+    + WORDS
+    + r"""')) AS n_tokens
+  FROM documents
+),
+leaf_rows AS (
+  SELECT doc_id, lang, source, n_tokens::BIGINT AS n_tokens,
+         CASE WHEN number < 7 THEN 'web' WHEN number < 14 THEN 'forum' WHEN number < 20 THEN 'reference' ELSE 'other' END AS domain
+  FROM numbered
+),
+leaves AS (
+  SELECT domain, lang, source, sum(n_tokens)::BIGINT AS tokens, 2 * sum(n_tokens)::BIGINT AS cap,
+    CASE domain WHEN 'web' THEN 60 WHEN 'forum' THEN 25 WHEN 'reference' THEN 15 ELSE 5 END AS w_domain,
+    CASE lang WHEN 'en' THEN 50 WHEN 'de' THEN 20 WHEN 'fr' THEN 15 WHEN 'es' THEN 15 ELSE 5 END AS w_lang,
+    CASE source WHEN 'src0' THEN 3 ELSE 1 END AS w_source
+  FROM leaf_rows GROUP BY domain, lang, source HAVING sum(n_tokens) > 0
+),
+wanted AS (SELECT least(sum(n_tokens)::BIGINT // 2, (SELECT sum(cap) FROM leaves)::BIGINT) AS budget FROM leaf_rows),"""
+    + _level(
+        "domains",
+        "SELECT domain, max(w_domain) AS weight, sum(cap)::BIGINT AS cap, (SELECT budget FROM wanted) AS budget, 0 AS root FROM leaves GROUP BY domain",
+        "root",
+        "domain",
+    )
+    + ","
+    + _level(
+        "langs",
+        "SELECT l.domain, l.lang, max(w_lang) AS weight, sum(l.cap)::BIGINT AS cap, any_value(d.share) AS budget "
+        "FROM leaves l JOIN domains d USING (domain) GROUP BY l.domain, l.lang",
+        "domain",
+        "lang",
+    )
+    + ","
+    + _level(
+        "sources",
+        "SELECT l.domain, l.lang, l.source, l.tokens, l.w_source AS weight, l.cap, g.share AS budget "
+        "FROM leaves l JOIN langs g USING (domain, lang)",
+        "domain, lang",
+        "source",
+    )
+    + r""",
+placed AS (
+  SELECT r.*, s.share // s.tokens AS epochs, s.share % s.tokens AS left_over,
+         md5('mix-1:' || (s.share // s.tokens)::VARCHAR || ':' || coalesce(doc_id::VARCHAR, '')) AS key
+  FROM leaf_rows r JOIN sources s USING (domain, lang, source)
+),
+running AS (
+  SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY key)
+            - sum(n_tokens) OVER (PARTITION BY domain, lang, source, key) AS before
+  FROM placed
+),
+taken AS (
+  SELECT *, CASE WHEN before < left_over THEN least(n_tokens, left_over - before) ELSE 0 END AS last_part,
+         epochs + CASE WHEN before < left_over THEN 1 ELSE 0 END AS copies
+  FROM running
+)
+SELECT doc_id, domain, lang, source, n_tokens, copies::BIGINT AS copies,
+       (epochs * n_tokens + last_part)::BIGINT AS tokens_taken
+FROM taken WHERE copies > 0
+"""
+)
+
+CHAT = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'unknown'), coalesce(text, '')) AS place
+  FROM conversations WHERE conv_id IS NOT NULL
+),
+replies AS (
+  SELECT conv_id, max(place) AS last, arg_max(text, place) AS reply FROM turns WHERE role = 'assistant' GROUP BY conv_id
+),
+pairs AS (
+  SELECT a.conv_id AS pair_id, a.last, a.reply, b.reply AS other
+  FROM replies a JOIN replies b ON b.conv_id = a.conv_id + 1 - 2 * (((a.conv_id % 2) + 2) % 2)
+),
+sides AS (
+  SELECT pair_id, place, role, text AS chosen, CASE WHEN place = last THEN other ELSE text END AS rejected, last
+  FROM pairs JOIN turns ON conv_id = pair_id AND place <= last
+),
+cut AS (
+  SELECT pair_id, coalesce(min(place) FILTER (chosen <> rejected) - 1, any_value(last)) AS n_common FROM sides GROUP BY pair_id
+),
+rendered AS (
+  SELECT s.*, n_common, replace(role, '<|im_', '< |im_') AS r, replace(chosen, '<|im_', '< |im_') AS c,
+         replace(rejected, '<|im_', '< |im_') AS j
+  FROM sides s JOIN cut USING (pair_id)
+),
+parts AS (
+  SELECT *, '<|im_start|>' || r || chr(10) AS head FROM rendered
+),
+texts AS (
+  SELECT pair_id, place, n_common, head || c || '<|im_end|>' || chr(10) AS ct, head || j || '<|im_end|>' || chr(10) AS rt,
+    CASE WHEN role = 'assistant' THEN '0x' || length(head) || ' 1x' || (length(c) + 10) || ' 0x1'
+         ELSE '0x' || (length(head) + length(c) + 11) END AS cm,
+    CASE WHEN role = 'assistant' THEN '0x' || length(head) || ' 1x' || (length(j) + 10) || ' 0x1'
+         ELSE '0x' || (length(head) + length(j) + 11) END AS rm
+  FROM parts
+)
+SELECT pair_id, any_value(n_common)::INTEGER AS n_common,
+  coalesce(string_agg(ct, '' ORDER BY place) FILTER (place <= n_common), '') AS prompt,
+  coalesce(string_agg(ct, '' ORDER BY place) FILTER (place > n_common), '') AS chosen,
+  coalesce(string_agg(cm, ' ' ORDER BY place) FILTER (place > n_common), '') AS chosen_mask,
+  coalesce(string_agg(rt, '' ORDER BY place) FILTER (place > n_common), '') AS rejected,
+  coalesce(string_agg(rm, ' ' ORDER BY place) FILTER (place > n_common), '') AS rejected_mask
+FROM texts GROUP BY pair_id
+"""
+
+SQL = {"op2_mixing": MIX, "op4_chat": CHAT, "op3_exact_dedup": EXACT_DEDUP}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from growthlens.llm import bpe, langid
+from growthlens.llm import bpe, chat, langid, mixing
 from growthlens.llm import quality as rules
 from growthlens.llm import toxicity as kernel
 from growthlens.llm.common import remainder, table
@@ -20,10 +20,18 @@ def op1_quality(spark, folder):
     )
 
 
+def op2_mixing(spark, folder):
+    return mixing.mix(table(spark, folder, "documents"), mixing.TARGETS)
+
+
 def op3_exact_dedup(spark, folder):
     return exact_dedup(table(spark, folder, "documents"))
 
 
+def op4_chat(spark, folder):
+    return chat.format_preferences(chat.swapped_replies(table(spark, folder, "conversations")))
+
+
 def op5_toxicity(spark, folder):
     docs = table(spark, folder, "documents")
     scored = kernel.toxicity(docs, kernel.fit(docs, table(spark, folder, "labels")))
@@ -47,4 +55,4 @@ def op9_bpe(spark, folder):
     return bpe.digests(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op3_exact_dedup, op5_toxicity, op7_simhash, op8_language, op9_bpe)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_mixing, op3_exact_dedup, op4_chat, op5_toxicity, op7_simhash, op8_language, op9_bpe)}

@@ -31,7 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from growthlens.llm.common import written
+from growthlens.llm.common import attach_small, written
 from growthlens.llm.components import components
 from growthlens.plans.attach import attach
 
@@ -251,5 +251,16 @@ def simhash_classes(
     return attach(rows, named, ["fp"], ["doc_id"]).select("doc_id", "fp", "component_id")
 
 
+def keep_representatives(docs: DataFrame, words_per_shingle: int = 3, distance: int = 3) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: the smallest id of each component.
+
+    Dropped rows are named by id, so texts are shuffled only if those are too many to be
+    broadcast. A row with a null id stays.
+    """
+    classes = simhash_classes(docs, words_per_shingle=words_per_shingle, distance=distance)
+    dropped = classes.filter("doc_id <> component_id").select("doc_id").distinct()
+    return attach_small(docs, written(dropped, "dropped_ids"), ["doc_id"], 32, "left_anti").select(*docs.columns)
+
+
 def hex_fingerprint(fp: str = "fp"):
     return F.lpad(F.lower(F.hex(F.col(fp))), 16, "0")
