@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from growthlens.llm import bpe, chat, langid, mixing
+from growthlens.llm import bpe, chat, langid, mixing, pii
 from growthlens.llm import quality as rules
 from growthlens.llm import toxicity as kernel
 from growthlens.llm.common import remainder, table
@@ -55,4 +55,9 @@ def op9_bpe(spark, folder):
     return bpe.digests(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_mixing, op3_exact_dedup, op4_chat, op5_toxicity, op7_simhash, op8_language, op9_bpe)}
+def op10_pii(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return pii.pseudonymise(docs, pii.KEY).select("doc_id", "n_entities", "kinds", "text")
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_mixing, op3_exact_dedup, op4_chat, op5_toxicity, op7_simhash, op8_language, op9_bpe, op10_pii)}
