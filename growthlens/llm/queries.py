@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from growthlens.llm import bpe, chat, langid, mixing, pii
+from growthlens.llm import ann, bpe, chat, langid, mixing, pii
 from growthlens.llm import quality as rules
 from growthlens.llm import toxicity as kernel
 from growthlens.llm.common import remainder, table
@@ -40,6 +40,10 @@ def op5_toxicity(spark, folder):
     )
 
 
+def op6_neighbours(spark, folder):
+    return ann.nearest(table(spark, folder, "embeddings"), every=100, count=10)
+
+
 def op7_simhash(spark, folder):
     classes = simhash_classes(table(spark, folder, "documents"), words_per_shingle=3, distance=3)
     return classes.select("doc_id", hex_fingerprint().alias("fingerprint"), "component_id")
@@ -60,4 +64,4 @@ def op10_pii(spark, folder):
     return pii.pseudonymise(docs, pii.KEY).select("doc_id", "n_entities", "kinds", "text")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_mixing, op3_exact_dedup, op4_chat, op5_toxicity, op7_simhash, op8_language, op9_bpe, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_mixing, op3_exact_dedup, op4_chat, op5_toxicity, op6_neighbours, op7_simhash, op8_language, op9_bpe, op10_pii)}
