@@ -38,6 +38,7 @@ from growthlens.llm.common import attach_small, bounded_sample, written
 
 NEIGHBOURS = 32  # length of a list
 BEAM = 128  # best nodes of a query that get expanded
+REMEMBERED = 8  # beams of nodes that a query remembers
 BLOCK = 512  # nodes that are compared with each other at the start, at most about
 TABLES = 2  # random projections of the nodes
 GROUP = 128  # neighbours of a hub that meet in one group, besides its own list
@@ -223,7 +224,7 @@ def build_graph(rows: DataFrame, id_column: str = "vec_id", vector: str = "embed
     return Graph(classes, members, nodes, edges.select("u", "v", "d"), size)
 
 
-def _measured(pairs: DataFrame, nodes: DataFrame, queries: DataFrame, queries_count: int) -> DataFrame:
+def _measured(pairs: DataFrame, nodes: DataFrame, queries: DataFrame) -> DataFrame:
     """``q, v, d`` for pairs ``q, v``: each meets its node's vector, then its query's."""
     near = pairs.join(nodes.select(F.col("id").alias("v"), "half"), "v")
     asked = queries.select("q", F.col("half").alias("asked"))
@@ -247,24 +248,24 @@ def search(graph: Graph, queries: DataFrame, count: int = 10, beam: int = BEAM)
     asked = written(asked, "asked")  # vec_id, id: several queries may share a node
     starts = asked.select("id").distinct()
     points = written(starts.join(graph.nodes, "id").select(F.col("id").alias("q"), "half"), "query_points")
-    total = points.count()
     both = graph.edges.select("u", "v").unionByName(graph.edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
     both = written(both, "adjacency")
     seen = points.select("q", F.col("q").alias("v"), F.lit(0.0).cast("float").alias("d"), F.lit(0).alias("expanded"))
     place = F.row_number().over(Window.partitionBy("q").orderBy("d", "v"))
     while True:
+        seen = written(seen, "seen")
         ranked = seen.withColumn("place", place)
-        expand = (F.col("place") <= beam) & (F.col("expanded") == 0)
-        ranked = written(ranked.withColumn("now", expand).drop("place"), "beam")
-        frontier = ranked.filter("now").select("q", F.col("v").alias("u"))
+        now = (F.col("place") <= beam) & (F.col("expanded") == 0)
+        frontier = written(ranked.filter(now).select("q", F.col("v").alias("u")), "frontier")
         if frontier.isEmpty():
             break
         reached = frontier.join(both, "u").select("q", "v").distinct()
-        fresh = reached.join(ranked.select("q", "v"), ["q", "v"], "left_anti")
-        seen = ranked.select("q", "v", "d", F.greatest("expanded", F.col("now").cast("int")).alias("expanded"))
-        seen = seen.unionByName(_measured(fresh, graph.nodes, points, total).withColumn("expanded", F.lit(0)))
-        seen = written(seen, "seen")
-    best = ranked.withColumn("place", place).filter(F.col("place") <= 2 * count + 2).select("q", F.col("v").alias("id"))
+        fresh = reached.join(seen.select("q", "v"), ["q", "v"], "left_anti")
+        # Far nodes are forgotten: one that is met again is measured again and stays far.
+        kept = ranked.filter(F.col("place") <= REMEMBERED * beam)
+        kept = kept.select("q", "v", "d", F.when(now, 1).otherwise(F.col("expanded")).alias("expanded"))
+        seen = kept.unionByName(_measured(fresh, graph.nodes, points).withColumn("expanded", F.lit(0)))
+    best = ranked.filter(F.col("place") <= 2 * count + 2).select("q", F.col("v").alias("id"))
     return _ranked(graph, asked, written(best, "best"), count)
 
 

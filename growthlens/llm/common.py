@@ -10,6 +10,8 @@ from growthlens.plans.materialise import materialise
 WHITE_SPACE = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
 WORD = r"[^\x20\x09-\x0D]+"
 
+_CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 BROADCAST_BYTES = 32 * 1024 * 1024  # most that an operator of this package broadcasts
 
 
@@ -54,5 +56,15 @@ def attach_small(rows: DataFrame, lookup: DataFrame, keys: list[str], row_bytes:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the cluster's shared folder."""
-    return materialise(df, name)
+    """``df`` as a table in the cluster's shared folder.
+
+    Spark deletes the shuffle files of this write as soon as it ends, so that a loop over
+    written tables does not fill the executors' disks.
+    """
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEAN_SHUFFLES, "false")
+    conf.set(_CLEAN_SHUFFLES, "true")
+    try:
+        return materialise(df, name)
+    finally:
+        conf.set(_CLEAN_SHUFFLES, before)
