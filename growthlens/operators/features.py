@@ -69,7 +69,8 @@ def pair_features(panel: DataFrame, spec: PeriodSpec, colocate: bool = False) ->
         weight="rows",
     )
     ranked = ranked.withColumn("export_trend_class", sign_class(F.col("export_trend")))
-    return materialise_by(ranked, PAIR, "pair_features") if colocate else materialise(ranked, "pair_features")
+    ranked = materialise(ranked, "pair_features")
+    return materialise_by(ranked, PAIR, "pair_features") if colocate else ranked
 
 
 def _group_statistics(rows: DataFrame) -> DataFrame:

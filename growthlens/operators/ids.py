@@ -4,47 +4,37 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F
 
 from growthlens.plans.materialise import materialise
 
-ONE_TASK_ROWS = 100_000  # distinct values that may be numbered by one task
-BUCKETS = 4_096
+RANGE_VALUES = 1_000_000  # distinct values that one task puts in order
 
 
 @dataclass(frozen=True)
 class Numbering:
-    """Distinct values with their numbers, and how many there are."""
+    """Distinct values with their numbers, as a written table, and how many there are."""
 
     table: DataFrame
     size: int
 
 
-def dense_ids(df: DataFrame, column: str, name: str, one_task_rows: int = ONE_TASK_ROWS) -> Numbering:
-    """Number the distinct values of ``column`` from 0.
+def dense_ids(df: DataFrame, column: str, name: str, range_values: int = RANGE_VALUES) -> Numbering:
+    """Number the distinct values of ``column`` from 0 in value order.
 
-    A list checked to be short is numbered in value order. A longer one is
-    numbered by hash bucket: positions within a bucket, shifted by the sizes of
-    the buckets before it. Both depend on the set of values only.
+    The values are written in ranges, one file each. A value's number is its
+    place within its file plus the values of the files before it; only the files,
+    one row per ``range_values`` values, are ever ordered in one task.
     """
     values = materialise(df.select(column).filter(F.col(column).isNotNull()).distinct(), "ids")
     size = values.count()
-    if size <= one_task_rows:
-        position = F.row_number().over(Window.orderBy(column))
-        return Numbering(values.withColumn(name, (position - 1).cast("long")), size)
-
-    values = values.withColumn("_bucket", F.pmod(F.xxhash64(column), F.lit(BUCKETS)).cast("int"))
-    sizes = values.groupBy("_bucket").count().orderBy("_bucket").collect()  # at most BUCKETS rows
-    below, starts = 0, []
-    for row in sizes:
-        starts.append((row["_bucket"], below))
-        below += row["count"]
-    schema = T.StructType([T.StructField("_bucket", T.IntegerType()), T.StructField("_below", T.LongType())])
-    offsets = values.sparkSession.createDataFrame(starts, schema)
-    position = F.row_number().over(Window.partitionBy("_bucket").orderBy(column))
-    numbered = (
-        values.withColumn("_position", position - 1)
-        .join(F.broadcast(offsets), "_bucket")
-        .select(column, (F.col("_below") + F.col("_position")).alias(name))
-    )
-    return Numbering(numbered, size)
+    ranges = max(1, -(-size // range_values))
+    ordered = materialise(values.repartitionByRange(ranges, column), "id_ranges")
+    placed = ordered.select(column, F.col("_metadata.file_path").alias("_file"))
+    files = placed.groupBy("_file").agg(F.min(column).alias("_first"), F.count(F.lit(1)).alias("_values"))
+    before = Window.orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)
+    starts = files.select("_file", F.coalesce(F.sum("_values").over(before), F.lit(0)).alias("_below"))
+    position = F.row_number().over(Window.partitionBy("_file").orderBy(column)) - 1
+    numbered = placed.withColumn("_position", position).join(starts, "_file")
+    numbered = numbered.select(column, (F.col("_below") + F.col("_position")).alias(name))
+    return Numbering(materialise(numbered, "numbering"), size)

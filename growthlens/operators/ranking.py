@@ -1,11 +1,13 @@
 """Global ranks and exact quantiles without a single-partition sort.
 
 ``rank()`` over an unpartitioned window moves every row into one task. Here the
-value range is cut at approximate quantiles into buckets of similar size; each
-bucket is ranked on its own and shifted by the weight of the buckets below it.
+value range is cut at quantiles of a bounded sample into buckets of similar size;
+each bucket is ranked on its own and shifted by the weight of the buckets below it.
 The cuts are numbers fixed before the job, so a row's bucket depends on its
 value alone and a recomputed task places it identically. The result is exact
-whatever the cuts are; they only balance the work.
+whatever the cuts are; they only balance the work. The sample is chosen by a hash of
+the row, so no sketches of all tasks meet in one, and the number of buckets follows
+from the number of rows.
 
 A value frequent enough to fill a bucket gets a bucket of its own. Its rank
 follows from the bucket counts, so its rows need no sort and are spread out.
@@ -24,8 +26,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from growthlens.config import col_names
 from growthlens.plans.attach import shuffle_partitions, slice_of
 
-MAX_BUCKETS = 4_096  # bounds the cuts and the offsets that pass through the driver
+BUCKET_ROWS = 4_000_000  # rows that one window task orders, on average
 BUCKETS_PER_PARTITION = 4
+SAMPLE_PER_BUCKET = 16  # sampled rows behind each cut
+LEAST_SAMPLE = 10_000
 
 
 @dataclass(frozen=True)
@@ -44,8 +48,28 @@ def _clean(column: str) -> Column:
     return F.nanvl(F.col(column).cast("double"), F.lit(None).cast("double")) + F.lit(0.0)
 
 
-def _bucket_count(df: DataFrame) -> int:
-    return max(2, min(MAX_BUCKETS, shuffle_partitions(df.sparkSession) * BUCKETS_PER_PARTITION))
+def _bucket_count(df: DataFrame, rows: int) -> int:
+    return max(2, shuffle_partitions(df.sparkSession) * BUCKETS_PER_PARTITION, -(-rows // BUCKET_ROWS))
+
+
+def rank_sample(df: DataFrame, columns: Sequence[str], rows: int, buckets: int) -> DataFrame:
+    """Values of a sample of rows, whose size follows from the number of buckets; chosen in the scan, without a shuffle."""
+    wanted = max(LEAST_SAMPLE, SAMPLE_PER_BUCKET * buckets)
+    slots = 1 << 40
+    sample = df.select(*[_clean(c).alias(f"_{i}") for i, c in enumerate(columns)], F.xxhash64(*df.columns).alias("_h"))
+    if rows > wanted:
+        sample = sample.filter(F.pmod("_h", F.lit(slots)) < F.lit(slots * wanted // rows))
+    return sample.drop("_h")
+
+
+def _sampled_quantiles(df: DataFrame, columns: Sequence[str], rows: int, buckets: int) -> list[list[float]]:
+    """Per column, ``buckets - 1`` quantiles of the sample."""
+    found = rank_sample(df, columns, rows, buckets).toPandas()
+    out = []
+    for name in found.columns:
+        values = found[name].dropna().sort_values().to_numpy()
+        out.append([float(values[len(values) * i // buckets]) for i in range(1, buckets)] if len(values) else [0.0])
+    return out
 
 
 def _cuts(quantiles: Sequence[float]) -> tuple[list[float], set[int]]:
@@ -70,12 +94,9 @@ def _with_buckets(df: DataFrame, columns: Sequence[str], cuts: Sequence[list[flo
 
 
 def _plan_ranks(df: DataFrame, columns: Sequence[str], weight: Column) -> list[RankStep]:
-    """Two passes over the ranked columns: cuts for all of them, then weights per bucket."""
-    buckets = _bucket_count(df)
-    probabilities = [i / buckets for i in range(1, buckets)]
-    accuracy = max(1_000, 2 * buckets)  # bounds the sketches that meet in the final task
-    quantiles = df.agg(*[F.percentile_approx(_clean(c), probabilities, accuracy) for c in columns]).first()
-    cut_lists = [_cuts(q or [0.0]) for q in quantiles]
+    """Two passes over the ranked columns: a sample for the cuts of all of them, then weights per bucket."""
+    rows = df.count()
+    cut_lists = [_cuts(q) for q in _sampled_quantiles(df, columns, rows, _bucket_count(df, rows))]
 
     bucketed = _with_buckets(df.select(*columns, weight.alias("_weight")), columns, [c for c, _ in cut_lists])
     cells = F.explode(
@@ -86,7 +107,7 @@ def _plan_ranks(df: DataFrame, columns: Sequence[str], weight: Column) -> list[R
             ]
         )
     )
-    # At most (number of columns) x (2 x MAX_BUCKETS + 2) rows reach the driver.
+    # At most (number of columns) x (2 x buckets + 2) rows reach the driver.
     weights = (
         bucketed.select(cells.alias("cell"), "_weight")
         .groupBy("cell.column", "cell.bucket")
@@ -127,7 +148,7 @@ def _rank_one(df: DataFrame, step: RankStep, weight: Column, keys: Sequence[str]
     # Rows of a one-value bucket, and rows without a value, need no order: spread
     # them, and order them by a hash so that the window sees no long run of ties.
     loose = F.coalesce(F.col("_single"), F.lit(True))
-    slices = F.lit(_bucket_count(df))
+    slices = F.lit(max(2, len(step.offsets)))
     df = df.withColumns(
         {
             "_slice": F.when(loose, slice_of(keys, slices)).otherwise(F.lit(0)),

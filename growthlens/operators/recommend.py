@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from growthlens.config import require
+from growthlens.plans.attach import shuffle_partitions, slice_of
 from growthlens.plans.materialise import materialise
 
 DISPLAY_COLUMNS = [
+    "position",
     "product_id",
     "name",
     "export_period_test",
@@ -31,7 +33,7 @@ def classes_of_level(classes: DataFrame, level: str) -> DataFrame:
 
 
 def with_names(recommended: DataFrame, classes: DataFrame) -> DataFrame:
-    """Add product names.
+    """Add product names; the rows keep their ``position``.
 
     The recommended rows are few and written first. The catalogue, which may be
     large, is cut to their products before the outer join.
@@ -54,26 +56,35 @@ def top_n(
     score: str = "pred_pct_change",
     new_goods_only: bool = False,
 ) -> DataFrame:
-    """The ``n`` best rows of a location and year; equal scores go by product id."""
+    """The ``n`` best rows of a location and year, with their ``position``; equal scores go by product id."""
     require(scored, ["location_id", "year", score])
     rows = scored.filter((F.col("location_id") == location) & (F.col("year") == year))
     if new_goods_only:
         rows = rows.filter(F.col("export_period_train") == 0)
-    return rows.orderBy(*_best(score)).limit(n)
+    best = rows.orderBy(*_best(score)).limit(n)
+    position = F.row_number().over(Window.partitionBy("location_id").orderBy(*_best(score)))
+    return best.withColumn("position", position)
+
+
+def in_order(recommended: DataFrame) -> DataFrame:
+    """Recommendations of one location, few rows, from the best down."""
+    return recommended.orderBy("position")
 
 
 def top_n_all(scored: DataFrame, year: int, n: int = 50, score: str = "pred_pct_change") -> DataFrame:
     """The ``n`` best products of every location, with their ``position``.
 
-    The limit on the row number is applied before the shuffle as well, so a
-    location with many rows sends at most ``n`` per task.
+    A location's rows are first cut to ``n`` per slice of its products, so that what
+    the tasks before have left of a large location meets in several tasks, and then to
+    ``n`` once more. Either limit is applied before its shuffle as well.
     """
+    rows = scored.filter(F.col("year") == year)
+    slices = shuffle_partitions(scored.sparkSession)
+    rows = rows.withColumn("_slice", slice_of(["product_id"], F.lit(slices)))
+    in_slice = Window.partitionBy("location_id", "_slice").orderBy(*_best(score))
+    rows = rows.withColumn("position", F.row_number().over(in_slice)).filter(F.col("position") <= n)
     ordered = Window.partitionBy("location_id").orderBy(*_best(score))
-    return (
-        scored.filter(F.col("year") == year)
-        .withColumn("position", F.row_number().over(ordered))
-        .filter(F.col("position") <= n)
-    )
+    return rows.drop("_slice").withColumn("position", F.row_number().over(ordered)).filter(F.col("position") <= n)
 
 
 def rank_within(top: DataFrame, inverted: bool = False) -> DataFrame:

@@ -10,11 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from growthlens.plans.materialise import materialise
 
 BROADCAST_ROWS = 200_000  # rows of a lookup that may be broadcast
+BROADCAST_BYTES = 64 * 1024 * 1024  # and their size
 
 
 def attach(
@@ -36,11 +37,26 @@ def attach(
     if lookup_rows is None:
         lookup = materialise(lookup, "lookup")
         lookup_rows = lookup.count()  # answered by the Parquet footers
-    if lookup_rows <= broadcast_rows:
+    if lookup_rows <= broadcast_rows and lookup_rows * row_bytes(lookup) <= BROADCAST_BYTES:
         return rows.join(F.broadcast(lookup), list(keys), how)
     return spread_join(materialise(rows, "rows"), lookup, keys, spread_by, how)
 
 
+def row_bytes(table: DataFrame) -> float:
+    """Bytes of a row of a written table: 8 per number, what they hold on average for texts and arrays."""
+    fixed, parts = 0, []
+    for field in table.schema.fields:
+        kind, column = field.dataType, F.col(f"`{field.name}`")
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            parts.append(F.avg(F.octet_length(column)))
+        elif isinstance(kind, T.ArrayType):
+            parts.append(F.avg(F.size(column)) * 8)
+        fixed += 8
+    if not parts:
+        return fixed
+    return fixed + sum(x or 0 for x in table.agg(*[p.alias(f"_{i}") for i, p in enumerate(parts)]).first())
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

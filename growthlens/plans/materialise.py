@@ -13,17 +13,23 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
+BUCKET_ROWS = 4_000_000  # rows of a bucket, which one task reads as a whole
+
 _FALLBACK = "growthlens.scratch.dir"
 _TABLE_PREFIX = "growthlens_scratch_"
 
 
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session; a temporary one only in local mode."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(_FALLBACK, None)
+    folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
+    master = spark.conf.get("spark.master", "")
+    if not master.startswith("local") or master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
+    folder = spark.conf.get(_FALLBACK, None)
+    if folder:
+        return folder.rstrip("/")
     folder = tempfile.mkdtemp(prefix="growthlens-")
     spark.conf.set(_FALLBACK, folder)
     return folder
@@ -45,10 +51,11 @@ def materialise_by(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
     """Write ``df`` bucketed by ``keys``, so that grouping by them and joining on them need no shuffle.
 
     One shuffle here, to write one file per bucket, saves one per later use.
-    Buckets are known to the session's table catalog only, hence the table.
+    Buckets are known to the session's table catalog only, hence the table. Their number
+    follows from the rows, which are counted first; ``df`` should be a written table.
     """
     spark = df.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // BUCKET_ROWS))
     table = f"{_TABLE_PREFIX}{name}_{uuid.uuid4().hex}"
     writer = df.repartition(buckets, *keys).write.format("parquet").bucketBy(buckets, *keys).sortBy(*keys)
     writer.option("path", f"{session_folder(spark)}/{table}").saveAsTable(table)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -24,6 +25,7 @@ from growthlens.operators.neighbours import index_ratings, knn_predict, ratings_
 from growthlens.operators.panel import split_panel
 from growthlens.operators.recommend import (
     DISPLAY_COLUMNS,
+    in_order,
     location_id_of,
     rank_within,
     top_n,
@@ -52,6 +54,8 @@ class RunConfig:
     inverted: bool = False  # rank of actual change within the top: 1 is the lowest
     colocate: bool | None = None  # bucket panel and pairs by pair; None: from COLOCATE_ROWS rows on
     model_options: dict = field(default_factory=dict)
+    # What the test pairs carry into the model: (test pairs, train pairs) -> pairs with trend class and rank.
+    scenario: Callable[[DataFrame, DataFrame], DataFrame] = carry_forward
 
 
 @dataclass(frozen=True)
@@ -70,11 +74,10 @@ def write_panel(panel: DataFrame, colocate: bool | None = None) -> tuple[DataFra
     A run groups the panel by pair and joins it with pair tables several times.
     For a large one a single shuffle into buckets replaces those.
     """
+    panel = materialise(panel, "panel")
     if colocate is None:
-        panel = materialise(panel, "panel")
         colocate = panel.count() >= COLOCATE_ROWS
-        return (materialise_by(panel, PAIR, "panel") if colocate else panel), colocate
-    return (materialise_by(panel, PAIR, "panel") if colocate else materialise(panel, "panel")), colocate
+    return (materialise_by(panel, PAIR, "panel") if colocate else panel), colocate
 
 
 def split_features(panel: DataFrame, splits: Splits, colocate: bool = False) -> tuple[Features, Features]:
@@ -138,7 +141,7 @@ def predict(train: Features, test: Features, cfg: RunConfig, model=None) -> tupl
         )
         return amounts, None
     model = model or fit_model(train, cfg)
-    carried = carry_forward(test.pairs, train.pairs)
+    carried = cfg.scenario(test.pairs, train.pairs)
     amounts = model.predict(carried).select(*PAIR, _undo(cfg.model, F.col("z"), scale).alias("predictions"))
     return amounts, model
 
@@ -151,14 +154,15 @@ def score_pairs(train: Features, test: Features, predictions: DataFrame, cfg: Ru
 
 
 def recommend(scored: DataFrame, classes: DataFrame, cfg: RunConfig, location: int | None = None) -> DataFrame:
-    """Top rows of one location, or of every location, with names and the rank within the top."""
+    """Top rows of one location, from the best down, or of every location by ``position``; with names and the rank within the top."""
     year = cfg.splits.test.last_year
     if location is not None:
         top = top_n(scored, location, year, cfg.n, new_goods_only=cfg.new_goods_only)
     else:
         rows = scored.filter(F.col("export_period_train") == 0) if cfg.new_goods_only else scored
         top = top_n_all(rows, year, cfg.n)
-    return with_names(rank_within(top, cfg.inverted), classes).select("location_id", *DISPLAY_COLUMNS)
+    named = with_names(rank_within(top, cfg.inverted), classes).select("location_id", *DISPLAY_COLUMNS)
+    return in_order(named) if location is not None else named
 
 
 def run_pipeline(
@@ -170,12 +174,26 @@ def run_pipeline(
     model=None,
 ) -> RunResult:
     """Clean panel in, recommendations out. Pass ``model`` to use one fitted earlier."""
-    location = location_id_of(locations, location_name) if location_name is not None else None
     panel, colocate = write_panel(panel, cfg.colocate)
     train, test = split_features(panel, cfg.splits, colocate)
+    return finish_run(train, test, panel, classes, cfg, locations, location_name, model)
+
+
+def finish_run(
+    train: Features,
+    test: Features,
+    cells: DataFrame,
+    classes: DataFrame,
+    cfg: RunConfig,
+    locations: DataFrame | None = None,
+    location_name: str | None = None,
+    model=None,
+) -> RunResult:
+    """Predict, score and recommend from features; ``cells`` holds location, product and year of the test rows."""
+    location = location_id_of(locations, location_name) if location_name is not None else None
     predictions, model = predict(train, test, cfg, model)
     pairs = score_pairs(train, test, predictions, cfg)
-    scored = expand(pairs, panel, cfg.splits.test)
+    scored = expand(pairs, cells, cfg.splits.test)
     metrics = validation_report(pairs, "rows" if cfg.level == "row" else None)
     return RunResult(recommend(scored, classes, cfg, location), scored, metrics, train, test, model)
 
@@ -187,12 +205,50 @@ def save_run(
     predictions_key: str,
     prep: TableCatalog | None = None,
     prep_frames: dict[str, DataFrame] | None = None,
+    classes: DataFrame | None = None,
+    model_path: str | None = None,
 ) -> None:
-    """Store a run: train and test replace the clean store, predictions keep the keys beside theirs.
+    """Store a run: train and test with their pairs and groups replace the clean store, the model goes
+    to ``model_path``, and predictions, with names if ``classes`` are given, keep the keys beside theirs.
 
     The named intermediate tables are written only when a store for them is given.
     """
-    clean.write_all({"train": result.train.rows, "test": result.test.rows}, replace=True)
-    predictions.write(predictions_key, result.scored)
+    tables = {}
+    for name, features in (("train", result.train), ("test", result.test)):
+        tables |= {name: features.rows, f"{name}_pairs": features.pairs, f"{name}_groups": features.groups}
+    clean.write_all(tables, replace=True)
+    if model_path is not None and result.model is not None:
+        result.model.save(model_path)
+    predictions.write(predictions_key, result.scored if classes is None else with_names(result.scored, classes))
     if prep is not None:
         prep.write_all(prep_frames or {}, replace=True)
+
+
+def load_features(clean: TableCatalog) -> tuple[Features, Features]:
+    """Train and test features of a stored run."""
+    train, test = (
+        Features(clean.read(name), clean.read(f"{name}_pairs"), clean.read(f"{name}_groups")) for name in ("train", "test")
+    )
+    return train, test
+
+
+def recommend_from_store(
+    clean: TableCatalog,
+    classes: DataFrame,
+    cfg: RunConfig = RunConfig(),
+    locations: DataFrame | None = None,
+    location_name: str | None = None,
+    model_path: str | None = None,
+) -> RunResult:
+    """Recommendations and metrics from the stored features and a stored model; nothing is cleaned or trained anew.
+
+    Without a model path the neighbourhood and trend predictors work from the stored tables; the others need one.
+    """
+    model = None
+    if cfg.model in MODELS:
+        if model_path is None:
+            raise ValueError(f"a stored {cfg.model} model is needed")
+        options = {"full_features": cfg.full_features} if cfg.model in ("fm", "gbt") else {}
+        model = MODELS[cfg.model].load(clean.spark, model_path, **options)
+    train, test = load_features(clean)
+    return finish_run(train, test, test.rows.select(*CELL), classes, cfg, locations, location_name, model)

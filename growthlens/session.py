@@ -22,7 +22,7 @@ def local_session(cores: int = 8, partitions: int | None = None, memory: str = "
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    if not spark.conf.get("spark.checkpoint.dir", None):
+    if not spark.conf.get("spark.checkpoint.dir", None) and spark.conf.get("spark.master", "").startswith("local"):
         folder = os.environ.get("GROWTHLENS_SCRATCH") or tempfile.mkdtemp(prefix="growthlens-")
         spark.conf.set("growthlens.scratch.dir", folder)
     return spark

@@ -19,8 +19,8 @@ TABLES = {
     "events": "ts timestamp_ntz, user_id bigint, value double, props string",
 }
 
-UNITS = 10_000  # a price in cents times a discount in percent points
 HIGH = 1_000_000  # units per step of the high part of a split sum
+FIRST_DAY = "2024-01-01"  # period 1 of an event panel
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -31,14 +31,23 @@ def read_tables(spark: SparkSession, folder: str, names: Sequence[str]) -> dict[
     return {n: read_table(spark, folder, n) for n in names}
 
 
-def line_units() -> Column:
-    """Discounted price in whole ten-thousandths, so that sums do not depend on their order."""
-    cents = F.rint(F.col("l_extendedprice") * 100).cast("long")
-    kept = F.lit(100) - F.rint(F.col("l_discount") * 100).cast("long")
-    return cents * kept
+def whole_units(column: str, places: int) -> Column:
+    """A number as a whole count of its last decimal place; a value with more places stops the run."""
+    scaled = F.col(column) * F.lit(float(10**places))
+    whole = F.rint(scaled)
+    # A double nearest to a decimal is off by a few units in its last digit, not more.
+    fits = F.abs(scaled - whole) <= F.greatest(F.abs(scaled), F.lit(1.0)) * 1e-9
+    problem = F.concat(F.lit(f"{column} has more than {places} decimal places: "), F.col(column).cast("string"))
+    return F.when(F.col(column).isNull() | fits, whole.cast("long")).otherwise(F.raise_error(problem).cast("long"))
 
 
-def sum_of_units(units: str) -> Column:
+def line_units(price_places: int = 2, discount_places: int = 2) -> Column:
+    """Discounted price in whole units of the last place, so that sums do not depend on their order."""
+    kept = F.lit(10**discount_places) - whole_units("l_discount", discount_places)
+    return whole_units("l_extendedprice", price_places) * kept
+
+
+def sum_of_units(units: str, units_per_amount: int) -> Column:
     """Exact sum of whole units as an amount.
 
     Summed as high and low part: two 64-bit sums stay in generated code, where a
@@ -46,7 +55,7 @@ def sum_of_units(units: str) -> Column:
     """
     high = F.sum(F.expr(f"{units} div {HIGH}")).cast("double")
     low = F.sum(F.col(units) % HIGH).cast("double")
-    return (high * HIGH + low) / UNITS
+    return (high * HIGH + low) / units_per_amount
 
 
 def in_years(orders: DataFrame, years: tuple[int, int] | None) -> DataFrame:
@@ -67,9 +76,13 @@ def build_panel(
     tables: dict[str, DataFrame],
     product: str = "p_partkey",
     years: tuple[int, int] | None = None,
+    price_places: int = 2,
+    discount_places: int = 2,
 ) -> DataFrame:
     """``(location, product, year, export, import)`` from order lines.
 
+    Prices and discounts hold at most the given decimal places; a finer value stops the run.
+
     A line is an export of the supplier's nation and an import of the
     customer's. Each line yields both records and one grouping sums them: no
     second pass over the lines and no outer join. A flow without lines stays
@@ -95,8 +108,9 @@ def build_panel(
         lines = lines.withColumn("product_id", F.col("l_partkey").cast("long"))
     else:
         lines = lines.join(product_lookup(tables["part"], product), "l_partkey")
-    lines = lines.select("l_orderkey", "product_id", "exporter", line_units().alias("units"))
+    lines = lines.select("l_orderkey", "product_id", "exporter", line_units(price_places, discount_places).alias("units"))
     none = F.lit(None).cast("long")
+    unit = 10 ** (price_places + discount_places)
     flows = F.explode(
         F.array(
             F.struct(
@@ -112,7 +126,7 @@ def build_panel(
         .select("product_id", "year", flows.alias("flow"))
         .select("flow.*", "product_id", "year")
         .groupBy("location_id", "product_id", "year")
-        .agg(sum_of_units("export").alias("export_value"), sum_of_units("import").alias("import_value"))
+        .agg(sum_of_units("export", unit).alias("export_value"), sum_of_units("import", unit).alias("import_value"))
     )
 
 
@@ -128,29 +142,38 @@ def nations_as_locations(spark: SparkSession, folder: str) -> DataFrame:
     return nation.select(F.col("n_nationkey").cast("long").alias("index"), F.col("n_name").alias("name_en"))
 
 
-def parts_as_classes(spark: SparkSession, folder: str) -> DataFrame:
-    """Fine classes are parts; coarse classes are brands, numbered in name order."""
+def fine_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Parts as the fine classes."""
     part = read_table(spark, folder, "part")
-    fine = part.select(
+    return part.select(
         F.col("p_partkey").cast("long").alias("index"), F.col("p_name").alias("name"), F.lit("6digit").alias("level")
     )
-    brands = dense_ids(part, "p_brand", "index")
+
+
+def parts_as_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Fine classes are parts; coarse classes are brands, numbered in name order."""
+    brands = dense_ids(read_table(spark, folder, "part"), "p_brand", "index")
     coarse = brands.table.select("index", F.col("p_brand").alias("name"), F.lit("2digit").alias("level"))
-    return fine.unionByName(coarse)
+    return fine_classes(spark, folder).unionByName(coarse)
 
 
-def event_panel(spark: SparkSession, folder: str) -> DataFrame:
-    """Another panel of the same shape: users as locations, the event key as product, day as period."""
-    events = read_table(spark, folder, "events")
+def events_as_panel(events: DataFrame, first_day: str = FIRST_DAY, value_places: int = 2) -> DataFrame:
+    """Users as locations, the event key as product, days counted from ``first_day`` (1) as periods."""
     key = F.get_json_object("props", "$.k").cast("long")
+    day = F.datediff(F.col("ts").cast("date"), F.lit(first_day).cast("date")) + 1
     return (
         events.select(
             F.col("user_id").alias("location_id"),
             key.alias("product_id"),
-            F.dayofmonth("ts").alias("year"),
-            F.col("value").cast("decimal(18,2)").alias("value"),
+            day.alias("year"),
+            whole_units("value", value_places).alias("units"),
         )
         .groupBy("location_id", "product_id", "year")
-        .agg(F.sum("value").cast("double").alias("export_value"))
+        .agg(sum_of_units("units", 10**value_places).alias("export_value"))
         .withColumn("import_value", F.lit(None).cast("double"))
     )
+
+
+def event_panel(spark: SparkSession, folder: str) -> DataFrame:
+    """Another panel of the same shape, from the event table."""
+    return events_as_panel(read_table(spark, folder, "events"))

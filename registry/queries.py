@@ -8,6 +8,8 @@ out so that they can be compared with SQL results.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from growthlens.config import CELL, PAIR, PeriodSpec, Splits
@@ -17,6 +19,8 @@ from growthlens.models.learned import (
     FactorisationMachine,
     FactorTrees,
     MatrixFactorisation,
+    TARGET,
+    TREND_FEATURES,
     als_grid_search,
     evaluate,
     training_rows,
@@ -45,21 +49,24 @@ from growthlens.operators.panel import clean_panel as clean
 from growthlens.operators.panel import split_panel
 from growthlens.operators.profile import profile as profile_of
 from growthlens.operators.ranking import global_rank
-from growthlens.operators.recommend import location_id_of, rank_within, top_n, top_n_all, with_names
+from growthlens.operators.recommend import in_order, location_id_of, rank_within, top_n, top_n_all, with_names
 from growthlens.operators.scaling import scale_global as scaled_globally
 from growthlens.operators.scaling import scale_grouped as scaled_by_group
 from growthlens.plans.attach import attach
-from growthlens.plans.materialise import materialise
-from growthlens.plans.pipeline import RunConfig, run_pipeline
-from growthlens.sources.catalog import build_sample
+from growthlens.plans.materialise import materialise, session_folder
+from growthlens.plans.pipeline import RunConfig, run_pipeline, save_run
+from growthlens.plans.pipeline import recommend_from_store as stored_recommendations
+from growthlens.sources.catalog import build_sample, load_panel, open_stores
 from growthlens.sources.transactions import (
     event_panel as panel_of_events,
+    fine_classes,
     nations_as_locations,
     parts_as_classes,
     trade_panel as panel_of_trade,
 )
 
 SPLITS = Splits(PeriodSpec(1995, 1996, 1997), PeriodSpec(1997, 1998, 1999))
+LONG = PeriodSpec(1995, 1997, 1999)
 EVENT_DAYS = PeriodSpec(1, 9, 17)
 LOCATION = "NATION_3"
 TOP = 50
@@ -138,7 +145,8 @@ def null_counts(spark, folder):
 
 
 def profile(spark, folder):
-    return rounded(profile_of(_panel(spark, folder), ["export_value", "import_value"]))
+    panel = materialise(clean(panel_of_trade(spark, folder)), "panel")
+    return rounded(profile_of(panel, ["export_value", "import_value"]))
 
 
 def cardinality(spark, folder):
@@ -158,8 +166,15 @@ def trends(spark, folder):
     return rounded(trend_table(clean(panel_of_trade(spark, folder, years=years)), SPLITS.train))
 
 
+def trends_long(spark, folder):
+    """Halves of two years, and the percentile rank of their trend over panel rows."""
+    years = (LONG.start, LONG.end)
+    panel = materialise(clean(panel_of_trade(spark, folder, years=years)), "panel")
+    return rounded(pair_features(panel, LONG).drop("import_period1", "import_period2"), export_trend_pct_rank=9)
+
+
 def export_share(spark, folder):
-    panel = _panel(spark, folder)
+    panel = materialise(clean(panel_of_trade(spark, folder)), "panel")
     totals = location_year_totals(panel).select("location_id", "year", "export_total_loc_year")
     rows = attach(panel, totals, ["location_id", "year"], ["product_id"], "inner")
     pct = share(F.col("export_value"), F.col("export_total_loc_year"))
@@ -292,7 +307,7 @@ def unminmaxed(spark, folder):
 
 # --- recommendation -----------------------------------------------------------------------------
 
-SHOWN = ["location_id", "product_id", "export_period_test", "export_pct_change", "predictions", "pred_pct_change"]
+SHOWN = ["position", "location_id", "product_id", "export_period_test", "export_pct_change", "predictions", "pred_pct_change"]
 
 
 def _scored_rows(spark, folder) -> DataFrame:
@@ -301,31 +316,32 @@ def _scored_rows(spark, folder) -> DataFrame:
 
 
 def _parts(spark, folder) -> DataFrame:
-    return parts_as_classes(spark, folder).filter(F.col("level") == "6digit")
+    return fine_classes(spark, folder)
 
 
 def top_n_location(spark, folder):
     location = location_id_of(nations_as_locations(spark, folder), LOCATION)
     top = top_n(_scored_rows(spark, folder), location, SPLITS.test.last_year, TOP)
-    return rounded(with_names(top.select(*SHOWN), _parts(spark, folder)))
+    named = in_order(with_names(top.select(*SHOWN), _parts(spark, folder)))
+    return rounded(named.withColumn("position", F.col("position").cast("long")))
 
 
 def top_n_new_goods(spark, folder):
-    location = location_id_of(nations_as_locations(spark, folder), LOCATION)
-    top = top_n(
-        _scored_rows(spark, folder),
-        location,
-        SPLITS.test.last_year,
-        20,
-        score="export_pct_change",
-        new_goods_only=True,
-    )
-    return rounded(with_names(top.select(*SHOWN), _parts(spark, folder)))
+    """New goods of one location by their growth as the neighbourhood model predicts it."""
+    cfg = RunConfig(splits=SPLITS, model="knn", n=20, new_goods_only=True)
+    panel = clean(panel_of_trade(spark, folder, years=SPLITS.years()))
+    run = run_pipeline(panel, _parts(spark, folder), cfg, nations_as_locations(spark, folder), LOCATION)
+    return _displayed(run.recommendations)
+
+
+def _displayed(top: DataFrame, places: int = 2) -> DataFrame:
+    whole = {c: F.col(c).cast("long") for c in ("position", "export_pct_change_rank_loc")}
+    return rounded(top.withColumns(whole), 4, predictions=places, pred_pct_change=places)
 
 
 def top_n_all_locations(spark, folder):
     top = top_n_all(_scored_rows(spark, folder), SPLITS.test.last_year, TOP)
-    named = with_names(top.select(*SHOWN, "position"), _parts(spark, folder))
+    named = with_names(top.select(*SHOWN), _parts(spark, folder))
     return rounded(named.withColumn("position", F.col("position").cast("long")))
 
 
@@ -359,7 +375,15 @@ def ratings(spark, folder):
 
 def user_similarity(spark, folder):
     train = build_features(_panel(spark, folder), SPLITS.train)
-    return rounded(similarities(index_ratings(_trade_ratings(train))))
+    return rounded(similarities(index_ratings(_trade_ratings(train))).drop("distance"))
+
+
+def user_similarity_raw(spark, folder):
+    """Similarities of unscaled amounts, shown by the distance they stand for."""
+    rows = split_panel(_panel(spark, folder), SPLITS.train)
+    known = ratings_of(rows, *PAIR, "export_value")
+    out = similarities(index_ratings(known))
+    return out.select("user_a", "user_b", "support", _round("distance", 0).alias("distance"))
 
 
 def knn_predictions(spark, folder):
@@ -383,13 +407,19 @@ def knn_predictions_k5_others(spark, folder):
 def knn_recommendations(spark, folder):
     cfg = RunConfig(splits=SPLITS, model="knn", n=20)
     panel = clean(panel_of_trade(spark, folder, years=SPLITS.years()))
-    top = run_pipeline(panel, _parts(spark, folder), cfg).recommendations
-    return rounded(
-        top.withColumn("export_pct_change_rank_loc", F.col("export_pct_change_rank_loc").cast("long")),
-        4,
-        predictions=2,
-        pred_pct_change=2,
-    )
+    return _displayed(run_pipeline(panel, _parts(spark, folder), cfg).recommendations)
+
+
+def recommend_from_store(spark, folder):
+    """A run in three stages: raw tables stored, a run stored, recommendations from what was stored."""
+    stores = open_stores(spark, f"{session_folder(spark)}/project-{uuid.uuid4().hex}")
+    stores["data_full"].write("country_hsproduct6digit_year", panel_of_trade(spark, folder, years=SPLITS.years()))
+    stores["data_full"].write("classifications/hs_product", _parts(spark, folder))
+    classes = stores["data_full"].classes("classifications/hs_product")
+    cfg = RunConfig(splits=SPLITS, model="trend", n=20)
+    result = run_pipeline(load_panel(stores, "data_full"), classes, cfg)
+    save_run(result, stores["data_full_clean"], stores["data_sample"], "df_predictions", classes=classes)
+    return _displayed(stored_recommendations(stores["data_full_clean"], classes, cfg).recommendations, places=4)
 
 
 def _event_ratings(spark, folder) -> tuple[DataFrame, DataFrame]:
@@ -402,7 +432,7 @@ def _event_ratings(spark, folder) -> tuple[DataFrame, DataFrame]:
 
 def event_user_similarity(spark, folder):
     known, _ = _event_ratings(spark, folder)
-    return rounded(similarities(index_ratings(known)))
+    return rounded(similarities(index_ratings(known)).drop("distance"))
 
 
 def event_knn_predictions(spark, folder):
@@ -451,6 +481,36 @@ def _model_predictions(spark, folder, model) -> DataFrame:
     return z.select(*PAIR, destandardise(F.col("z"), m["value_mean"], m["value_std"]).alias("predictions"))
 
 
+def _model_checks(spark, folder, model) -> DataFrame:
+    """Per test pair whether it has a finite prediction, and whether the model beats the mean on what it was trained on.
+
+    The amounts of the test tables are drawn at random, so nothing beats the mean on the later years.
+    """
+    panel = _panel(spark, folder)
+    train = build_features(panel, SPLITS.train)
+    rows = training_rows(train.rows)
+    fitted = model.fit(rows)
+    test = trend_table(panel, SPLITS.test)
+    z = materialise(fitted.predict(carry_forward(test, train.pairs)), "model_predictions")
+    own = fitted.predict(rows.select(*PAIR, *TREND_FEATURES).distinct())
+    known = rows.select(*PAIR, TARGET).join(own, PAIR)
+    errors = known.agg(F.avg((F.col(TARGET) - F.col("z")) ** 2).alias("model"), F.var_pop(TARGET).alias("mean")).first()
+    finite = F.col("z").isNotNull() & ~F.isnan("z")
+    return z.select(*PAIR, finite.alias("predicted"), F.lit(errors["model"] < errors["mean"]).alias("beats_mean"))
+
+
+def als_checks(spark, folder):
+    return _model_checks(spark, folder, MatrixFactorisation())
+
+
+def gbt_checks(spark, folder):
+    return _model_checks(spark, folder, FactorTrees())
+
+
+def fm_checks(spark, folder):
+    return _model_checks(spark, folder, FactorisationMachine())
+
+
 def als_predictions(spark, folder):
     return _model_predictions(spark, folder, MatrixFactorisation())
 
@@ -498,6 +558,7 @@ QUERIES = {
     "export_share": export_share,
     "scale_global": scale_global,
     "scale_grouped": scale_grouped,
+    "trend_table_long": trends_long,
     "trend_class": trend_classes,
     "pct_rank": pct_rank,
     "feature_table_train": feature_table_train,
@@ -522,11 +583,16 @@ QUERIES = {
     "knn_predictions": knn_predictions,
     "knn_predictions_k5_others": knn_predictions_k5_others,
     "knn_recommendations": knn_recommendations,
+    "recommend_from_store": recommend_from_store,
+    "user_similarity_raw": user_similarity_raw,
     "event_user_similarity": event_user_similarity,
     "event_knn_predictions": event_knn_predictions,
     "validation_report": validation_report,
     "validation_report_pairs": validation_report_pairs,
     "loss_report": loss_report,
+    "als_checks": als_checks,
+    "gbt_checks": gbt_checks,
+    "fm_checks": fm_checks,
     "als_predictions": als_predictions,
     "fm_predictions": fm_predictions,
     "gbt_predictions": gbt_predictions,

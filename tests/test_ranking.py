@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from growthlens.operators.metrics import cosine, huber, log_cosh, long_report, loss_report
 from growthlens.operators.profile import profile
-from growthlens.operators.ranking import exact_quantiles, global_rank
+from growthlens.operators.ranking import BUCKET_ROWS, _bucket_count, exact_quantiles, global_rank, rank_sample
 from growthlens.plans.materialise import materialise
 
 from conftest import by_key
@@ -112,6 +112,18 @@ def test_rank_plan_has_no_single_partition_sort(frame):
     assert "SinglePartition" not in plan and "Python" not in plan
 
 
+def test_the_cuts_meet_in_no_task(frame):
+    df = materialise(frame([(i, float(i % 90)) for i in range(30_000)], SCHEMA))
+    sample = rank_sample(df, ["v"], 30_000, 8)
+    assert "Exchange" not in sample._jdf.queryExecution().toString()
+    assert 8_000 < sample.count() < 12_000
+
+
+def test_buckets_follow_from_the_rows(frame):
+    df = frame([(1, 1.0)], SCHEMA)
+    assert _bucket_count(df, 10**12) == 10**12 // BUCKET_ROWS and _bucket_count(df, 1) >= 2
+
+
 def test_exact_quantiles_and_profile(frame):
     values = [float(v) for v in skewed_values(999, 5) if v is not None]
     df = materialise(frame([(i, v) for i, v in enumerate(values)], SCHEMA))

@@ -29,7 +29,7 @@ def test_top_n_for_all_equals_top_n_for_each(scored):
 
 def test_top_n_all_limits_before_the_shuffle(scored):
     plan = top_n_all(scored, 2014, 2)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("WindowGroupLimit") == 2
+    assert plan.count("WindowGroupLimit") == 4
 
 
 def test_rank_within_both_ways(scored):

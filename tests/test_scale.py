@@ -80,15 +80,21 @@ def test_grouped_scaling_uses_no_window(hot):
     assert "Window" not in plan and "Python" not in plan
 
 
-@pytest.mark.parametrize("one_task_rows", [100_000, 0])
-def test_dense_ids_are_consecutive_and_unique(spark, one_task_rows):
-    df = spark.range(500).select(F.concat(F.lit("n"), F.col("id") % 123).alias("name"))
-    numbering = dense_ids(df, "name", "number", one_task_rows)
-    rows = numbering.table.collect()
-    assert numbering.size == len(rows) == 123
-    assert sorted(r["number"] for r in rows) == list(range(123))
-    if one_task_rows:
-        assert [r["name"] for r in sorted(rows, key=lambda r: r["number"])] == sorted(r["name"] for r in rows)
+@pytest.mark.parametrize("range_values", [1_000_000, 10])
+def test_dense_ids_follow_value_order_at_any_size(spark, range_values):
+    names = F.concat(F.lit("n"), F.col("id") % 123).alias("name")
+    df = spark.range(500).select(F.when(F.col("id") < 490, names).alias("name"))
+    numbering = dense_ids(df, "name", "number", range_values)
+    got = {r["name"]: r["number"] for r in numbering.table.collect()}
+    assert numbering.size == 123
+    assert got == {name: i for i, name in enumerate(sorted(f"n{i}" for i in range(123)))}
+
+
+def test_dense_ids_of_wide_numbers_and_of_nothing(spark):
+    df = spark.range(5).select((F.col("id") * 2**60 - 2**61).alias("k"))
+    got = {r["k"]: r["i"] for r in dense_ids(df, "k", "i", 2).table.collect()}
+    assert got == {i * 2**60 - 2**61: i for i in range(4)} | {4 * 2**60 - 2**61: 4}
+    assert dense_ids(df.limit(0), "k", "i").table.count() == 0
 
 
 def test_materialised_frame_reads_back_identically(frame):
