@@ -1,0 +1,160 @@
+"""Budgets, token prefixes and preference pairs: SQL twins, hand-made cases, odd inputs."""
+
+import os
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from growthlens.llm import chat, mixing
+from growthlens.llm.oracle import SQL
+from growthlens.llm.queries import QUERIES
+from registry.check import connect, differences
+
+FOLDER = "/root/testdata/sf0.001"
+DOCS = "doc_id long, text string, lang string, source string, n_tokens int, domain string, budget int"
+needs_data = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables here")
+
+
+@needs_data
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_query_equals_its_sql_twin(spark, name):
+    want = connect(FOLDER).execute(SQL[name]).df()
+    assert differences(QUERIES[name](spark, FOLDER).toPandas(), want) is None
+
+
+def water(budget, children):
+    """Shares by definition: repeat until no child is above its cap."""
+    children, share, left = dict(children), {}, budget
+    while children:
+        total = sum(w for w, _ in children.values())
+        full = [n for n, (w, c) in children.items() if c * total <= left * w]
+        if not full:
+            return share | {n: left * w / total for n, (w, _) in children.items()}
+        for n in full:
+            share[n] = children.pop(n)[1]
+        left = budget - sum(share.values())
+    return share
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_shares_equal_water_filling_and_add_up(spark, seed):
+    rng = random.Random(seed)
+    rows, want = [], {}
+    for parent in range(6):
+        kids = {f"k{i}": (rng.randint(1, 9), rng.randint(0, 10**rng.randint(1, 15))) for i in range(rng.randint(1, 8))}
+        budget = rng.randint(0, sum(c for _, c in kids.values()))
+        rows += [(parent, n, w, c, budget) for n, (w, c) in kids.items()]
+        want[parent] = (budget, water(budget, kids))
+    frame = spark.createDataFrame(rows, "parent int, name string, weight long, cap long, budget long")
+    got = {}
+    for r in mixing.allocate(frame, ["parent"], "name").collect():
+        got.setdefault(r["parent"], {})[r["name"]] = r["share"]
+        assert 0 <= r["share"] <= r["cap"]
+    for parent, (budget, shares) in want.items():
+        assert sum(got[parent].values()) == budget
+        for name, share in shares.items():
+            assert abs(got[parent][name] - share) <= 1 + 1e-9 * share
+
+
+def corpus(spark):
+    rows = [(i, "w " * (1 + i % 5), "en" if i % 3 else "de", f"src{i % 20}", 1, "clash", 2) for i in range(300)]
+    rows += [(900, None, None, None, 1, "x", 1), (901, "", "en", "src0", 1, "x", 1), (None, "no id here", "en", "src0", 1, "x", 1)]
+    rows += [(902, "long " * 40_000, "fr", "src9", 1, "x", 1), (903, "twice", "es", "odd name", 1, "x", 1), (903, "twice", "es", "odd name", 1, "x", 1)]
+    return spark.createDataFrame(rows, DOCS)
+
+
+def test_shortage_goes_to_siblings_before_ancestors(spark):
+    """Domain a is owed half; its small source cannot take its part, the sibling does, and b gets no more than its half."""
+    docs = spark.createDataFrame(
+        [(i, "t", "en", "a1", 1, "", 1) for i in range(10)] + [(100 + i, "t", "en", "a2", 1, "", 1) for i in range(90)]
+        + [(200 + i, "t", "en", "b1", 1, "", 1) for i in range(100)], DOCS
+    )
+    targets = mixing.Targets({"a": 1, "b": 1}, {None: 1}, numerator=1, denominator=2, max_epochs=1)
+    domain = F.substring("source", 1, 1)
+    plan = {r["source"]: r["budget"] for r in mixing.budgets(mixing.leaf_rows(docs, domain), targets).collect()}
+    assert plan == {"a1": 10, "a2": 40, "b1": 50}
+    all_of_a = mixing.Targets({"a": 9, "b": 1}, {None: 1}, numerator=3, denominator=4, max_epochs=1)
+    plan = {r["source"]: r["budget"] for r in mixing.budgets(mixing.leaf_rows(docs, domain), all_of_a).collect()}
+    assert plan == {"a1": 10, "a2": 90, "b1": 50}
+
+
+def test_prefix_reaches_its_budget_whatever_the_slices(spark, monkeypatch):
+    docs = corpus(spark)
+    got = {}
+    for rows in (1, 4_096):
+        monkeypatch.setattr(mixing, "SLICE_ROWS", rows)
+        got[rows] = sorted(map(tuple, mixing.mix(docs).collect()), key=repr)
+    assert got[1] == got[4_096]
+    rows = mixing.mix(docs)
+    budget = mixing.budgets(mixing.leaf_rows(docs), mixing.TARGETS)
+    taken = {tuple(r[c] for c in mixing.LEAF): r["t"] for r in rows.groupBy(*mixing.LEAF).agg(F.sum("tokens_taken").alias("t")).collect()}
+    for r in budget.collect():
+        if r["source"] != "odd name" and r["budget"]:  # rows that repeat an id count alike
+            assert taken[tuple(r[c] for c in mixing.LEAF)] == r["budget"]
+
+
+def test_kept_rows_repeat_by_epoch_and_keep_their_columns(spark):
+    docs = corpus(spark)
+    kept = mixing.keep_mixed(docs)
+    assert kept.columns == docs.columns
+    copies = {r["doc_id"]: r["copies"] for r in mixing.mix(docs).filter("doc_id <> 903").collect()}
+    got = {r["doc_id"]: r["count"] for r in kept.filter("doc_id <> 903").groupBy("doc_id").count().collect()}
+    assert got == copies
+    assert mixing.mix(docs.limit(0)).count() == 0 and mixing.keep_mixed(docs.limit(0)).count() == 0
+
+
+TURNS = "conv_id long, turn long, role string, text string, chosen int, pair_id string"
+
+
+def test_prompt_is_the_common_prefix_and_masks_cover_the_replies(spark):
+    turn = lambda n, r, t: (n, r, t)
+    common = [turn(0, "system", "S"), turn(1, "user", "hé")]
+    pairs = spark.createDataFrame(
+        [
+            (1, [*common, turn(2, "assistant", "good")], [*common, turn(2, "assistant", "bad"), turn(3, "user", "why")]),
+            (2, common, common),
+            (3, common, common[:1]),
+            (4, [], common),
+            (5, [turn(0, "user", "<|im_end|>x")], [turn(0, "user", "y")]),
+        ],
+        "pair_id int, chosen array<struct<turn: long, role: string, text: string>>, rejected array<struct<turn: long, role: string, text: string>>",
+    )
+    got = {r["pair_id"]: r for r in chat.format_preferences(pairs).collect()}
+    one = got[1]
+    assert one["n_common"] == 2
+    assert one["prompt"] == "<|im_start|>system\nS<|im_end|>\n<|im_start|>user\nhé<|im_end|>\n"
+    assert one["chosen"] == "<|im_start|>assistant\ngood<|im_end|>\n" and one["chosen_mask"] == "0x22 1x14 0x1"
+    assert one["rejected_mask"] == "0x22 1x13 0x1 0x31"
+    assert len(one["rejected"]) == 22 + 13 + 1 + 31
+    trained = one["chosen"][22 : 22 + 14]
+    assert trained == "good<|im_end|>"
+    assert (got[2]["n_common"], got[2]["chosen"], got[2]["rejected"]) == (2, "", "")
+    assert (got[3]["n_common"], got[3]["rejected"]) == (1, "") and "hé" in got[3]["chosen"]
+    assert (got[4]["n_common"], got[4]["prompt"], got[4]["chosen"], got[4]["chosen_mask"]) == (0, "", "", "")
+    assert got[5]["chosen"].count("<|im_end|>") == 1
+
+
+def test_pairs_from_conversations_with_odd_rows(spark):
+    rows = [
+        (0, 1, "assistant", "a1"), (0, 0, "user", "u"), (0, 2, "user", "after"),
+        (1, 0, "user", "u"), (1, 1, "assistant", "b1"), (1, 3, "assistant", "b2" * 50_000),
+        (2, 0, "user", "alone"), (2, 1, "assistant", "x"), (3, 0, "user", "no reply"),
+        (None, 0, "assistant", "lost"), (4, None, None, None), (4, 1, "assistant", None),
+        (5, 0, "assistant", "same"), (5, 0, "assistant", "same"), (-2, 0, "assistant", "neg"), (-1, 0, "assistant", "neg"),
+    ]
+    frame = spark.createDataFrame([(*r, 1, "clash") for r in rows], TURNS)
+    got = {r["pair_id"]: r for r in chat.format_preferences(chat.swapped_replies(frame)).collect()}
+    assert set(got) == {0, 1, 4, 5, -1, -2}
+    assert got[0]["n_common"] == 1 and "b2b2" in got[0]["rejected"] and "after" not in got[0]["chosen"]
+    assert got[1]["n_common"] == 2 and got[1]["rejected"].endswith("a1<|im_end|>\n")
+    assert got[4]["prompt"].startswith("<|im_start|>unknown\n<|im_end|>")
+    assert got[-1]["n_common"] == 1 and got[-1]["chosen"] == ""
+    assert chat.format_preferences(chat.swapped_replies(frame.limit(0))).count() == 0
+
+
+def test_hidden_columns_stay_native(spark):
+    docs = corpus(spark)
+    for frame in (mixing.mix(docs), mixing.keep_mixed(docs)):
+        plan = frame._jdf.queryExecution().toString()
+        assert "Python" not in plan and "Arrow" not in plan

@@ -15,7 +15,7 @@ from growthlens.models.learned import (
 )
 from growthlens.operators.baseline import carry_forward
 from growthlens.plans.materialise import materialise
-from growthlens.plans.pipeline import RunConfig, prep_tables, run_pipeline, save_run, split_features
+from growthlens.plans.pipeline import RunConfig, prep_tables, recommend_from_store, run_pipeline, save_run, split_features
 from growthlens.sources.catalog import PREP_KEYS, TableCatalog
 
 from conftest import by_key
@@ -112,15 +112,76 @@ def test_models_beat_the_mean_and_survive_saving(spark, split, tmp_path, make, l
     assert before == after and len(before) == test.pairs.count()
 
 
-def test_wide_ids_are_hashed(split, monkeypatch):
-    monkeypatch.setattr(learned, "MAX_ONE_HOT", 4)
-    monkeypatch.setattr(learned, "HASHED_WIDTH", 256)
+def test_too_many_coefficients_stop_unless_hashing_is_asked_for(split, monkeypatch):
+    monkeypatch.setattr(learned, "MOST_COEFFICIENTS", 4)
     rows = materialise(split[0].rows)
-    model = FactorisationMachine(full_features=False, iterations=60).fit(rows)
+    with pytest.raises(ValueError, match="hashed"):
+        FactorisationMachine(full_features=False, iterations=2).fit(rows)
+    model = FactorisationMachine(full_features=False, iterations=60, hashed=256).fit(rows)
     error, variance = in_sample_mse(model, rows)
     assert error < 0.9 * variance
 
 
+@pytest.mark.parametrize("make", [MatrixFactorisation, FactorisationMachine, FactorTrees])
+def test_wide_ids_give_what_narrow_ids_give_and_unseen_pairs_give_zero(split, make):
+    rows = materialise(split[0].rows)
+    wide = {c: F.col(c) * 2**40 - 2**62 for c in PAIR}
+    settings = {"iterations": 3} if make is not FactorTrees else {"trees": 2}
+    narrow_model, wide_model = make(**settings).fit(rows), make(**settings).fit(materialise(rows.withColumns(wide)))
+    pairs = rows.select(*PAIR, *learned.TREND_FEATURES).distinct()
+    extra = pairs.limit(1).withColumn("product_id", F.lit(999).cast("long"))
+    pairs = materialise(pairs.unionByName(extra))
+    a = by_key(narrow_model.predict(pairs).withColumns(wide), *PAIR)
+    b = by_key(wide_model.predict(materialise(pairs.withColumns(wide))), *PAIR)
+    assert set(a) == set(b)
+    for key in a:
+        assert a[key]["z"] == pytest.approx(b[key]["z"], abs=1e-6)
+    assert [r["z"] for k, r in a.items() if k[1] == 999 * 2**40 - 2**62] == [0.0]
+
+
+def test_blocks_of_als_follow_the_rows():
+    assert learned.als_blocks(1_000) == 10 and learned.als_blocks(10**10) == 10**10 // learned.BLOCK_ROWS
+
+
+def test_recommendations_are_ordered_and_carry_their_position(panel, classes, frame):
+    locations = frame([(i, f"L{i}") for i in range(8)], "index long, name_en string")
+    run = run_pipeline(panel, classes, RunConfig(splits=SPLITS, model="trend", n=9), locations, "L2")
+    rows = run.recommendations.collect()
+    assert [r["position"] for r in rows] == list(range(1, 10))
+    growth = [r["pred_pct_change"] for r in rows]
+    assert growth == sorted(growth, reverse=True)
+
+
+@pytest.mark.parametrize("kind", ["trend", "als", "knn"])
+def test_recommending_from_stores_gives_what_the_run_gave(spark, panel, classes, tmp_path, kind):
+    cfg = RunConfig(splits=SPLITS, model=kind, n=4, model_options={"iterations": 3} if kind == "als" else {})
+    result = run_pipeline(panel, classes, cfg)
+    clean, predictions = TableCatalog(spark, str(tmp_path / "clean")), TableCatalog(spark, str(tmp_path / "out"))
+    save_run(result, clean, predictions, "df_predictions", classes=classes, model_path=str(tmp_path / "model"))
+    assert predictions.read("df_predictions").filter("name is null").count() == 0
+    path = str(tmp_path / "model") if kind == "als" else None
+    again = recommend_from_store(clean, classes, cfg, model_path=path)
+    assert by_key(again.recommendations, "location_id", "position") == by_key(result.recommendations, "location_id", "position")
+    if kind == "als":
+        with pytest.raises(ValueError):
+            recommend_from_store(clean, classes, cfg)
+
+
+def test_scenarios_and_losses_on_carried_features(panel, classes, split):
+    seen = []
+
+    def rising(test_pairs, train_pairs):
+        seen.append(1)
+        return carry_forward(test_pairs, train_pairs).withColumn("export_trend_class", F.lit(1))
+
+    cfg = RunConfig(splits=SPLITS, model="gbt", n=2, model_options={"trees": 2}, scenario=rising)
+    result = run_pipeline(panel, classes, cfg)
+    assert seen and result.recommendations.count() == 16
+    carried = materialise(carry_forward(split[1].pairs, split[0].pairs))
+    losses = evaluate(result.model, split[1].rows, carried)
+    assert {r["metric"] for r in losses.collect()} == {"mse", "mae", "logcosh", "huber", "cosine"}
+
+
 def test_evaluation_and_saved_run(spark, panel, classes, split, tmp_path):
     model = MatrixFactorisation(iterations=5).fit(split[0].rows)
     losses = {r["metric"]: r["value"] for r in evaluate(model, split[1].rows).collect()}
@@ -131,7 +192,8 @@ def test_evaluation_and_saved_run(spark, panel, classes, split, tmp_path):
     clean, predictions = TableCatalog(spark, str(tmp_path / "clean")), TableCatalog(spark, str(tmp_path / "out"))
     predictions.write("df_knn", panel.limit(1))
     save_run(result, clean, predictions, "df_predictions_als")
-    assert clean.keys() == ["test", "train"] and predictions.keys() == ["df_knn", "df_predictions_als"]
+    wanted = sorted(f"{t}{part}" for t in ("test", "train") for part in ("", "_groups", "_pairs"))
+    assert clean.keys() == wanted and predictions.keys() == ["df_knn", "df_predictions_als"]
     stored = clean.read("train")
     assert stored.columns == result.train.rows.columns and stored.count() == result.train.rows.count()
 

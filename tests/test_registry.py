@@ -13,6 +13,7 @@ FOLDER = "/root/testdata/sf0.001"
 CHECKED = [
     "trade_panel", "trade_panel_brand", "panel_sample", "null_report", "key_cardinality", "export_share",
     "feature_table_test", "min_rank", "rank_within_top_n", "event_knn_predictions", "validation_report",
+    "trend_table_long", "top_n_new_goods", "user_similarity_raw", "recommend_from_store",
 ]
 
 needs_data = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables here")

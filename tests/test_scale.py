@@ -37,19 +37,27 @@ def test_rows_without_a_key_are_kept_and_spread(spark):
     assert spread_join(rows, lookup, ["k"], ["id"], "inner").count() == 200
 
 
-def test_hot_key_is_spread_over_tasks(spark, hot, monkeypatch):
-    seen = {}
-    original = attach_module.slice_of
+def test_hot_key_is_spread_over_tasks(spark, hot):
+    """With P partitions a key with a third of the rows gets ceil(P / 3) slices, the others one."""
+    partitions = attach_module.shuffle_partitions(spark)
+    lookup = spark.range(0, 60).select(F.col("id").alias("k"))
+    joined = spread_join(hot, lookup, ["k"], ["id"])
+    assert joined.count() == 3_000
+    hot_slices = -(-partitions // 3)
+    placed = hot.withColumn("slice", attach_module.slice_of(["id"], F.when(F.col("k") == 0, hot_slices).otherwise(1)))
+    per_slice = {(r["k"], r["slice"]): r["count"] for r in placed.groupBy("k", "slice").count().collect()}
+    sizes = [n for (k, _), n in per_slice.items() if k == 0]
+    assert len(sizes) == hot_slices and max(sizes) < 1.3 * 1_000 / hot_slices
+    assert "_slice" in joined._jdf.queryExecution().toString()
 
-    def spy(spread_by, slices):
-        seen["slices"] = slices
-        return original(spread_by, slices)
 
-    monkeypatch.setattr(attach_module, "slice_of", spy)
-    lookup = spark.range(0, 60).select(F.col("id").alias("k"))
-    assert spread_join(hot, lookup, ["k"], ["id"]).count() == 3_000
-    # With 4 partitions only the hot key has more than a fair share: ceil(4 / 3) slices.
-    assert seen["slices"] is not None
+def test_broadcasts_are_measured_in_bytes(spark, hot, monkeypatch):
+    wide = materialise(spark.range(0, 60).select(F.col("id").alias("k"), F.repeat(F.lit("x"), 1_000).alias("x")))
+    assert 1_000 < attach_module.row_bytes(wide) < 1_100
+    assert attach_module.row_bytes(materialise(spark.range(3).select("id", F.array_repeat("id", 5).alias("a")))) == 8 + 8 + 40
+    monkeypatch.setattr(attach_module, "BROADCAST_BYTES", 10_000)
+    assert attach(hot, wide, ["k"], ["id"]).filter("x is not null").count() == 3_000
+    assert "_slice" in attach(hot, wide, ["k"], ["id"])._jdf.queryExecution().toString()
 
 
 def test_grouped_scaling_in_both_forms(hot):
@@ -105,7 +113,21 @@ def test_materialised_frame_reads_back_identically(frame):
     assert "ExistingRDD" not in again._jdf.queryExecution().toString()
 
 
-def test_shared_folder_comes_from_the_session(spark):
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        assert shared_folder(spark) == configured.rstrip("/")
+class FakeSession:
+    """Settings of a session on a cluster."""
+
+    def __init__(self, **settings):
+        self.conf = self
+        self.settings = {k.replace("_", "."): v for k, v in settings.items()}
+
+    def get(self, key, default=None):
+        return self.settings.get(key, default)
+
+
+def test_no_local_folder_off_local_mode():
+    scratch = {"growthlens_scratch_dir": "/tmp/x"}
+    for master in ("yarn", "spark://a:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            shared_folder(FakeSession(spark_master=master, **scratch))
+    assert shared_folder(FakeSession(spark_master="yarn", spark_checkpoint_dir="s3a://b/c/")) == "s3a://b/c"
+    assert shared_folder(FakeSession(spark_master="local[2]", **scratch)) == "/tmp/x"
