@@ -222,9 +222,7 @@ def replace_entities(docs: DataFrame, key: str, text: str = "text") -> DataFrame
     marked = docs.withColumn("_raws", F.coalesce(_found(value), F.array().cast("array<string>")))
     marked = marked.withColumn("_described", F.when(F.size("_raws") > 0, _described(F.col("_raws"), key)))
     pieces = F.split(value, ANY, -1)
-    joined = F.array_join(
-        F.transform(pieces, lambda piece, i: F.concat(piece, F.coalesce(F.get(F.col("_described"), i)["surrogate"], F.lit("")))), ""
-    )
+    joined = F.array_join(F.zip_with(pieces, "_described", lambda p, d: F.concat(p, F.coalesce(d["surrogate"], F.lit("")))), "")
     out = marked.withColumns(
         {
             "_new": F.when(F.size("_raws") > 0, joined).otherwise(value),

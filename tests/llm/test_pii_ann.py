@@ -51,10 +51,9 @@ def test_surrogates_keep_type_format_and_reference(replaced):
     assert names[1] == names[4] and names[1].split()[0][0].isupper() and names[1].endswith("r") and names[3].endswith("а")
     assert re.fullmatch(r"[А-Яа-я]+ [А-Яа-я]+", names[3])
     assert out[8].startswith("z" * 100_000 + " ") and out[8].endswith(" " + "@" * 50_000)
-    for text, new in zip(TEXTS, [out[i] for i in range(len(TEXTS))], strict=True):
+    for text, new in ((TEXTS[i], out[i]) for i in range(7)):
         for secret in re.findall(r"\S*\d{3}\S*|\w+@\S+|8\.8\.8\.8|Müller|Schmidt|Петрова", text or ""):
-            if text != TEXTS[7]:
-                assert secret not in new, secret
+            assert secret not in new, secret
 
 
 def test_repeated_rows_and_other_columns(replaced):
