@@ -121,35 +121,46 @@ def linear(words: list[str], weights: np.ndarray) -> np.ndarray:
 
 
 class Landmarks:
-    """Landmark words by subsequence: kernel values of other words against them."""
+    """Landmark words by subsequence: kernel values of other words against them.
+
+    Kept sparse, as the landmarks and weights of each known subsequence.
+    """
 
     def __init__(self, words: list[str]):
         self.words = words
         rows = symbols(words)
         scale = lengths(rows)
-        found = [(w, c, v) for w, c, v in subsequences(rows)]
-        self.known = np.unique(np.concatenate([c[v] for _, c, v in found]))
-        self.table = np.zeros((len(self.known) + 1, len(words)))
-        for weight, codes, valid in found:
-            place = np.searchsorted(self.known, codes)
-            for j in range(len(words)):
-                np.add.at(self.table[:, j], place[j][valid[j]], weight / scale[j])
+        codes, owners, weights = [], [], []
+        for weight, code, valid in subsequences(rows):
+            owner = np.broadcast_to(np.arange(len(words))[:, None], code.shape)[valid]
+            codes.append(code[valid])
+            owners.append(owner)
+            weights.append(weight / scale[owner])
+        code, self.owner, self.weight = map(np.concatenate, (codes, owners, weights))
+        order = np.argsort(code, kind="stable")
+        self.owner, self.weight = self.owner[order], self.weight[order]
+        self.known, first = np.unique(code[order], return_index=True)
+        self.first = np.r_[first, len(code)]
 
     def kernel(self, words: list[str]) -> np.ndarray:
         rows = symbols(words)
-        out = np.zeros((len(words), len(self.words)))
+        out = np.zeros(len(words) * len(self.words))
         for weight, codes, valid in subsequences(rows):
-            place = np.minimum(np.searchsorted(self.known, codes), len(self.known) - 1)
-            place[(self.known[place] != codes) | ~valid] = len(self.known)
-            for column in range(place.shape[1]):
-                out += weight * self.table[place[:, column]]
-        return out / lengths(rows)[:, None]
+            word, column = np.nonzero(valid)
+            code = codes[word, column]
+            place = np.minimum(np.searchsorted(self.known, code), len(self.known) - 1)
+            hit = self.known[place] == code
+            word, place = word[hit], place[hit]
+            many = self.first[place + 1] - self.first[place]
+            entry = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(self.first[place], many)
+            cell = np.repeat(word, many) * len(self.words) + self.owner[entry]
+            out += weight * np.bincount(cell, self.weight[entry], minlength=len(out))
+        return out.reshape(len(words), -1) / lengths(rows)[:, None]
 
     def weights(self, alpha: np.ndarray) -> np.ndarray:
         """One weight per subsequence code that gives the sum of ``alpha`` times the kernel values."""
-        out = np.zeros(SYMBOLS**3, np.float32)
-        out[self.known] = self.table[:-1] @ alpha
-        return out
+        code = np.repeat(self.known, np.diff(self.first))
+        return np.bincount(code, self.weight * alpha[self.owner], minlength=SYMBOLS**3).astype(np.float32)
 
 
 def spread(words: list[str], most: int) -> list[str]:
@@ -281,7 +292,9 @@ def _fit_svm(words: DataFrame, landmarks: Landmarks, root: np.ndarray) -> tuple[
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = landmarks.kernel(batch.column(0).to_pylist()) @ root if batch.num_rows else np.zeros((0, len(root)))
+            words = batch.column(0).to_pylist()
+            parts = [landmarks.kernel(words[i : i + 1_000]) @ root for i in range(0, len(words), 1_000)]
+            values = np.concatenate([np.zeros((0, len(root))), *parts])
             offsets = np.arange(len(values) + 1, dtype=np.int32) * len(root)
             column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), column], names=["label", "weight", "values"])
@@ -319,7 +332,7 @@ def fit(docs: DataFrame, labels: DataFrame, at_most: int = TRAIN_DOCS) -> Machin
         return constant
     spark = docs.sparkSession
     top = [w for w, _ in positive]
-    near = Landmarks(top[:LANDMARKS]).kernel([w for w, _ in negative]).max(1)
+    near = Landmarks(top[:LANDMARKS]).kernel([w for w, _ in negative]).max(1)  # WORDS x LANDMARKS numbers
     hard = [negative[i][0] for i in np.argsort(-near, kind="stable")[: LANDMARKS // 2]]
     machine = None
     for _ in range(2):
