@@ -56,18 +56,24 @@ class Features:
     groups: DataFrame
 
 
-def pair_features(panel: DataFrame, spec: PeriodSpec, colocate: bool = False) -> DataFrame:
-    """Trend table plus sign class and percentile rank, ranked over panel rows."""
-    pairs = materialise(trend_table(panel, spec), "pairs")
-    ranked = global_rank(
-        pairs,
-        {"export_trend": "export_trend_pct_rank"},
-        PAIR,
-        method="average",
-        ascending=True,
-        pct=True,
-        weight="rows",
-    )
+def pair_features(panel: DataFrame, spec: PeriodSpec, colocate: bool = False, ranks: bool = True) -> DataFrame:
+    """Trend table plus sign class and percentile rank, ranked over panel rows.
+
+    Without ``ranks`` the percentile rank is NULL and costs nothing.
+    """
+    ranked = trend_table(panel, spec)
+    if ranks:
+        ranked = global_rank(
+            materialise(ranked, "pairs"),
+            {"export_trend": "export_trend_pct_rank"},
+            PAIR,
+            method="average",
+            ascending=True,
+            pct=True,
+            weight="rows",
+        )
+    else:
+        ranked = ranked.withColumn("export_trend_pct_rank", F.lit(None).cast("double"))
     ranked = ranked.withColumn("export_trend_class", sign_class(F.col("export_trend")))
     ranked = materialise(ranked, "pair_features")
     return materialise_by(ranked, PAIR, "pair_features") if colocate else ranked
@@ -151,14 +157,19 @@ def global_moments(groups: DataFrame) -> dict[str, Column]:
 
 
 def build_features(
-    panel: DataFrame, spec: PeriodSpec, broadcast_rows: int = BROADCAST_ROWS, colocate: bool = False
+    panel: DataFrame,
+    spec: PeriodSpec,
+    broadcast_rows: int = BROADCAST_ROWS,
+    colocate: bool = False,
+    ranks: bool = True,
 ) -> Features:
     """Features of one split. ``panel`` is clean and should be a written table.
 
     ``colocate`` buckets the pair table by pair. With a panel bucketed alike,
-    neither the half sums nor the join of pairs and rows shuffle the panel.
+    neither the half sums nor the join of pairs and rows shuffle the panel. Without
+    ``ranks`` the percentile rank of the trend is left at 0, for callers that do not read it.
     """
-    pairs = pair_features(panel, spec, colocate)
+    pairs = pair_features(panel, spec, colocate, ranks)
     rows = (
         split_panel(panel, spec)
         .select(*PAIR, "year", "export_value")

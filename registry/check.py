@@ -8,6 +8,7 @@ import time
 import duckdb
 import pandas as pd
 
+from growthlens.plans.materialise import release
 from growthlens.session import local_session
 from registry.oracle import SQL
 from registry.queries import QUERIES
@@ -52,6 +53,7 @@ def main(folder: str, names: list[str]) -> int:
         started = time.time()
         got = QUERIES[name](spark, folder).toPandas()
         seconds = time.time() - started
+        release(spark)
         if name not in SQL:
             print(f"rows  {name}: {len(got)} rows, {seconds:.1f} s", flush=True)
             continue

@@ -284,14 +284,14 @@ def _pair_mean(features, column: str) -> DataFrame:
 
 def destandardize(spark, folder):
     panel = _panel(spark, folder)
-    train, test = build_features(panel, SPLITS.train), build_features(panel, SPLITS.test)
+    train, test = build_features(panel, SPLITS.train, ranks=False), build_features(panel, SPLITS.test, ranks=False)
     m = global_moments(test.groups)
     value = destandardise(F.col("z"), m["value_mean"], m["value_std"])
     return rounded(_pair_mean(train, "export_val_std_all").select(*PAIR, value.alias("predictions")), 2)
 
 
 def destandardize_train_moments(spark, folder):
-    train = build_features(_panel(spark, folder), SPLITS.train)
+    train = build_features(_panel(spark, folder), SPLITS.train, ranks=False)
     m = global_moments(train.groups)
     value = destandardise(F.col("z"), m["value_mean"], m["value_std"])
     return rounded(_pair_mean(train, "export_val_std_all").select(*PAIR, value.alias("predictions")))
@@ -299,7 +299,7 @@ def destandardize_train_moments(spark, folder):
 
 def unminmaxed(spark, folder):
     panel = _panel(spark, folder)
-    train, test = build_features(panel, SPLITS.train), build_features(panel, SPLITS.test)
+    train, test = build_features(panel, SPLITS.train, ranks=False), build_features(panel, SPLITS.test, ranks=False)
     m = global_moments(test.groups)
     value = unminmax(F.col("z"), m["value_min"], m["value_max"])
     return rounded(_pair_mean(train, "export_val_norm_all").select(*PAIR, value.alias("predictions")), 2)
@@ -370,11 +370,11 @@ def _as_targets(pairs: DataFrame) -> DataFrame:
 
 
 def ratings(spark, folder):
-    return rounded(_trade_ratings(build_features(_panel(spark, folder), SPLITS.train)), 9)
+    return rounded(_trade_ratings(build_features(_panel(spark, folder), SPLITS.train, ranks=False)), 9)
 
 
 def user_similarity(spark, folder):
-    train = build_features(_panel(spark, folder), SPLITS.train)
+    train = build_features(_panel(spark, folder), SPLITS.train, ranks=False)
     return rounded(similarities(index_ratings(_trade_ratings(train))).drop("distance"))
 
 
@@ -388,7 +388,7 @@ def user_similarity_raw(spark, folder):
 
 def knn_predictions(spark, folder):
     panel = _panel(spark, folder)
-    train = build_features(panel, SPLITS.train)
+    train = build_features(panel, SPLITS.train, ranks=False)
     targets = _as_targets(trend_table(panel, SPLITS.test))
     return rounded(knn_predict(index_ratings(_trade_ratings(train)), targets), 9)
 
@@ -396,7 +396,7 @@ def knn_predictions(spark, folder):
 def knn_predictions_k5_others(spark, folder):
     """Five neighbours, never the user, at least two of them, with three common items or more."""
     panel = _panel(spark, folder)
-    train = build_features(panel, SPLITS.train)
+    train = build_features(panel, SPLITS.train, ranks=False)
     targets = _as_targets(trend_table(panel, SPLITS.test))
     indexed = index_ratings(_trade_ratings(train))
     return rounded(
@@ -463,7 +463,7 @@ def validation_report_pairs(spark, folder):
 def loss_report(spark, folder):
     """Standardised test values against the pair's mean standardised training value, 0 if unseen."""
     panel = _panel(spark, folder)
-    train, test = build_features(panel, SPLITS.train), build_features(panel, SPLITS.test)
+    train, test = build_features(panel, SPLITS.train, ranks=False), build_features(panel, SPLITS.test, ranks=False)
     known = _pair_mean(train, "export_val_std_all")
     rows = test.rows.select(*PAIR, "export_val_std_all").join(known, PAIR, "left").fillna(0.0, ["z"])
     return rounded(losses(rows, "export_val_std_all", "z"))
