@@ -10,8 +10,8 @@ since words that only resemble an insult occur once by chance and insults return
 
 Training. A bounded sample of labelled documents is cut into distinct sentences,
 each labelled by its document, clean where a clean document holds it as well. Words
-that sentences of toxic documents hold far more often than others are the positive
-examples, words of clean sentences the negative ones, and clean words that a first
+that sentences of toxic documents hold far more often than chance explains, counted by
+the surroundings they occur in, are the positive examples, words of clean sentences the negative ones, and clean words that a first
 machine finds suspicious join for the second. Landmarks are spread over both kinds;
 the words' kernel values against them, times the inverse root of the landmarks' own
 kernel matrix, are the features of a linear SVM fitted by Spark ML. A logistic
@@ -34,6 +34,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, functions as F
@@ -47,6 +48,9 @@ LONGEST = 26  # characters of a word that are compared at once; longer words are
 TRAIN_DOCS = 5_000  # labelled documents of each kind that the sample may hold
 WORDS = 4_000  # training words of each kind
 LANDMARKS = 128  # of each kind
+#: Standard deviations above its expectation that a word's count in toxic sentences has to be, from the first that
+#: gives ``ENOUGH`` words; below the last a word is ordinary.
+SURPRISES, ENOUGH = (6.0, 5.0, 4.0, 3.0), 20
 MEMO_WORDS = 150_000  # in each of the two generations that a worker remembers
 SLICE_CHARS = 2_000_000  # text that a task splits into words at once
 SUMMARY = ("first", "top3", "top8", "log_positive", "share")  # of the margins of a document's distinct words
@@ -269,21 +273,32 @@ def _training_documents(docs: DataFrame, labels: DataFrame, at_most: int) -> tup
 
 
 def _sentence_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each word of a sentence with a hash of its neighbours."""
     for batch in batches:
-        words, toxic = [], []
+        words, contexts, toxic = [], [], []
         for sentence, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            own = {w for u in set(units(sentence)) for w in _windows(u)}
-            words += own
-            toxic += [label] * len(own)
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(toxic, pa.int32())], names=["word", "toxic"])
+            own = units(sentence)
+            for before, word, after in zip(["", *own], own, [*own[1:], ""], strict=False):
+                context = xxhash.xxh64_intdigest(f"{before} {after}") >> 1
+                for part in _windows(word):
+                    words.append(part)
+                    contexts.append(context)
+                    toxic.append(label)
+        columns = [pa.array(words, pa.string()), pa.array(contexts, pa.int64()), pa.array(toxic, pa.int32())]
+        yield pa.RecordBatch.from_arrays(columns, names=["word", "context", "toxic"])
 
 
 def sentence_words(train: DataFrame) -> DataFrame:
-    """``word, bad, good``: distinct sentences of toxic and of clean documents that hold the word."""
+    """``word, bad, good``: in how many surroundings the word occurs in sentences of toxic and of clean documents.
+
+    Copies and near copies of a document repeat a word in the same surroundings, which
+    count once; an insult occurs in ever new ones.
+    """
     sentence = F.explode(F.split(F.lower("text"), r"[.!?\n]+")).alias("sentence")
     sentences = train.select(sentence, F.col("toxic").cast("int").alias("toxic")).filter("trim(sentence) <> ''")
     distinct = sentences.groupBy("sentence").agg(F.min("toxic").alias("toxic"))
-    words = distinct.mapInArrow(_sentence_words, "word string, toxic int")
+    words = distinct.mapInArrow(_sentence_words, "word string, context long, toxic int")
+    words = words.groupBy("word", "context").agg(F.min("toxic").alias("toxic"))
     return words.groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
 
 
@@ -316,39 +331,37 @@ def fit(docs: DataFrame, labels: DataFrame, at_most: int = TRAIN_DOCS) -> Machin
     if not base[1] or not base[0]:
         return constant
     rate = base[0] / base[1]
-    lift = (F.col("bad") + 2 * rate) / (F.col("bad") + F.col("good") + 2)
-    rated = words.withColumn("lift", lift)
-    bound = max(0.5, min(0.9, 2 * rate))
-    for least in (4, 2, 1):
-        bad = rated.filter((F.col("lift") >= bound) & (F.col("bad") >= least)).orderBy(F.desc("bad"), "word").limit(WORDS)
-        positive = [(r["word"], float(r["bad"])) for r in bad.select("word", "bad").collect()]  # at most WORDS
-        if positive:
+    seen = F.col("bad") + F.col("good")
+    surprise = (F.col("bad") - rate * seen) / F.sqrt(seen * (rate * (1 - rate)))
+    rated = written(words.withColumn("surprise", surprise), "rated_words")
+    for least in SURPRISES:
+        bad = rated.filter(F.col("surprise") >= least).orderBy(F.desc("surprise"), "word").limit(WORDS)
+        positive = [r["word"] for r in bad.select("word").collect()]  # at most WORDS
+        if len(positive) >= ENOUGH:
             break
-    clean = rated.filter((F.col("lift") < bound) & (F.col("good") > 0))
-    clean = written(clean.select("word", "good"), "clean_words")
+    clean = rated.filter((F.col("surprise") < SURPRISES[-1]) & (F.col("good") > 0))
+    clean = written(clean.select("word"), "clean_words")
     negative = clean.orderBy(F.xxhash64(F.lit("toxicity"), "word"), "word").limit(WORDS)
-    negative = [(r["word"], 1.0) for r in negative.select("word").collect()]  # at most WORDS
+    negative = [r["word"] for r in negative.collect()]  # at most WORDS
     if not positive or not negative:
         return constant
     spark = docs.sparkSession
-    top = [w for w, _ in positive]
-    near = Landmarks(top[:LANDMARKS]).kernel([w for w, _ in negative]).max(1)  # WORDS x LANDMARKS numbers
-    hard = [negative[i][0] for i in np.argsort(-near, kind="stable")[: LANDMARKS // 2]]
+    near = Landmarks(positive[:LANDMARKS]).kernel(negative).max(1)  # WORDS x LANDMARKS numbers
+    hard = [negative[i] for i in np.argsort(-near, kind="stable")[: LANDMARKS // 2]]
     machine = None
     for _ in range(2):
-        chosen = list(dict.fromkeys(spread(top[:1_500], LANDMARKS) + hard + [w for w, _ in negative[: LANDMARKS // 2]]))
+        chosen = list(dict.fromkeys(spread(positive[:1_500], LANDMARKS) + hard + negative[: LANDMARKS // 2]))
         landmarks = Landmarks(chosen)
         values, vectors = np.linalg.eigh(landmarks.kernel(chosen))
         kept = values > 1e-6 * values.max()
         root = (vectors[:, kept] / np.sqrt(values[kept])) @ vectors[:, kept].T
-        weight = len(negative) / max(1, len(positive))
-        rows = [(w, 1.0, weight) for w, _ in positive] + [(w, 0.0, 1.0) for w, _ in negative]
+        rows = [(w, 1.0, len(negative) / len(positive)) for w in positive] + [(w, 0.0, 1.0) for w in negative]
         alpha, bias = _fit_svm(spark.createDataFrame(rows, "word string, label double, weight double").repartition(6), landmarks, root)
         machine = Machine(landmarks.weights(alpha), bias)
         suspects = clean.withColumn("margin", summary_column(F.col("word"), machine)[0])
         suspects = [r["word"] for r in suspects.orderBy(F.desc("margin"), "word").limit(WORDS // 2).collect()]
         hard = suspects[: LANDMARKS // 2]
-        negative = list(dict.fromkeys(negative + [(w, 1.0) for w in suspects]))
+        negative = list(dict.fromkeys(negative + suspects))
     scored = train.select(F.col("toxic").cast("double").alias("label"), "weight", summary_column(F.col("text"), machine).alias("summary"))
     scored = written(scored, "toxicity_summaries").withColumn("features", array_to_vector("summary"))
     curve = LogisticRegression(regParam=1e-4, maxIter=100, weightCol="weight").fit(scored)
