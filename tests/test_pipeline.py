@@ -201,9 +201,8 @@ def test_evaluation_and_saved_run(spark, panel, classes, split, tmp_path):
 def test_unseen_products_are_kept(spark, split, frame):
     train, _ = split
     pairs = frame([(0, 999, 0, 0.5), (77, 1, 0, 0.5)], "location_id long, product_id long, export_trend_class int, export_trend_pct_rank double")
-    for model in (MatrixFactorisation(iterations=2), FactorTrees(trees=2)):
-        got = model.fit(train.rows).predict(pairs).collect()
-        assert len(got) == 2 and all(r["z"] is not None and r["z"] == r["z"] for r in got)
+    for model in (MatrixFactorisation(iterations=2), FactorTrees(trees=2), FactorisationMachine(iterations=2)):
+        assert [r["z"] for r in model.fit(train.rows).predict(pairs).collect()] == [0.0, 0.0]
 
 
 def test_grid_search_marks_the_best(split):
