@@ -45,14 +45,14 @@ DECAY = 0.8
 SPAN = 7
 SYMBOLS = 64
 LONGEST = 26  # characters of a word that are compared at once; longer words are read in overlapping windows
-TRAIN_DOCS = 5_000  # labelled documents of each kind that the sample may hold
+TRAIN_DOCS = 3_000  # labelled documents of each kind that the sample may hold
 WORDS = 4_000  # training words of each kind
 LANDMARKS = 128  # of each kind
 #: Standard deviations above its expectation that a word's count in toxic sentences has to be, from the first that
 #: gives ``ENOUGH`` words; below the last a word is ordinary.
 SURPRISES, ENOUGH = (6.0, 5.0, 4.0, 3.0), 20
-MEMO_WORDS = 150_000  # in each of the two generations that a worker remembers
-SLICE_CHARS = 2_000_000  # text that a task splits into words at once
+MEMO_WORDS = 100_000  # in each of the two generations that a worker remembers
+SLICE_CHARS = 1_000_000  # text that a task splits into words at once
 SUMMARY = ("first", "top3", "top8", "log_positive", "share")  # of the margins of a document's distinct words
 _EDGES = ".,;:!?\"'()[]{}<>|*&%$#@~`^_=+/\\-…"
 _OFFSETS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
