@@ -3,7 +3,8 @@
 Equal vectors form one class, so a vector that a third of the rows share is one node.
 
 Graph. Random projections deal the nodes into blocks of bounded size, in which first
-neighbour lists are exact. Each round of NN-descent then joins every list with its
+neighbour lists are exact. Blocks by a hash of the id do the same, so a node that is
+alone in its cells starts with a full list of chance neighbours. Each round of NN-descent then joins every list with its
 reverse, brings the neighbours' vectors together around each node, and compares the
 neighbours of a node with one another (only pairs with a new member). Pairs that beat
 the longest distance of one of their lists come back and are merged. The neighbours of
@@ -41,6 +42,7 @@ BEAM = 128  # best nodes of a query that get expanded
 REMEMBERED = 8  # beams of nodes that a query remembers
 BLOCK = 512  # nodes that are compared with each other at the start, at most about
 TABLES = 2  # random projections of the nodes
+CHANCE = 4  # lists that fit into a block by hash, on average
 GROUP = 128  # neighbours of a hub that meet in one group, besides its own list
 ROUNDS = 10
 SETTLED = 0.01  # share of new list entries below which the graph is done
@@ -111,8 +113,8 @@ def _pairs(u: np.ndarray, v: np.ndarray, d: np.ndarray) -> pa.RecordBatch:
 
 
 def _first_lists(nodes: DataFrame, size: int, most: int) -> DataFrame:
-    """Exact lists inside blocks of a few random projections: ``u, v, d``."""
-    bits = max(0, int(np.ceil(np.log2(max(size, 1) / (BLOCK / 2)))))
+    """Exact lists inside blocks of a few random projections and of one hash of the id: ``u, v, d``."""
+    bits = int(np.ceil(np.log2(size / (BLOCK / 2)))) if size > BLOCK else 0
     sample = bounded_sample(nodes, "id", SAMPLE, "projections").collect()  # at most SAMPLE vectors
     x = np.frombuffer(b"".join(r["half"] for r in sample), np.float16).reshape(len(sample), -1).astype(np.float32)
     planes = [np.random.default_rng(97 + t).normal(size=(x.shape[1], bits)).astype(np.float32) for t in range(TABLES if bits else 1)]
@@ -125,14 +127,18 @@ def _first_lists(nodes: DataFrame, size: int, most: int) -> DataFrame:
             rows = _floats(batch.column(1))
             for t, (plane, cut) in enumerate(zip(planes, cuts, strict=True)):
                 code = ((rows @ plane > cut) << np.arange(bits, dtype=np.int64)).sum(1) if bits else np.zeros(len(rows), np.int64)
-                block = pa.array(code.astype(np.int64) * TABLES + t)
+                block = pa.array(code.astype(np.int64) * (TABLES + 1) + t)
                 yield pa.RecordBatch.from_arrays([block, batch.column(0), batch.column(1)], names=["block", "id", "half"])
 
-    placed = written(nodes.mapInArrow(place, "block long, id long, half binary"), "placed")
+    placed = nodes.mapInArrow(place, "block long, id long, half binary")
+    if bits:
+        chance = F.pmod(F.xxhash64(F.lit("start"), "id"), F.lit(max(1, size // (CHANCE * most)))) * (TABLES + 1) + TABLES
+        placed = placed.unionByName(nodes.select(chance.alias("block"), "id", "half"))
+    placed = written(placed, "placed")
     crowded = placed.groupBy("block").count().filter(F.col("count") > BLOCK)
     crowded = written(crowded.select("block", F.ceil(F.col("count") / BLOCK).cast("int").alias("parts")), "crowded")
     placed = attach_small(placed, crowded, ["block"], 24)
-    placed = placed.withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    placed = placed.withColumn("part", F.pmod(F.xxhash64("id", "block"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
 
     def lists(block: pa.Table) -> pa.Table:
         ids, x = block.column("id").to_numpy(), _floats(block.column("half").combine_chunks())
@@ -165,7 +171,8 @@ def _neighbourhoods(edges: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
     around = own.unionByName(dealt).groupBy("centre", "part", "id").agg(F.max("fresh").alias("fresh"))
     longest = edges.groupBy("u").agg(F.max("d").alias("longest"), F.count(F.lit(1)).alias("n"))
     longest = longest.select(F.col("u").alias("id"), F.when(F.col("n") < most, float("inf")).otherwise(F.col("longest")).cast("float").alias("longest"))
-    carried = around.join(nodes.join(longest, "id"), "id")
+    limits = nodes.join(longest, "id", "left").withColumn("longest", F.coalesce("longest", F.lit(float("inf")).cast("float")))
+    carried = around.join(limits, "id")
     return carried.groupBy("centre", "part").agg(
         F.collect_list("id").alias("ids"), F.collect_list("fresh").alias("fresh"), F.collect_list("longest").alias("longest"), F.collect_list("half").alias("halves")
     )

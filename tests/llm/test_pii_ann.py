@@ -122,6 +122,28 @@ def test_graph_rounds_reach_the_recall(spark, monkeypatch):
     check(ann.nearest(vectors(spark, rows)), rows, range(0, 900, 100), 0.9)
 
 
+def test_outliers_and_cut_cells_start_with_full_lists(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK", 64)
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(4, 24))
+    rows = [(i, (centres[i % 4] + 0.01 * rng.normal(size=24)).astype(np.float32)) for i in range(1_200)]
+    rows += [(2_000 + i, (3 * rng.normal(size=24)).astype(np.float32)) for i in range(40)]  # far from all and from one another
+    nodes = ann._as_halves(vectors(spark, rows).selectExpr("vec_id as id", "embedding as vector"))
+    lists = ann._first_lists(nodes, len(rows), 8).select("u", "v").distinct().collect()
+    near, met = {i: set() for i, _ in rows}, {i: set() for i, _ in rows}
+    for u, v in lists:
+        near[u].add(v)
+        met[u].add(v)
+        met[v].add(u)
+    assert min(map(len, near.values())) >= 8
+    for group in range(4):  # the parts of a crowded cell hang together
+        reached = todo = {group}
+        while todo:
+            todo = {v for u in todo for v in met[u] if v < 2_000 and v % 4 == group} - reached
+            reached = reached | todo
+        assert len(reached) == 300
+
+
 def test_small_tables_ties_copies_and_invalid_vectors(spark):
     rng = np.random.default_rng(5)
     same = rng.normal(size=6).astype(np.float32)
