@@ -15,10 +15,11 @@ end when few lists change.
 Search. All queries walk together: a round joins the unexpanded nodes among the best
 ``BEAM`` of each query with their lists and reverse lists, measures the nodes not seen
 before, and ends when no best node is left to expand. Nearest classes are measured
-again in double precision on the original vectors, and their members are ranked.
+again on the original vectors, and their members are ranked.
 
-Vectors travel as half floats scaled by the largest component, which only decides the
-candidates; reported distances are exact. State lives in written tables.
+Vectors travel in their own precision, unscaled, and all distances are taken in double
+precision, so near copies stay apart whatever else the table holds. State lives in
+written tables.
 
 Defined results: vectors that are null or empty, all zero, or hold a null or non-finite
 component take no part, nor do those of another length than most (ties: the shorter).
@@ -46,6 +47,7 @@ CHANCE = 4  # lists that fit into a block by hash, on average
 GROUP = 128  # neighbours of a hub that meet in one group, besides its own list
 ROUNDS = 10
 SETTLED = 0.01  # share of new list entries below which the graph is done
+CANCELLED = 1e-8  # share of the squared lengths below which a distance is taken from differences
 SAMPLE = 2_000  # vectors that place the cuts of the projections
 
 
@@ -53,9 +55,10 @@ SAMPLE = 2_000  # vectors that place the cuts of the projections
 class Graph:
     classes: DataFrame  # id, vector (original)
     members: DataFrame  # vec_id, id
-    nodes: DataFrame  # id, half
+    nodes: DataFrame  # id, packed
     edges: DataFrame  # u, v, d
     size: int
+    kind: str  # NumPy type of a packed component
 
 
 def valid_vectors(rows: DataFrame, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -69,25 +72,25 @@ def valid_vectors(rows: DataFrame, id_column: str = "vec_id", vector: str = "emb
     return good.filter(F.size("vector") == length["n"]) if length else good
 
 
-def _floats(column: pa.Array) -> np.ndarray:
-    """A column of binary half floats as one row per vector."""
-    values = column.to_pylist()
-    if not values:
-        return np.zeros((0, 0), np.float32)
-    return np.frombuffer(b"".join(values), np.float16).reshape(len(values), -1).astype(np.float32)
+def _vectors(column: pa.Array, kind: str) -> np.ndarray:
+    """A column of packed vectors as one row per vector, without a copy."""
+    if not len(column):
+        return np.zeros((0, 0), kind)
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(kind).reshape(len(column), -1)
 
 
-def _as_halves(classes: DataFrame) -> DataFrame:
-    largest = classes.agg(F.max(F.aggregate("vector", F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x).cast("double"))))).first()[0] or 1.0
+def _packed(classes: DataFrame) -> tuple[DataFrame, str]:
+    """``id, packed`` and the type of a component: single precision if the column has it, double otherwise."""
+    kind = "f4" if classes.schema["vector"].dataType.elementType.typeName() == "float" else "f8"
 
-    def halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(1)
-            flat = lists.flatten().to_numpy(zero_copy_only=False)
-            packed = (flat.astype(np.float64) / largest).astype(np.float16).reshape(batch.num_rows, -1) if batch.num_rows else []
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in packed], pa.binary())], names=["id", "half"])
+            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
+            rows = flat.astype(kind).reshape(batch.num_rows, -1) if batch.num_rows else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in rows], pa.binary())], names=["id", "packed"])
 
-    return classes.select("id", "vector").mapInArrow(halves, "id long, half binary")
+    return classes.select("id", "vector").mapInArrow(packed, "id long, packed binary"), kind
 
 
 def _smallest(u: np.ndarray, v: np.ndarray, d: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -103,37 +106,49 @@ def _smallest(u: np.ndarray, v: np.ndarray, d: np.ndarray, most: int) -> tuple[n
 
 
 def _squares(x: np.ndarray) -> np.ndarray:
-    length = (x * x).sum(1)
-    return np.maximum(length[:, None] + length[None, :] - 2 * x @ x.T, 0)
+    """Squared distances between rows; where the product form loses digits, as sums of squared differences."""
+    x = x.astype(np.float64)
+    near = x - x[0]
+    length = (near * near).sum(1)
+    sums = length[:, None] + length[None, :]
+    d = sums - 2 * near @ near.T
+    i, j = np.nonzero(d < CANCELLED * sums)
+    i, j = i[i != j], j[i != j]
+    step = max(1, 1_000_000 // max(1, x.shape[1]))
+    for at in range(0, len(i), step):
+        a, b = i[at : at + step], j[at : at + step]
+        d[a, b] = ((x[a] - x[b]) ** 2).sum(1)
+    np.fill_diagonal(d, 0)
+    return d
 
 
 def _pairs(u: np.ndarray, v: np.ndarray, d: np.ndarray) -> pa.RecordBatch:
-    arrays = [pa.array(u.astype(np.int64)), pa.array(v.astype(np.int64)), pa.array(d.astype(np.float32))]
+    arrays = [pa.array(u.astype(np.int64)), pa.array(v.astype(np.int64)), pa.array(d.astype(np.float64))]
     return pa.RecordBatch.from_arrays(arrays, names=["u", "v", "d"])
 
 
-def _first_lists(nodes: DataFrame, size: int, most: int) -> DataFrame:
+def _first_lists(nodes: DataFrame, size: int, most: int, kind: str) -> DataFrame:
     """Exact lists inside blocks of a few random projections and of one hash of the id: ``u, v, d``."""
     bits = int(np.ceil(np.log2(size / (BLOCK / 2)))) if size > BLOCK else 0
     sample = bounded_sample(nodes, "id", SAMPLE, "projections").collect()  # at most SAMPLE vectors
-    x = np.frombuffer(b"".join(r["half"] for r in sample), np.float16).reshape(len(sample), -1).astype(np.float32)
-    planes = [np.random.default_rng(97 + t).normal(size=(x.shape[1], bits)).astype(np.float32) for t in range(TABLES if bits else 1)]
+    x = np.frombuffer(b"".join(r["packed"] for r in sample), kind).reshape(len(sample), -1).astype(np.float64)
+    planes = [np.random.default_rng(97 + t).normal(size=(x.shape[1], bits)) for t in range(TABLES if bits else 1)]
     cuts = [np.median(x @ p, axis=0) for p in planes]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = _floats(batch.column(1))
+            rows = _vectors(batch.column(1), kind).astype(np.float64)
             for t, (plane, cut) in enumerate(zip(planes, cuts, strict=True)):
                 code = ((rows @ plane > cut) << np.arange(bits, dtype=np.int64)).sum(1) if bits else np.zeros(len(rows), np.int64)
                 block = pa.array(code.astype(np.int64) * (TABLES + 1) + t)
-                yield pa.RecordBatch.from_arrays([block, batch.column(0), batch.column(1)], names=["block", "id", "half"])
+                yield pa.RecordBatch.from_arrays([block, batch.column(0), batch.column(1)], names=["block", "id", "packed"])
 
-    placed = nodes.mapInArrow(place, "block long, id long, half binary")
+    placed = nodes.mapInArrow(place, "block long, id long, packed binary")
     if bits:
         chance = F.pmod(F.xxhash64(F.lit("start"), "id"), F.lit(max(1, size // (CHANCE * most)))) * (TABLES + 1) + TABLES
-        placed = placed.unionByName(nodes.select(chance.alias("block"), "id", "half"))
+        placed = placed.unionByName(nodes.select(chance.alias("block"), "id", "packed"))
     placed = written(placed, "placed")
     crowded = placed.groupBy("block").count().filter(F.col("count") > BLOCK)
     crowded = written(crowded.select("block", F.ceil(F.col("count") / BLOCK).cast("int").alias("parts")), "crowded")
@@ -141,14 +156,14 @@ def _first_lists(nodes: DataFrame, size: int, most: int) -> DataFrame:
     placed = placed.withColumn("part", F.pmod(F.xxhash64("id", "block"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
 
     def lists(block: pa.Table) -> pa.Table:
-        ids, x = block.column("id").to_numpy(), _floats(block.column("half").combine_chunks())
+        ids, x = block.column("id").to_numpy(), _vectors(block.column("packed").combine_chunks(), kind)
         d = _squares(x)
         np.fill_diagonal(d, np.inf)
         near = np.argsort(d, axis=1, kind="stable")[:, : min(most, len(ids) - 1)]
         u, v = np.repeat(ids, near.shape[1]), ids[near].ravel()
         return pa.Table.from_batches([_pairs(u, v, np.take_along_axis(d, near, 1).ravel())])
 
-    return placed.groupBy("block", "part").applyInArrow(lists, "u long, v long, d float")
+    return placed.groupBy("block", "part").applyInArrow(lists, "u long, v long, d double")
 
 
 def _merge(pairs: DataFrame, most: int) -> DataFrame:
@@ -170,26 +185,26 @@ def _neighbourhoods(edges: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
     own = own.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     around = own.unionByName(dealt).groupBy("centre", "part", "id").agg(F.max("fresh").alias("fresh"))
     longest = edges.groupBy("u").agg(F.max("d").alias("longest"), F.count(F.lit(1)).alias("n"))
-    longest = longest.select(F.col("u").alias("id"), F.when(F.col("n") < most, float("inf")).otherwise(F.col("longest")).cast("float").alias("longest"))
-    limits = nodes.join(longest, "id", "left").withColumn("longest", F.coalesce("longest", F.lit(float("inf")).cast("float")))
+    longest = longest.select(F.col("u").alias("id"), F.when(F.col("n") < most, float("inf")).otherwise(F.col("longest")).alias("longest"))
+    limits = nodes.join(longest, "id", "left").withColumn("longest", F.coalesce("longest", F.lit(float("inf"))))
     carried = around.join(limits, "id")
     return carried.groupBy("centre", "part").agg(
-        F.collect_list("id").alias("ids"), F.collect_list("fresh").alias("fresh"), F.collect_list("longest").alias("longest"), F.collect_list("half").alias("halves")
+        F.collect_list("id").alias("ids"), F.collect_list("fresh").alias("fresh"), F.collect_list("longest").alias("longest"), F.collect_list("packed").alias("vectors")
     )
 
 
-def _local_joins(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+def _local_joins(batches: Iterator[pa.RecordBatch], most: int, kind: str) -> Iterator[pa.RecordBatch]:
     """Pairs of a neighbourhood that beat the longest distance of their first member's list."""
     kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     held = 0
     for batch in batches:
         names = batch.schema.names
-        ids, fresh, longest, halves = (batch.column(names.index(c)) for c in ("ids", "fresh", "longest", "halves"))
+        ids, fresh, longest, packed = (batch.column(names.index(c)) for c in ("ids", "fresh", "longest", "vectors"))
         ends = ids.offsets.to_numpy() - ids.offsets[0].as_py()
         all_ids = ids.flatten().to_numpy()
         all_fresh = fresh.flatten().to_numpy(zero_copy_only=False)
         all_longest = longest.flatten().to_numpy()
-        vectors = _floats(halves.flatten())
+        vectors = _vectors(packed.flatten(), kind)
         for a, b in zip(ends[:-1], ends[1:], strict=True):
             new = all_fresh[a:b] > 0
             if b - a < 2 or not new.any():
@@ -216,34 +231,36 @@ def build_graph(rows: DataFrame, id_column: str = "vec_id", vector: str = "embed
     classes = written(valid.groupBy("vector").agg(F.min("vec_id").alias("id")).select("id", "vector"), "classes")
     members = written(valid.join(classes, "vector").select("vec_id", "id"), "members")
     size = classes.count()
-    nodes = written(_as_halves(classes), "nodes")
+    nodes, kind = _packed(classes)
+    nodes = written(nodes, "nodes")
     if size < 2:
-        none = nodes.select(F.col("id").alias("u"), F.col("id").alias("v"), F.lit(0.0).cast("float").alias("d")).limit(0)
-        return Graph(classes, members, nodes, none, size)
-    first = _first_lists(nodes, size, most).withColumn("fresh", F.lit(1))
+        none = nodes.select(F.col("id").alias("u"), F.col("id").alias("v"), F.lit(0.0).alias("d")).limit(0)
+        return Graph(classes, members, nodes, none, size, kind)
+    first = _first_lists(nodes, size, most, kind).withColumn("fresh", F.lit(1))
     edges = written(_merge(first, most), "edges")
     for _ in range(ROUNDS if size > BLOCK else 0):
         around = _neighbourhoods(edges, nodes, most)
-        found = around.mapInArrow(lambda it: _local_joins(it, most), "u long, v long, d float").withColumn("fresh", F.lit(1))
+        found = around.mapInArrow(lambda it: _local_joins(it, most, kind), "u long, v long, d double").withColumn("fresh", F.lit(1))
         edges = written(_merge(edges.withColumn("fresh", F.lit(0)).unionByName(found), most), "edges")
         if edges.agg(F.sum("fresh")).first()[0] < SETTLED * most * size:
             break
-    return Graph(classes, members, nodes, edges.select("u", "v", "d"), size)
+    return Graph(classes, members, nodes, edges.select("u", "v", "d"), size, kind)
 
 
-def _measured(pairs: DataFrame, nodes: DataFrame, queries: DataFrame) -> DataFrame:
+def _measured(pairs: DataFrame, nodes: DataFrame, queries: DataFrame, kind: str) -> DataFrame:
     """``q, v, d`` for pairs ``q, v``: each meets its node's vector, then its query's."""
-    near = pairs.join(nodes.select(F.col("id").alias("v"), "half"), "v")
-    asked = queries.select("q", F.col("half").alias("asked"))
+    near = pairs.join(nodes.select(F.col("id").alias("v"), "packed"), "v")
+    asked = queries.select("q", F.col("packed").alias("asked"))
     near = attach_small(near, asked, ["q"], 1_024, "inner")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                d = ((_floats(batch.column(2)) - _floats(batch.column(3))) ** 2).sum(1).astype(np.float32)
+                a, b = (_vectors(batch.column(i), kind).astype(np.float64) for i in (2, 3))
+                d = ((a - b) ** 2).sum(1)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d)], names=["q", "v", "d"])
 
-    return near.select("q", "v", "half", "asked").mapInArrow(measure, "q long, v long, d float")
+    return near.select("q", "v", "packed", "asked").mapInArrow(measure, "q long, v long, d double")
 
 
 def search(graph: Graph, queries: DataFrame, count: int = 10, beam: int = BEAM) -> DataFrame:
@@ -254,10 +271,10 @@ def search(graph: Graph, queries: DataFrame, count: int = 10, beam: int = BEAM)
     asked = graph.members.join(queries.select(F.col("query_id").alias("vec_id")).distinct(), "vec_id")
     asked = written(asked, "asked")  # vec_id, id: several queries may share a node
     starts = asked.select("id").distinct()
-    points = written(starts.join(graph.nodes, "id").select(F.col("id").alias("q"), "half"), "query_points")
+    points = written(starts.join(graph.nodes, "id").select(F.col("id").alias("q"), "packed"), "query_points")
     both = graph.edges.select("u", "v").unionByName(graph.edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
     both = written(both, "adjacency")
-    seen = points.select("q", F.col("q").alias("v"), F.lit(0.0).cast("float").alias("d"), F.lit(0).alias("expanded"))
+    seen = points.select("q", F.col("q").alias("v"), F.lit(0.0).alias("d"), F.lit(0).alias("expanded"))
     place = F.row_number().over(Window.partitionBy("q").orderBy("d", "v"))
     while True:
         seen = written(seen, "seen")
@@ -271,8 +288,8 @@ def search(graph: Graph, queries: DataFrame, count: int = 10, beam: int = BEAM)
         # Far nodes are forgotten: one that is met again is measured again and stays far.
         kept = ranked.filter(F.col("place") <= REMEMBERED * beam)
         kept = kept.select("q", "v", "d", F.when(now, 1).otherwise(F.col("expanded")).alias("expanded"))
-        seen = kept.unionByName(_measured(fresh, graph.nodes, points).withColumn("expanded", F.lit(0)))
-    best = ranked.filter(F.col("place") <= 2 * count + 2).select("q", F.col("v").alias("id"))
+        seen = kept.unionByName(_measured(fresh, graph.nodes, points, graph.kind).withColumn("expanded", F.lit(0)))
+    best = ranked.filter(F.col("place") <= max(beam, 2 * count + 2)).select("q", F.col("v").alias("id"))
     return _ranked(graph, asked, written(best, "best"), count)
 
 

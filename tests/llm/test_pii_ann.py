@@ -128,8 +128,8 @@ def test_outliers_and_cut_cells_start_with_full_lists(spark, monkeypatch):
     centres = rng.normal(size=(4, 24))
     rows = [(i, (centres[i % 4] + 0.01 * rng.normal(size=24)).astype(np.float32)) for i in range(1_200)]
     rows += [(2_000 + i, (3 * rng.normal(size=24)).astype(np.float32)) for i in range(40)]  # far from all and from one another
-    nodes = ann._as_halves(vectors(spark, rows).selectExpr("vec_id as id", "embedding as vector"))
-    lists = ann._first_lists(nodes, len(rows), 8).select("u", "v").distinct().collect()
+    nodes, kind = ann._packed(vectors(spark, rows).selectExpr("vec_id as id", "embedding as vector"))
+    lists = ann._first_lists(nodes, len(rows), 8, kind).select("u", "v").distinct().collect()
     near, met = {i: set() for i, _ in rows}, {i: set() for i, _ in rows}
     for u, v in lists:
         near[u].add(v)
@@ -144,6 +144,24 @@ def test_outliers_and_cut_cells_start_with_full_lists(spark, monkeypatch):
         assert len(reached) == 300
 
 
+@pytest.mark.parametrize("sigma", [1e-4, 1e-5])
+def test_near_copies_and_a_row_of_large_values(spark, sigma):
+    rng = np.random.default_rng(13)
+    centres = rng.normal(size=(4, 16))
+    rows = [(i, (centres[i % 4] + sigma * rng.normal(size=16)).astype(np.float32)) for i in range(400)]
+    rows.append((400, np.float32([1e7] + [0.5] * 15)))
+    check(ann.nearest(vectors(spark, rows)), rows, range(0, 500, 100), 0.99)
+
+
+def test_squared_distances_keep_their_digits():
+    rng = np.random.default_rng(14)
+    x = 1.0 + 1e-7 * rng.normal(size=(50, 8))
+    x[7, 0] = 1e7
+    x = np.concatenate([x[7:8], x])
+    want = ((x[:, None, :] - x[None, :, :]) ** 2).sum(2)
+    assert ann._squares(x) == pytest.approx(want, rel=1e-6, abs=1e-22)
+
+
 def test_small_tables_ties_copies_and_invalid_vectors(spark):
     rng = np.random.default_rng(5)
     same = rng.normal(size=6).astype(np.float32)
