@@ -5,9 +5,11 @@ security numbers, long hexadecimal secrets, and names after a form of address. A
 is split at its entities, each is replaced, and the pieces are joined again, so nothing
 else of a text changes.
 
-A surrogate is a keyed permutation of the entity's own characters: a Feistel network
-of four rounds over two halves, in which SHA-256 of the key, the entity's type and one
-half shifts the other. A letter stays a letter of its alphabet (vowel or consonant in
+A surrogate is a keyed permutation of the entity's own characters: two rounds of a
+Feistel network over two halves, in which SHA-256 of the key, the entity's type and one
+half shifts the other, then a step that moves every character, then the two rounds
+backwards. As the step leaves nothing in its place, no entity keeps its value, however
+short it is. A letter stays a letter of its alphabet (vowel or consonant in
 names), a digit a digit; case, punctuation, length and the parts that carry the type
 (country code, top-level domain) stay. Addresses stay valid, the check digit of a card
 number stays right or wrong as it was. In names the form of address and the last
@@ -17,12 +19,13 @@ Being a permutation among the entities of one format, it never gives two entitie
 same surrogate, and one entity gets the same surrogate wherever, in whatever case and
 with whatever punctuation it occurs: no lookup table has to be joined to the texts. The
 entities are collected once as a distinct table, and the check over it moves on to the
-next key while two entities meet or one keeps its value.
+next key while two entities meet or one keeps its value, which only one without a
+character of the alphabets does.
 
 Everything is DataFrame code; texts are read whole and not shuffled.
 
 Defined results: a null text stays null, an empty one empty. Texts without entities stay
-as they are. An entity whose letters are all fixed (a name of one letter) stays. Repeated
+as they are. An entity none of whose moving letters is in an alphabet stays. Repeated
 rows, null ids and other columns are passed over; an empty table gives an empty table.
 """
 
@@ -33,7 +36,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from growthlens.llm.common import written
 
 KEY = "surrogates-1"
-ROUNDS = 4
+ROUNDS = 4  # half of them there, half of them back
 TRIES = 8  # keys that are tried before entities without room to move are left as they are
 
 #: The entities' patterns, in the order in which they are tried.
@@ -92,12 +95,13 @@ def _parts(raw: Column, kind: Column) -> Column:
     return F.struct(raw.alias("raw"), kind.alias("kind"), head.alias("head"), body.alias("body"), tail.alias("tail"))
 
 
-def _shift(text: Column, stream: Column, kind: Column) -> Column:
-    """Each character moved within its alphabet by a byte of ``stream``."""
+def _shift(text: Column, stream: Column, kind: Column, how: str = "on") -> Column:
+    """Each character moved within its alphabet by a byte of ``stream``: ``on``, ``back``, or ``off`` its place in any case."""
 
     def moved(c: Column, byte: Column, alphabet: str, otherwise: Column) -> Column:
-        place = F.instr(F.lit(alphabet), c)
-        return F.when(place > 0, F.substring(F.lit(alphabet), (place - 1 + byte) % len(alphabet) + 1, F.lit(1))).otherwise(otherwise)
+        place, n = F.instr(F.lit(alphabet), c), len(alphabet)
+        step = {"on": byte, "back": n - byte % n, "off": 1 + byte % (n - 1)}[how]
+        return F.when(place > 0, F.substring(F.lit(alphabet), (place - 1 + step) % n + 1, F.lit(1))).otherwise(otherwise)
 
     def one(j: Column) -> Column:
         c = F.substring(text, j, F.lit(1))
@@ -120,19 +124,27 @@ def _permuted(entities: Column, key: str) -> Column:
         left, right = F.substring(plain, F.lit(1), cut), F.substring(plain, cut + 1, F.length(plain))
         return F.struct(e.alias("e"), left.alias("a"), right.alias("b"))
 
-    def round_of(i: int):
+    def round_of(i: int, how: str):
         def turn(s: Column) -> Column:
             still, moving = (s["b"], s["a"]) if i % 2 == 0 else (s["a"], s["b"])
             secret = F.concat_ws("|", F.lit(f"{key}|{i}"), s["e"]["kind"], F.length(moving).cast("string"), still)
-            new = _shift(moving, F.sha2(secret, 256), s["e"]["kind"])
+            new = _shift(moving, F.sha2(secret, 256), s["e"]["kind"], how)
             a, b = (new, still) if i % 2 == 0 else (still, new)
             return F.struct(s["e"].alias("e"), a.alias("a"), b.alias("b"))
 
         return turn
 
+    def off(s: Column) -> Column:
+        """Depends on the format alone, so between the rounds and their inverse it makes a permutation without fixed points."""
+        secret = F.concat_ws("|", F.lit(f"{key}|off"), s["e"]["kind"], F.length(s["b"]).cast("string"))
+        a, b = (_shift(s[half], F.sha2(F.concat(secret, F.lit(f"|{half}")), 256), s["e"]["kind"], "off") for half in ("a", "b"))
+        return F.struct(s["e"].alias("e"), a.alias("a"), b.alias("b"))
+
     state = F.transform(entities, halves)
-    for i in range(ROUNDS):
-        state = F.transform(state, round_of(i))
+    there = [round_of(i, "on") for i in range(ROUNDS // 2)]
+    back = [round_of(i, "back") for i in reversed(range(ROUNDS // 2))]
+    for step in (*there, off, *back):
+        state = F.transform(state, step)
     return F.transform(state, lambda s: F.struct(s["e"].alias("e"), F.concat(s["a"], s["b"]).alias("out")))
 
 

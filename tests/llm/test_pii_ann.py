@@ -82,6 +82,17 @@ def test_a_key_with_an_unchanged_entity_is_passed_over(spark):
     assert pii.pseudonymise(docs.limit(0)).count() == 0
 
 
+def test_no_short_name_keeps_its_value(spark):
+    import string
+
+    names = [f"Mr. {a}{b}i" for a in string.ascii_uppercase for b in ["", *string.ascii_lowercase]]
+    raws = spark.createDataFrame([(n,) for n in names], "raw string")
+    for key in ("k1", "k2"):
+        found = pii.surrogates(raws, key)
+        assert pii.clashes(found).count() == 0
+        assert found.select("surrogate").distinct().count() == len(names)
+
+
 def test_surrogates_stay_native(spark):
     docs = spark.createDataFrame([(1, TEXTS[0])], "doc_id int, text string")
     plan = pii.replace_entities(docs, "k")._jdf.queryExecution().toString()
