@@ -41,8 +41,8 @@ TRIES = 8  # keys that are tried before entities without room to move are left a
 
 #: The entities' patterns, in the order in which they are tried.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "secret": r"(?<![0-9A-Za-z])(?=[a-fA-F]*[0-9])(?=[0-9]*[a-fA-F])[0-9a-fA-F]{32,128}(?![0-9A-Za-z])",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "secret": r"(?<![0-9A-Za-z])(?=[a-fA-F]*[0-9])(?=[0-9]*[a-fA-F])[0-9a-fA-F]{32,}+(?![0-9A-Za-z])",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?!\.?[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone": r"(?<![0-9])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,3}|\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9])",
@@ -103,16 +103,17 @@ def _shift(text: Column, stream: Column, kind: Column, how: str = "on") -> Colum
         step = {"on": byte, "back": n - byte % n, "off": 1 + byte % (n - 1)}[how]
         return F.when(place > 0, F.substring(F.lit(alphabet), (place - 1 + step) % n + 1, F.lit(1))).otherwise(otherwise)
 
-    def one(j: Column) -> Column:
-        c = F.substring(text, j, F.lit(1))
-        byte = F.conv(F.substring(stream, (2 * j - 2) % 64 + 1, F.lit(2)), 16, 10).cast("int")
+    def one(c: Column, j: Column, once: Column) -> Column:
+        byte = F.conv(F.substring(once, (2 * j) % 64 + 1, F.lit(2)), 16, 10).cast("int")
         named = c
         for alphabet in reversed(NAME_ALPHABETS):
             named = moved(c, byte, alphabet, named)
         plain = moved(c, byte, LETTERS, moved(c, byte, DIGITS, c))
         return F.when(kind.isin("ip", "secret"), moved(c, byte, HEX, c)).when(kind == "name", named).otherwise(plain)
 
-    return F.when(F.length(text) == 0, "").otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.length(text)), one), ""))
+    # The array of one binds the stream, which would be computed again for every character.
+    moved_text = F.transform(F.array(stream), lambda once: F.array_join(F.transform(F.split(text, ""), lambda c, j: one(c, j, once)), ""))[0]
+    return F.when(F.length(text) == 0, "").otherwise(moved_text)
 
 
 def _permuted(entities: Column, key: str) -> Column:
@@ -180,7 +181,10 @@ def _surrogate(p: Column) -> Column:
         return F.when(fixed, c).when(c != F.lower(c), F.upper(new)).otherwise(new)
 
     written_out = F.when(F.length(body) == 0, "").otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.length(body)), place), ""))
-    return F.concat(e["head"], F.when(e["kind"] == "ip", address).otherwise(written_out), e["tail"])
+    # A secret has no punctuation and may be long.
+    cased = F.zip_with(F.split(body, ""), F.split(out, ""), lambda c, new: F.when(c != F.lower(c), F.upper(new)).otherwise(new))
+    body_out = F.when(e["kind"] == "ip", address).when(e["kind"] == "secret", F.array_join(cased, "")).otherwise(written_out)
+    return F.concat(e["head"], body_out, e["tail"])
 
 
 def _found(text: Column) -> Column:

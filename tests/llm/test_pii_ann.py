@@ -82,6 +82,20 @@ def test_a_key_with_an_unchanged_entity_is_passed_over(spark):
     assert pii.pseudonymise(docs.limit(0)).count() == 0
 
 
+def test_addresses_behind_marks_and_long_secrets(spark):
+    marked = ["_john@x.com_", "-john@x.com", "...john@x.com", "%20john@x.com", "+john@x.com", "john@x.com"]
+    secrets = ["0aF" * 43, "9c8b" * 128, "e0" * 2_000]
+    docs = spark.createDataFrame(list(enumerate(marked + [f"key {s}." for s in secrets])), "doc_id int, text string")
+    out = {r["doc_id"]: r for r in pii.pseudonymise(docs).collect()}
+    for i, text in enumerate(marked):
+        assert out[i]["n_entities"] == 1 and out[i]["kinds"] == "email" and "john@x" not in out[i]["text"] and len(out[i]["text"]) == len(text)
+    assert out[2]["text"] == "..." + out[5]["text"] and out[1]["text"] == "-" + out[5]["text"] and out[0]["text"] == f"_{out[5]['text']}_"
+    for i, secret in enumerate(secrets, len(marked)):
+        new = re.fullmatch(r"key ([0-9a-fA-F]+)\.", out[i]["text"])[1]
+        assert out[i]["kinds"] == "secret" and len(new) == len(secret) and new != secret
+        assert [c.isupper() for c in secret if c.isalpha()] != [] and secret[:32] not in new
+
+
 def test_no_short_name_keeps_its_value(spark):
     import string
 
