@@ -4,8 +4,9 @@ A text is the TF-IDF vector of its hashed n-grams of one to three bytes (lower c
 runs of other characters than letters as one blank), with logarithmic counts and
 unit length. Centroids are the clusters that Spark ML's k-means with cosine distance
 finds among each language's training vectors. The language of the nearest centroid
-wins, ties go to the smaller name, and a text whose distance to every centroid
-exceeds ``max_distance`` is rejected.
+wins, ties go to the smaller name. A text farther from it than nearly all training rows
+of that language are from their own centroids is ``rejected`` but keeps its nearest
+language; one farther than ``max_distance`` is named ``und`` too.
 
 Training takes a bounded sample of labelled documents, in equal parts per language
 as far as there are enough; prediction reads whole texts without a shuffle. The
@@ -19,13 +20,13 @@ other columns are passed over. Null labels are not learned.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import IDF, ElementwiseProduct, Normalizer
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -34,6 +35,7 @@ from growthlens.llm.common import bounded_sample, remainder, written
 DIMENSIONS = 4_096
 CENTROIDS = 3  # per language
 TRAIN_DOCS = 4_000  # labelled documents in the sample
+WITHIN = 0.99  # share of a language's training rows that its distance bound covers
 UNKNOWN = "und"
 
 _BYTE = np.zeros(256, np.int64)
@@ -64,6 +66,7 @@ class Centroids:
     idf: np.ndarray
     language: np.ndarray  # of each centroid, by position in ``names``
     vectors: np.ndarray  # one unit vector per centroid
+    bounds: dict[str, float] = field(default_factory=dict)  # largest distance of a language's own texts
 
     def nearest(self, text: str | None) -> tuple[str, float]:
         """The nearest centroid's language and its cosine."""
@@ -120,10 +123,18 @@ def fit(docs: DataFrame, label: str = "lang", at_most: int = TRAIN_DOCS, centroi
         means = KMeans(k=max(2, centroids), distanceMeasure="cosine", seed=7, maxIter=8).fit(own).clusterCenters()
         found += means
         language += [i] * len(means)
-    unit.unpersist()
     matrix = np.array(found)
     matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
-    return Centroids(names, idf, np.array(language), matrix)
+    owners = np.array(language)
+
+    @F.pandas_udf("double")
+    def distance(features: pd.Series, name: pd.Series) -> pd.Series:
+        return pd.Series([1 - max(matrix[owners == names.index(n)] @ x) for x, n in zip(features, name, strict=True)], dtype=float)
+
+    distances = unit.select("name", distance(vector_to_array("features"), "name").alias("d"))
+    bounds = {r["name"]: r["bound"] for r in distances.groupBy("name").agg(F.percentile("d", F.lit(WITHIN)).alias("bound")).collect()}
+    unit.unpersist()
+    return Centroids(names, idf, owners, matrix, bounds)
 
 
 def _nearest_column(text: Column, model: Centroids) -> Column:
@@ -136,15 +147,19 @@ def _nearest_column(text: Column, model: Centroids) -> Column:
 
 
 def predict(docs: DataFrame, model: Centroids, max_distance: float = 1.0) -> DataFrame:
-    """``doc_id, nearest, rejected, lang_pred, score`` per row; ``lang_pred`` is ``und`` where the text is rejected."""
+    """``doc_id, nearest, rejected, lang_pred, score`` per row; ``lang_pred`` is ``und`` without a letter or beyond ``max_distance``."""
     found = docs.select("doc_id", "text", _nearest_column(F.col("text"), model).alias("n"))
     lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     found = found.select("doc_id", "n.lang", "n.cosine", lettered.alias("lettered"))
     far = ~F.col("lettered") | (1 - F.col("cosine") > max_distance)
+    bound = F.lit(None).cast("double")
+    for name, most in model.bounds.items():
+        bound = F.when(F.col("lang") == name, F.lit(most)).otherwise(bound)
+    beyond = F.coalesce(1 - F.col("cosine") > bound + 1e-9, F.lit(False))
     return found.select(
         "doc_id",
         F.col("lang").alias("nearest"),
-        far.alias("rejected"),
+        (far | beyond).alias("rejected"),
         F.when(far, UNKNOWN).otherwise(F.col("lang")).alias("lang_pred"),
         F.when(far, 0.0).otherwise(F.col("cosine")).alias("score"),
     )

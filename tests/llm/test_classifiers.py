@@ -132,6 +132,17 @@ def test_language_on_held_out_documents(spark):
     assert strict.filter("rejected").count() == strict.filter("lang_pred = 'und'").count() > 0
 
 
+def test_noise_is_rejected_by_the_learned_bound(spark):
+    words = ["the", "house", "and", "river", "is", "old", "green", "water"]
+    rows = [(i, " ".join(words[(i * k + k) % 8] for k in range(30)), "en") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    noise = spark.createDataFrame([(1, "zxqj kvvq xzzq jqk " * 8), (2, rows[2][1])], "doc_id long, text string")
+    found = {r["doc_id"]: r for r in langid.predict(noise, model).collect()}
+    assert found[1]["rejected"] and found[1]["lang_pred"] == "en" and found[1]["score"] < found[2]["score"]
+    assert langid.predict(docs, model).filter("not rejected").count() > 50
+
+
 def test_language_without_training_rows(spark):
     docs = odd_documents(spark).withColumn("lang", F.lit(None).cast("string"))
     assert {r["lang_pred"] for r in langid.predict(docs, langid.fit(docs)).collect()} == {"und"}
