@@ -155,4 +155,38 @@ SELECT pair_id, any_value(n_common)::INTEGER AS n_common,
 FROM texts GROUP BY pair_id
 """
 
-SQL = {"op2_mixing": MIX, "op4_chat": CHAT, "op3_exact_dedup": EXACT_DEDUP}
+
+
+def _clusters(k: int = 8, rounds: int = 10) -> str:
+    """The rounds of centroid clustering, written out one after another."""
+    kept = """kept AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE len(embedding) = 64 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))
+)"""
+    steps = [kept, f"""c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS c, v FROM kept QUALIFY c < {k}
+)"""]
+    gap = "list_sum(list_transform(list_zip(k.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (
+  SELECT k.vec_id, k.v, n.c, n.d
+  FROM kept k, LATERAL (SELECT c.c, {gap} AS d FROM c{i} c ORDER BY d, c.c LIMIT 1) n
+)""")
+        if i < rounds:
+            steps.append(f"""c{i + 1} AS MATERIALIZED (
+  SELECT o.c, coalesce(m.v, o.v) AS v FROM c{i} o LEFT JOIN (
+    SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY pos) AS v FROM (
+      SELECT c, pos, sum(x) AS s, count(*) AS n
+      FROM (SELECT c, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM a{i}) GROUP BY c, pos
+    ) GROUP BY c
+  ) m ON m.c = o.c
+)""")
+    return "WITH " + ",\n".join(steps) + f"""
+SELECT a.vec_id, a.c::INTEGER AS cluster, a.d::BIGINT AS distance, (sum(a.d) OVER (PARTITION BY a.c))::BIGINT AS cluster_inertia,
+  (sum(a.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON c.c = a.c
+"""
+
+
+SQL = {"op12_clusters": _clusters(), "op2_mixing": MIX, "op4_chat": CHAT, "op3_exact_dedup": EXACT_DEDUP}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from growthlens.llm import ann, bpe, chat, langid, mixing, pii
+from growthlens.llm import align, ann, bpe, centroids, chat, langid, mixing, pii, word_bpe
 from growthlens.llm import quality as rules
 from growthlens.llm import toxicity as kernel
 from growthlens.llm.common import remainder, table
@@ -64,4 +64,16 @@ def op10_pii(spark, folder):
     return pii.pseudonymise(docs, pii.KEY).select("doc_id", "n_entities", "kinds", "text")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_mixing, op3_exact_dedup, op4_chat, op5_toxicity, op6_neighbours, op7_simhash, op8_language, op9_bpe, op10_pii)}
+def op11_alignment(spark, folder):
+    return align.link_report(table(spark, folder, "documents"))
+
+
+def op12_clusters(spark, folder):
+    return centroids.cluster(table(spark, folder, "embeddings"), k=8, rounds=10, dimensions=64, scale=1024, salt="3")
+
+
+def op13_word_bpe(spark, folder):
+    return word_bpe.digests(table(spark, folder, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_mixing, op3_exact_dedup, op4_chat, op5_toxicity, op6_neighbours, op7_simhash, op8_language, op9_bpe, op10_pii, op11_alignment, op12_clusters, op13_word_bpe)}
