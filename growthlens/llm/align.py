@@ -349,7 +349,7 @@ def _head(counts: DataFrame, at_most: int) -> int:
         if held > at_most:
             break
         least = power
-    return 1 << least
+    return 1 << min(least, 62)
 
 
 def link_report(

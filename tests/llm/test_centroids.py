@@ -1,0 +1,108 @@
+"""Centroid clustering against direct distances in Python integers, and against its SQL twin."""
+
+import hashlib
+import math
+import os
+import random
+
+import pytest
+
+from growthlens.llm import centroids
+from growthlens.llm.oracle import SQL
+from growthlens.llm.queries import QUERIES
+from registry.check import connect, differences
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+def direct(rows, k, rounds, dimensions, scale=1024, salt="3"):
+    """The definition: nearest by squared distance, floors of means."""
+    kept = []
+    for i, v in rows:
+        if v is not None and len(v) == dimensions and all(x is not None and math.isfinite(x) for x in v):
+            kept.append((i, [math.floor(scale * x) for x in v]))
+    order = sorted((hashlib.sha256(f"{salt}:{i}".encode()).hexdigest(), v) for i, v in kept if i is not None)
+    centres = [list(v) for _, v in order[:k]]
+    if not centres:
+        return []
+
+    def nearest(v):
+        return min((sum((a - b) ** 2 for a, b in zip(v, c)), j) for j, c in enumerate(centres))
+
+    for _ in range(rounds):
+        groups = {}
+        for _, v in kept:
+            groups.setdefault(nearest(v)[1], []).append(v)
+        for j, members in groups.items():
+            centres[j] = [sum(column) // len(members) for column in zip(*members)]
+    found = [(i, *nearest(v)) for i, v in kept]
+    total = sum(d for _, d, _ in found)
+    sums = {}
+    for _, d, j in found:
+        sums[j] = sums.get(j, 0) + d
+    fits = lambda x: x if x < 1 << 63 else None
+    whole = {j: None if any(d >= 1 << 63 for _, d, c in found if c == j) else fits(s) for j, s in sums.items()}
+    every = None if None in whole.values() else fits(total)
+    digest = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in centres]
+    return sorted(((str(i), j, fits(d), whole[j], every, digest[j]) for i, d, j in found), key=str)
+
+
+def got(frame):
+    names = ["cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"]
+    return sorted(((str(r["vec_id"]), *[r[n] for n in names]) for r in frame.collect()), key=str)
+
+
+def table(spark, rows):
+    return spark.createDataFrame([(i, v, 1, "x") for i, v in rows], "vec_id long, embedding array<float>, cluster int, vector string")
+
+
+def test_ties_copies_and_odd_rows(spark):
+    rng = random.Random(4)
+    grid = [[rng.choice([-1.0, -0.5, 0.0, 0.25, 1.0]) for _ in range(4)] for _ in range(150)]
+    rows = [(i, v) for i, v in enumerate(grid)] + [(i, [0.5, 0.5, 0.5, 0.5]) for i in range(200, 260)]
+    rows += [(None, grid[0]), (7, grid[1]), (7, grid[2]), (300, None), (301, []), (302, [1.0, 2.0]), (303, [1.0, None, 2.0, 3.0])]
+    rows += [(304, [float("nan")] * 4), (305, [float("inf"), 0.0, 0.0, 0.0]), (306, [0.0] * 4), (307, [0.0] * 5)]
+    for k, rounds in ((1, 2), (3, 0), (8, 10)):
+        assert got(centroids.cluster(table(spark, rows), k=k, rounds=rounds, dimensions=4)) == direct(rows, k, rounds, 4)
+
+
+def test_fewer_vectors_than_centroids_and_none(spark):
+    rows = [(1, [1.0, 2.0]), (2, [1.0, 2.0]), (3, [-4.0, 0.5])]
+    assert got(centroids.cluster(table(spark, rows), k=8, dimensions=2)) == direct(rows, 8, 10, 2)
+    assert centroids.cluster(table(spark, rows), dimensions=3).collect() == []
+    assert centroids.cluster(table(spark, rows).limit(0)).columns[0] == "vec_id"
+
+
+def test_numbers_beyond_64_bits_stay_exact(spark):
+    # Float values, so that Python and Spark see the same numbers.
+    big = [float(2**k) for k in (0, 20, 21, 40, 60, 100, 127)]
+    rows = [(i, [big[i % 7], -big[(i * 3) % 7], 0.375]) for i in range(60)]
+    assert got(centroids.cluster(table(spark, rows), k=4, rounds=3, dimensions=3)) == direct(rows, 4, 3, 3)
+
+
+def test_sign_tests_agree_with_distances():
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    centres = rng.integers(-3, 4, (6, 3)).tolist()
+    x = rng.integers(-4, 5, (2_000, 3))
+    t = centroids.Tournament(centres)
+    d = ((x[:, None, :] - np.array(centres)[None, :, :]) ** 2).sum(axis=2)
+    best = t.winners(x)
+    assert (best == d.argmin(axis=1)).all() and t.distances(x, best) == d.min(axis=1).tolist()
+
+
+def test_parts_of_sums():
+    for v in (0, 1, -1, 2**39, 2**40, -(2**40) - 1, 2**170 + 12345, -(2**170)):
+        assert sum(x << (centroids.LIMB * i) for i, x in enumerate(centroids._limbs(v))) == v
+
+
+def test_a_scale_that_rounds_is_refused(spark):
+    with pytest.raises(ValueError):
+        centroids.cluster(table(spark, []), scale=1000)
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables here")
+def test_query_equals_its_sql_twin(spark):
+    want = connect(FOLDER).execute(SQL["op12_clusters"]).df()
+    assert differences(QUERIES["op12_clusters"](spark, FOLDER).toPandas(), want) is None
