@@ -5,8 +5,8 @@ Their longest common prefix of turns (same role, same text) is rendered once as
 prompt; what follows is rendered per side as a completion with a loss mask in which
 only the assistant's words and its end mark count. Masks are run lengths in
 characters, ``0x<n>`` for ignored and ``1x<n>`` for trained stretches, so they can be
-applied to any tokenisation. All of it is array expressions; the only shuffle gathers
-the turns of a conversation, which its rendered row has to hold anyway.
+applied to any tokenisation. All of it is array expressions; the only shuffle of whole
+texts gathers the turns of a conversation, which its rendered row has to hold anyway.
 
 Defined results: rows without a conversation id are dropped. A null turn number comes
 first, equal numbers go by role and text. A null role is ``unknown``, a null text
@@ -19,8 +19,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from growthlens.llm.common import written
+from growthlens.operators.ids import dense_ids
+
 #: The marks of the template.
 START, END = "<|im_start|>", "<|im_end|>"
+RANGE_IDS = 100_000  # ids of conversations that one task puts in order
 
 
 def turns_of(rows: DataFrame, id_column: str = "conv_id") -> DataFrame:
@@ -84,24 +88,46 @@ def format_preferences(pairs: DataFrame) -> DataFrame:
     )
 
 
+def last_replies(rows: DataFrame) -> DataFrame:
+    """``conv_id, reply`` of every conversation in which the assistant speaks: its last words."""
+    replies = rows.filter(F.col("conv_id").isNotNull() & (F.col("role") == "assistant"))
+    text = F.coalesce("text", F.lit("")).alias("text")
+    last = F.max(F.struct(F.col("turn").isNotNull().alias("known"), F.col("turn").cast("long").alias("turn"), text))
+    return replies.groupBy("conv_id").agg(last.alias("last")).select("conv_id", F.col("last.text").alias("reply"))
+
+
+def neighbours(ids: DataFrame) -> DataFrame:
+    """``conv_id, neighbour``: the next id there is; the last one's is the first.
+
+    Ids are put in order by ranges (``dense_ids``), so gaps between them do not matter.
+    """
+    numbering = dense_ids(ids, "conv_id", "_number", RANGE_IDS)
+    following = numbering.table.select(
+        F.col("conv_id").alias("neighbour"), F.pmod(F.col("_number") - 1, F.lit(max(numbering.size, 1))).alias("_number")
+    )
+    return numbering.table.join(following, "_number").select("conv_id", "neighbour")
+
+
 def swapped_replies(rows: DataFrame) -> DataFrame:
     """Preference pairs from plain conversations: ``pair_id, chosen, rejected``.
 
-    The chosen side is the conversation up to its last reply of the assistant, the
-    rejected side ends with the last reply of its neighbour instead (ids 2k and 2k+1 are
-    neighbours). A conversation without a reply, or without a neighbour that has one,
-    gives no pair.
+    The chosen side is the conversation up to its last reply of the assistant. In the
+    rejected side one reply, chosen by the id from all of them, gives way to the last reply
+    of the next conversation that has one; those that follow stay. Every conversation with a reply gives
+    a pair; the last one's neighbour is the first, and a single one is its own.
     """
-    talks = turns_of(rows)
-    last = F.array_max(F.transform("turns", lambda t, i: F.when(t["role"] == "assistant", i + 1)))
-    talks = talks.withColumn("last", last).filter(F.col("last").isNotNull())
-    talks = talks.withColumn("reply", F.element_at("turns", F.col("last").cast("int")))
-    neighbour = F.col("conv_id") + 1 - 2 * F.pmod("conv_id", F.lit(2))
-    others = talks.select(neighbour.alias("conv_id"), F.col("reply.text").alias("other"))
-    pairs = talks.join(others, "conv_id")
-    swapped = F.struct(F.col("reply.turn").alias("turn"), F.col("reply.role").alias("role"), F.col("other").alias("text"))
-    return pairs.select(
-        F.col("conv_id").alias("pair_id"),
-        F.slice("turns", F.lit(1), F.col("last")).alias("chosen"),
-        F.concat(F.slice("turns", F.lit(1), F.col("last") - 1), F.array(swapped)).alias("rejected"),
-    )
+    replies = written(last_replies(rows), "last_replies")
+    others = replies.withColumnsRenamed({"conv_id": "neighbour", "reply": "other"})
+    others = neighbours(replies).join(others, "neighbour").select("conv_id", "other")
+    places = F.filter(F.transform("turns", lambda t, i: F.when(t["role"] == "assistant", i + 1)), lambda i: i.isNotNull())
+    talks = turns_of(rows).withColumn("places", places)
+    talks = talks.join(others, "conv_id").withColumn("last", F.array_max("places"))
+    at = F.get("places", F.pmod(F.col("conv_id"), F.size("places")).cast("int"))
+    talks = talks.withColumn("at", at)
+
+    def swapped(t: Column, i: Column) -> Column:
+        text = F.when(i + 1 == F.col("at"), F.col("other")).otherwise(t["text"])
+        return F.struct(t["turn"].alias("turn"), t["role"].alias("role"), text.alias("text"))
+
+    chosen = F.slice("turns", F.lit(1), F.col("last"))
+    return talks.select(F.col("conv_id").alias("pair_id"), chosen.alias("chosen"), F.transform(chosen, swapped).alias("rejected"))

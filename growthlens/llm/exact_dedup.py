@@ -7,8 +7,8 @@ texts is cut into its texts, so equal groups hold equal bytes whatever the hash.
 
 Defined results: a null text counts as empty, and all empty texts are copies of
 each other. Of equal texts the row with most code points in the original text
-stays, then the one with the smallest id; a null id comes last. Rows that repeat
-id and text share one result. An empty table gives an empty table. Columns other
+stays, then the one with the smallest id; a null id comes last. Of rows that
+repeat the kept one's id and length one is kept. An empty table gives an empty table. Columns other
 than id and text are neither read nor returned.
 """
 
@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from growthlens.llm.common import WHITE_SPACE, attach_small, whole_text, written
 
+REPEATS = 10_000  # numbers of repeats that one step lists
 HOT_GROUPS = 1_000  # fewer groups than this can each hold more than a thousandth of the rows
 
 
@@ -105,13 +106,21 @@ def exact_dedup(
 ) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, keep_id, group_size, kept, text_sha256``."""
     rows, groups = grouped(docs, id_column, text, hashed)
-    return _with_group(rows, groups, rows.count()).select(
-        F.col("_id").alias("doc_id"),
-        "keep_id",
-        "group_size",
-        F.col("_id").eqNullSafe(F.col("keep_id")).alias("kept"),
-        F.col("_sha").alias("text_sha256"),
-    )
+    best = F.col("_id").eqNullSafe(F.col("keep_id")) & (F.col("_length") == F.col("keep_length"))
+    members = _with_group(rows, groups, rows.count()).withColumn("kept", best)
+    columns = [F.col("_id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("_sha").alias("text_sha256")]
+    single = members.filter("not kept or keepers = 1").select(*columns)
+    # Rows that repeat the kept one in id and length look alike: they are counted, and the first of them stays.
+    repeats = groups.filter("keepers > 1").select("keep_id", "group_size", "_sha", F.explode(_numbers(F.col("keepers"))).alias("_block"))
+    repeats = repeats.withColumn("_number", F.explode(F.sequence("_block.first", "_block.last")))
+    again = repeats.select(F.col("keep_id").alias("doc_id"), "keep_id", "group_size", (F.col("_number") == 1).alias("kept"), F.col("_sha").alias("text_sha256"))
+    return single.unionByName(again)
+
+
+def _numbers(n: Column) -> Column:
+    """The numbers from 1 to ``n`` as blocks ``first, last`` of bounded length."""
+    starts = F.sequence(F.lit(1).cast("long"), n.cast("long"), F.lit(REPEATS).cast("long"))
+    return F.transform(starts, lambda i: F.struct(i.alias("first"), F.least(i + REPEATS - 1, n).alias("last")))
 
 
 def keep_first_copies(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:

@@ -9,10 +9,10 @@ WITH norm AS (
   FROM documents
 ),
 ranked AS (
-  SELECT *, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY t) AS group_size
+  SELECT *, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY t) AS group_size, row_number() OVER w = 1 AS kept
   FROM norm WINDOW w AS (PARTITION BY t ORDER BY n DESC, doc_id NULLS LAST)
 )
-SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(t) AS text_sha256 FROM ranked
+SELECT doc_id, keep_id, group_size, kept, sha256(t) AS text_sha256 FROM ranked
 """
 
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -117,14 +117,16 @@ WITH turns AS (
   FROM conversations WHERE conv_id IS NOT NULL
 ),
 replies AS (
-  SELECT conv_id, max(place) AS last, arg_max(text, place) AS reply FROM turns WHERE role = 'assistant' GROUP BY conv_id
+  SELECT conv_id, list(place ORDER BY place) AS places, max(place) AS last, arg_max(text, place) AS reply
+  FROM turns WHERE role = 'assistant' GROUP BY conv_id
 ),
 pairs AS (
-  SELECT a.conv_id AS pair_id, a.last, a.reply, b.reply AS other
-  FROM replies a JOIN replies b ON b.conv_id = a.conv_id + 1 - 2 * (((a.conv_id % 2) + 2) % 2)
+  SELECT conv_id AS pair_id, last, coalesce(lead(reply) OVER o, first_value(reply) OVER o) AS other,
+         places[1 + ((conv_id % len(places)) + len(places)) % len(places)] AS swapped
+  FROM replies WINDOW o AS (ORDER BY conv_id)
 ),
 sides AS (
-  SELECT pair_id, place, role, text AS chosen, CASE WHEN place = last THEN other ELSE text END AS rejected, last
+  SELECT pair_id, place, role, text AS chosen, CASE WHEN place = swapped THEN other ELSE text END AS rejected, last
   FROM pairs JOIN turns ON conv_id = pair_id AND place <= last
 ),
 cut AS (

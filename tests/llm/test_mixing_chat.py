@@ -145,14 +145,38 @@ def test_pairs_from_conversations_with_odd_rows(spark):
     ]
     frame = spark.createDataFrame([(*r, 1, "clash") for r in rows], TURNS)
     got = {r["pair_id"]: r for r in chat.format_preferences(chat.swapped_replies(frame)).collect()}
-    assert set(got) == {0, 1, 4, 5, -1, -2}
+    assert set(got) == {0, 1, 2, 4, 5, -1, -2}  # every conversation with a reply, in a ring by id: -2 -1 0 1 2 4 5
     assert got[0]["n_common"] == 1 and "b2b2" in got[0]["rejected"] and "after" not in got[0]["chosen"]
-    assert got[1]["n_common"] == 2 and got[1]["rejected"].endswith("a1<|im_end|>\n")
+    # Conversation 1 has two replies, and its id picks the second.
+    assert got[1]["n_common"] == 2 and got[1]["rejected"].endswith("x<|im_end|>\n")
     assert got[4]["prompt"].startswith("<|im_start|>unknown\n<|im_end|>")
-    assert got[-1]["n_common"] == 1 and got[-1]["chosen"] == ""
+    assert got[-2]["n_common"] == 1 and got[-2]["chosen"] == ""
+    # Conversation 5 says the same twice; the second reply gives way to that of the first id.
+    assert got[5]["n_common"] == 1 and got[5]["rejected"].endswith("neg<|im_end|>\n")
     assert chat.format_preferences(chat.swapped_replies(frame.limit(0))).count() == 0
 
 
+def test_an_earlier_reply_gives_way_and_later_turns_stay(spark):
+    rows = [(10, i, r, t) for i, (r, t) in enumerate([("user", "q"), ("assistant", "one"), ("user", "more"), ("assistant", "two")])]
+    frame = spark.createDataFrame([(*r, 1, "x") for r in rows] + [(99, 0, "assistant", "other", 1, "x")], TURNS)
+    got = {r["pair_id"]: r for r in chat.format_preferences(chat.swapped_replies(frame)).collect()}
+    ten = got[10]
+    assert ten["n_common"] == 1 and ten["prompt"] == "<|im_start|>user\nq<|im_end|>\n"
+    assert ten["chosen"].count("<|im_start|>") == ten["rejected"].count("<|im_start|>") == 3
+    assert "one" in ten["chosen"] and "other" in ten["rejected"] and "one" not in ten["rejected"]
+    assert ten["rejected"].endswith("two<|im_end|>\n") and ten["rejected_mask"].count("1x") == 2
+
+
+def test_sparse_negative_and_extreme_ids_all_give_pairs(spark):
+    ids = [-(2**63), -5, 0, 7, 10**12, 2**63 - 1]
+    rows = [(i, 0, "assistant", f"reply {n}", 1, "x") for n, i in enumerate(ids)]
+    frame = spark.createDataFrame(rows, TURNS)
+    got = {r["pair_id"]: r["rejected"] for r in chat.format_preferences(chat.swapped_replies(frame)).collect()}
+    assert {i: f"reply {(n + 1) % 6}" for n, i in enumerate(ids)}.items() <= {i: t.split("\n")[1].removesuffix("<|im_end|>") for i, t in got.items()}.items()
+    alone = chat.format_preferences(chat.swapped_replies(frame.filter("conv_id = 7"))).collect()
+    assert [(r["pair_id"], r["n_common"]) for r in alone] == [(7, 1)]
+
+
 def test_hidden_columns_stay_native(spark):
     docs = corpus(spark)
     for frame in (mixing.mix(docs), mixing.keep_mixed(docs)):
