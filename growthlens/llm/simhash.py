@@ -252,14 +252,37 @@ def simhash_classes(
 
 
 def keep_representatives(docs: DataFrame, words_per_shingle: int = 3, distance: int = 3) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns: the smallest id of each component.
+    """The rows of ``docs`` that stay, with all their columns: one row of each component.
 
-    Dropped rows are named by id, so texts are shuffled only if those are too many to be
-    broadcast. A row with a null id stays.
+    That is the one with the smallest id, and of rows that share this id the one with the smallest
+    fingerprint. Dropped rows are named by id, so texts are shuffled only if those are too many
+    to be broadcast. Where an id has rows that stay and rows that go, its rows are told apart by
+    fingerprint. A row with a null id stays.
     """
     classes = simhash_classes(docs, words_per_shingle=words_per_shingle, distance=distance)
-    dropped = classes.filter("doc_id <> component_id").select("doc_id").distinct()
-    return attach_small(docs, written(dropped, "dropped_ids"), ["doc_id"], 32, "left_anti").select(*docs.columns)
+    known = classes.filter(F.col("doc_id").isNotNull()).groupBy("doc_id", "component_id", "fp").agg(F.count(F.lit(1)).alias("rows"))
+    known = written(known, "classes_by_id")
+    heads = known.filter("doc_id = component_id").groupBy("component_id").agg(F.min("fp").alias("first_fp"))
+    heads = heads.select(F.col("component_id").alias("doc_id"), "component_id", "first_fp")
+    rows = known.join(heads, ["doc_id", "component_id"], "left").withColumn("stays", F.coalesce(F.col("fp") == F.col("first_fp"), F.lit(False)))
+    rows = written(rows.select("doc_id", "fp", "rows", "stays"), "representatives")
+    ids = rows.groupBy("doc_id").agg(F.max("stays").alias("some"), F.min("stays").alias("all"), F.max(F.col("rows").cast("long")).alias("most"))
+    mixed = F.col("some") & (~F.col("all") | (F.col("most") > 1))
+    dropped = written(ids.filter(mixed | ~F.col("some")).select("doc_id"), "dropped_ids")
+    kept = attach_small(docs, dropped, ["doc_id"], 32, "left_anti").select(*docs.columns)
+    unclear = written(ids.filter(mixed).select("doc_id"), "unclear_ids")
+    if unclear.isEmpty():
+        return kept
+    # Whole rows of the ids in question, each under a number of its own, and their fingerprints.
+    again = written(
+        attach_small(docs, unclear, ["doc_id"], 32, "left_semi").select(F.struct(*docs.columns).alias("row"), "doc_id", "text"), "unclear_rows"
+    )
+    number = F.struct(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("n"), "doc_id")
+    again = written(again.select(number.alias("key"), "doc_id", "text", "row"), "numbered_rows")
+    fps = fingerprints(again, "key", "text", words_per_shingle)
+    fps = fps.select("key", F.col("key.doc_id").alias("doc_id"), "fp").join(rows.filter("stays").select("doc_id", "fp"), ["doc_id", "fp"])
+    first = fps.groupBy("doc_id").agg(F.min("key").alias("key")).select("key")
+    return kept.unionByName(again.join(first, "key").select("row.*"))
 
 
 def hex_fingerprint(fp: str = "fp"):

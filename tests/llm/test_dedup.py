@@ -10,7 +10,7 @@ import xxhash
 from growthlens.llm.common import WHITE_SPACE
 from growthlens.llm.components import components
 from growthlens.llm.exact_dedup import exact_dedup, keep_first_copies
-from growthlens.llm.simhash import fingerprint_links, fingerprint_of, simhash_classes
+from growthlens.llm.simhash import fingerprint_links, fingerprint_of, keep_representatives, simhash_classes
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, kept string, keep_id int"
 
@@ -25,11 +25,13 @@ def brute_dedup(rows):
     groups = {}
     for i, t in rows:
         groups.setdefault(strip(t), []).append((-len(t or ""), i is None, i if i is not None else 0))
-    out = []
+    out, taken = [], set()
     for i, t in rows:
         best = min(groups[strip(t)])
         keep = None if best[1] else best[2]
-        out.append((i, keep, len(groups[strip(t)]), i == keep, hashlib.sha256(strip(t).encode()).hexdigest()))
+        kept = i == keep and len(t or "") == -best[0] and strip(t) not in taken
+        taken |= {strip(t)} if kept else set()
+        out.append((i, keep, len(groups[strip(t)]), kept, hashlib.sha256(strip(t).encode()).hexdigest()))
     return sorted(out, key=repr)
 
 
@@ -147,3 +149,21 @@ def test_null_ids_and_repeated_rows_share_a_component(spark):
     rows = [(None, "a b c d"), (4, "a b c d"), (4, "a b c d"), (9, "A  B c d"), (None, "alone here now")]
     got = sorted(map(tuple, simhash_classes(documents(spark, rows)).select("doc_id", "component_id").collect()), key=repr)
     assert got == [(4, 4), (4, 4), (9, 4), (None, 4), (None, None)]
+
+
+def test_one_row_of_each_component_stays_with_repeated_ids(spark):
+    other = "wholly different words stand in this unlike text of its own"
+    rows = [(1, "a b c d e"), (2, "a b c d e"), (2, other), (2, "a b c d e")]
+    rows += [(5, "x y z"), (5, "x y z"), (6, "q r s t"), (7, "Q R S T"), (None, "a b c d e")]
+    docs = documents(spark, rows)
+    got = sorted(((r["doc_id"], r["text"]) for r in keep_representatives(docs).collect()), key=repr)
+    assert got == sorted([(1, "a b c d e"), (2, other), (5, "x y z"), (6, "q r s t"), (None, "a b c d e")], key=repr)
+    assert keep_representatives(docs).columns == docs.columns
+    assert keep_representatives(docs.limit(0)).count() == 0
+
+
+def test_of_rows_that_share_an_id_one_is_kept(spark):
+    rows = [(5, "same text"), (5, "same  text "), (5, "same  text "), (6, "same text"), (None, "zz"), (None, "zz"), (8, "alone")]
+    got = [(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup(documents(spark, rows)).collect()]
+    want = [(5, 5, 4, False), (5, 5, 4, False), (5, 5, 4, True), (6, 5, 4, False), (None, None, 2, False), (None, None, 2, True), (8, 8, 1, True)]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
