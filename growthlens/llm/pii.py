@@ -41,7 +41,7 @@ TRIES = 8  # keys that are tried before entities without room to move are left a
 
 #: The entities' patterns, in the order in which they are tried.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-][A-Za-z0-9.-]*\.[A-Za-z]{2,}",
     "secret": r"(?<![0-9A-Za-z])(?=[a-fA-F]*[0-9])(?=[0-9]*[a-fA-F])[0-9a-fA-F]{32,}+(?![0-9A-Za-z])",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?!\.?[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
@@ -173,14 +173,14 @@ def _surrogate(p: Column) -> Column:
     filled = F.when(e["kind"] == "card", F.concat(out, ((_luhn(out) + error) % 10).cast("string"))).otherwise(out)
     moves = F.when(e["kind"].isin("phone", "ssn", "card"), "[^0-9]").when(e["kind"] == "name", r"[^\p{L}]").otherwise("[^0-9A-Za-z]")
 
-    def place(j: Column) -> Column:
-        c = F.substring(body, j, F.lit(1))
-        fixed = F.regexp_replace(c, moves, F.lit("")) == ""
-        position = F.length(F.regexp_replace(F.substring(body, F.lit(1), j), moves, F.lit("")))
-        new = F.substring(filled, position, F.lit(1))
-        return F.when(fixed, c).when(c != F.lower(c), F.upper(new)).otherwise(new)
-
-    written_out = F.when(F.length(body) == 0, "").otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.length(body)), place), ""))
+    # Moving characters take the new ones in order; with their places both sides sort back into the body.
+    characters = F.transform(F.split(body, ""), lambda c, j: F.struct(j.alias("j"), c.alias("c")))
+    moving = F.filter(characters, lambda x: F.regexp_replace(x["c"], moves, F.lit("")) != "")
+    fixed = F.filter(characters, lambda x: F.regexp_replace(x["c"], moves, F.lit("")) == "")
+    cased_new = lambda x, new: F.when(x["c"] != F.lower(x["c"]), F.upper(new)).otherwise(new)
+    new = F.zip_with(moving, F.split(filled, ""), lambda x, n: F.struct(x["j"].alias("j"), F.coalesce(cased_new(x, n), F.lit("")).alias("c")))
+    both = F.array_sort(F.concat(F.filter(new, lambda x: x["j"].isNotNull()), fixed))
+    written_out = F.when(F.length(body) == 0, "").otherwise(F.array_join(F.transform(both, lambda x: x["c"]), ""))
     # A secret has no punctuation and may be long.
     cased = F.zip_with(F.split(body, ""), F.split(out, ""), lambda c, new: F.when(c != F.lower(c), F.upper(new)).otherwise(new))
     body_out = F.when(e["kind"] == "ip", address).when(e["kind"] == "secret", F.array_join(cased, "")).otherwise(written_out)
