@@ -66,26 +66,34 @@ def slice_of(spread_by: Sequence[str], slices: Column) -> Column:
     return F.pmod(F.xxhash64(*spread_by), slices).cast("int")
 
 
+def hot_keys(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Written table of the keys that hold more than one partition's share of ``rows``, with their number of slices.
+
+    With P shuffle partitions fewer than P keys can exceed ``1/P`` of the rows, and they get
+    fewer than 2 P slices together.
+    """
+    keys = list(keys)
+    share = F.col("_n") * F.lit(shuffle_partitions(rows.sparkSession)) / F.lit(max(rows.count(), 1))
+    counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(share > 1)
+    return materialise(counted.select(*keys, F.ceil(share).cast("int").alias("_slices")), "hot_keys")
+
+
 def spread_join(
-    rows: DataFrame, lookup: DataFrame, keys: Sequence[str], spread_by: Sequence[str], how: str = "left"
+    rows: DataFrame,
+    lookup: DataFrame,
+    keys: Sequence[str],
+    spread_by: Sequence[str],
+    how: str = "left",
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Shuffle join in which a key with more than one partition's share of rows is sliced.
 
-    ``rows`` is read three times and should be a written table.
-    With P shuffle partitions fewer than P keys can exceed ``1/P`` of the rows,
-    and they get fewer than 2 P slices together, which bounds both what is
-    broadcast here and how often lookup rows are repeated.
+    ``rows`` is read three times and should be a written table, or once if its ``hot_keys`` are
+    given. Their bound also bounds what is broadcast here and how often lookup rows are repeated.
     """
     keys = list(keys)
     partitions = shuffle_partitions(rows.sparkSession)
-    share = F.col("_n") * F.lit(partitions) / F.lit(max(rows.count(), 1))
-    hot = (
-        rows.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .filter(share > 1)
-        .select(*keys, F.ceil(share).cast("int").alias("_slices"))
-    )
-    hot = materialise(hot, "hot_keys")
+    hot = hot_keys(rows, keys) if hot is None else hot
     slices = F.coalesce(F.col("_slices"), F.lit(1))
 
     # Rows without a key match nothing, however many there are: spread them too.

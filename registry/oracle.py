@@ -146,6 +146,81 @@ def features(split: str, start: int, end: int) -> str:
 TRAIN = features("train", 1995, 1997)
 TEST = features("test", 1997, 1999)
 
+RATED = """
+rated AS MATERIALIZED (SELECT location_id, product_id, export_val_std_all AS y FROM train)"""
+
+
+def share_of(*parts: str) -> str:
+    return f"(('0x' || md5(concat_ws(':', {', '.join(parts)}))[1:8])::BIGINT / 4294967296.0)"
+
+
+def ridge(name: str, rows: str, other: str, key: str, theirs: str, rank: int, reg: float) -> str:
+    """The half step of least squares for every ``key``, solved in closed form for one or two factors."""
+    sums = "a + {r} * n AS a, b, c + {r} * n AS c, s0, s1".format(r=reg)
+    inner = f"""SELECT {key}, count(*) AS n, sum(v0 * v0) AS a, sum(v0 * v1) AS b, sum(v1 * v1) AS c, sum(v0 * y) AS s0, sum(v1 * y) AS s1
+    FROM {rows} JOIN {other} USING ({theirs}) GROUP BY {key}"""
+    if rank == 1:
+        solved = "s0 / a AS v0, 0.0 AS v1"
+    else:
+        solved = "(c * s0 - b * s1) / (a * c - b * b) AS v0, (a * s1 - b * s0) / (a * c - b * b) AS v1"
+    return f"""
+{name} AS MATERIALIZED (
+  SELECT {key}, {solved} FROM (SELECT {key}, {sums} FROM ({inner}))
+)"""
+
+
+def factorised(prefix: str, rows: str, rank: int, reg: float, rounds: int, seed: int = 42) -> list[str]:
+    """Alternating least squares from the fixed start; ``{prefix}_u{i}`` and ``{prefix}_q{i}`` after round ``i``."""
+    start = [f"({share_of(f"'{seed}:start:{j}'", 'product_id')} - 0.5) * {2 / rank**0.5!r} AS v{j}" for j in range(rank)]
+    start += ["0.0 AS v1"] * (rank == 1)
+    steps = [f"{prefix}_q0 AS MATERIALIZED (SELECT product_id, {', '.join(start)} FROM (SELECT DISTINCT product_id FROM {rows}))"]
+    for i in range(1, rounds + 1):
+        steps.append(ridge(f"{prefix}_u{i}", rows, f"{prefix}_q{i - 1}", "location_id", "product_id", rank, reg))
+        steps.append(ridge(f"{prefix}_q{i}", rows, f"{prefix}_u{i}", "product_id", "location_id", rank, reg))
+    return steps
+
+
+def predicted(rows: str, u: str, q: str) -> str:
+    """``y`` and the model's value of rows, 0 without a side."""
+    return f"""SELECT location_id, product_id, y, coalesce({u}.v0 * {q}.v0 + {u}.v1 * {q}.v1, 0) AS z
+  FROM {rows} LEFT JOIN {u} USING (location_id) LEFT JOIN {q} USING (product_id)"""
+
+
+def grid(regs=(0.01, 0.1), ranks=(1, 2), folds: int = 2, rounds: int = 2, seed: int = 42) -> str:
+    fold = f"floor({share_of(f"'{seed}:fold'", 'location_id', 'product_id')} * {folds})::INTEGER"
+    steps = [f"folded AS MATERIALIZED (SELECT *, {fold} AS fold FROM rated)"]
+    cells = []
+    for f in range(folds):
+        steps += [f"in{f} AS (SELECT * FROM folded WHERE fold <> {f})", f"out{f} AS (SELECT * FROM folded WHERE fold = {f})"]
+        for i, reg in enumerate(regs):
+            for rank in ranks:
+                name = f"m{f}_{i}_{rank}"
+                steps += factorised(name, f"in{f}", rank, reg, rounds)
+                cells.append(
+                    f"SELECT {reg} AS reg, {rank} AS factors, (y - z) * (y - z) AS e FROM ({predicted(f'out{f}', f'{name}_u{rounds}', f'{name}_q{rounds}')})"
+                )
+    steps.append("scores AS (SELECT reg, factors, avg(e) AS mse FROM (" + "\nUNION ALL ".join(cells) + ") GROUP BY reg, factors)")
+    return with_ctes(
+        PANEL, TOTALS, TRAIN_PAIRS, TRAIN, RATED, *steps,
+        select=f"""SELECT reg::DOUBLE AS reg, factors::INTEGER AS factors, {r('mse', 5)} AS mse,
+  row_number() OVER (ORDER BY mse, reg, factors) = 1 AS best FROM scores""",
+    )
+
+
+def rounds_of(validation: float, rank: int = 2, reg: float = 0.1, rounds: int = 3, seed: int = 42) -> str:
+    held = f"{share_of(f"'{seed}:validation'", 'location_id', 'product_id')} < {validation}"
+    steps = [f"inside AS MATERIALIZED (SELECT * FROM rated WHERE NOT {held})", f"outside AS MATERIALIZED (SELECT * FROM rated WHERE {held})"]
+    steps += factorised("m", "inside", rank, reg, rounds)
+    loss = lambda rows, i: f"(SELECT avg((y - z) * (y - z)) FROM ({predicted(rows, f'm_u{i}', f'm_q{i}')}))"
+    table = "\nUNION ALL ".join(f"SELECT {i} AS round, {loss('inside', i)} AS t, {loss('outside', i)} AS v" for i in range(1, rounds + 1))
+    steps.append(f"losses AS ({table})")
+    return with_ctes(
+        PANEL, TOTALS, TRAIN_PAIRS, TRAIN, RATED, *steps,
+        select=f"""SELECT round::INTEGER AS round, {r('t', 5)} AS training_loss, {r('v', 5)} AS validation_loss,
+  row_number() OVER (ORDER BY v, round) = 1 AS kept FROM losses""",
+    )
+
+
 BASELINE = """
 baseline AS (
   SELECT location_id, product_id, test_pairs."rows" AS weight,
@@ -573,6 +648,13 @@ FROM ratings a JOIN ratings b ON a.item_id = b.item_id AND a.user_id < b.user_id
         )
         for model in ("als", "gbt", "fm")
     },
+    "als_grid_search": grid(),
+    "als_rounds": rounds_of(0.25),
+    "als_fixed_start": with_ctes(
+        PANEL, TOTALS, TRAIN_PAIRS, TRAIN, TEST_PAIRS, RATED, *factorised("m", "rated", 2, 0.1, 2),
+        "wanted AS (SELECT location_id, product_id, 0 AS y FROM test_pairs)",
+        select=f"""SELECT location_id, product_id, {r('z', 5)} AS z FROM ({predicted('wanted', 'm_u2', 'm_q2')})""",
+    ),
     "trend_table_long": with_ctes(
         PANEL,
         pairs("train", 1995, 1997, 1999),

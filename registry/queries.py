@@ -533,7 +533,24 @@ def model_evaluation(spark, folder):
 
 def als_grid(spark, folder):
     train = build_features(_panel(spark, folder), SPLITS.train)
-    return als_grid_search(train.rows)[1]
+    return rounded(als_grid_search(train.rows, regs=(0.01, 0.1), ranks=(1, 2), folds=2, iterations=2)[1], mse=5)
+
+
+def als_fixed_start(spark, folder):
+    """Two rounds of two factors from the start that the ids' hashes give: predictions for the test pairs."""
+    panel = _panel(spark, folder)
+    train = build_features(panel, SPLITS.train)
+    model = MatrixFactorisation(factors=2, iterations=2).fit(training_rows(train.rows))
+    return rounded(model.predict(trend_table(panel, SPLITS.test)), 5)
+
+
+def als_rounds(spark, folder):
+    """Losses per round on the training and the held-out pairs, and which round a stored and reloaded model is."""
+    train = build_features(_panel(spark, folder), SPLITS.train)
+    model = MatrixFactorisation(factors=2, iterations=3, validation=0.25).fit(training_rows(train.rows))
+    path = f"{session_folder(spark)}/model-{uuid.uuid4().hex}"
+    model.save(path)
+    return rounded(MatrixFactorisation.load(spark, path).history(spark), 5)
 
 
 def recommend_end_to_end(spark, folder):
@@ -598,5 +615,7 @@ QUERIES = {
     "gbt_predictions": gbt_predictions,
     "model_evaluation": model_evaluation,
     "als_grid_search": als_grid,
+    "als_fixed_start": als_fixed_start,
+    "als_rounds": als_rounds,
     "recommend_end_to_end": recommend_end_to_end,
 }
