@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import bisect
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.feature import Bucketizer
@@ -200,13 +200,18 @@ def global_rank(
     ``method`` is ``min`` (competition rank) or ``average`` (ties share their
     mean rank); ``pct`` divides by the number of ranked rows. NULL and NaN get
     no rank. ``weight`` names an integer column saying how many rows each row
-    stands for. ``keys`` identify a row. ``df`` is read three times and should
-    be a written table.
+    stands for. ``keys`` identify a row. ``df`` is read three or four times and should
+    be a written table. Several columns are ranked together, through one window.
     """
     keys = col_names(keys)
     source = list(columns)
     amount = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
     steps = _plan_ranks(df, source, amount)
+    if len(steps) > 1:
+        ranks = _ranks_together(df, steps, amount, keys, lambda step: _rank_value(method, ascending, pct, step.total))
+        same = _all_of([F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys])
+        joined = df.alias("l").join(ranks.alias("r"), same, "left")
+        return joined.select("l.*", *[F.col(f"r._rank_{i}").alias(columns[c]) for i, c in enumerate(source)])
     out = df
     for step in steps:
         out = _with_buckets(out, [step.column], [step.cuts])
@@ -216,6 +221,53 @@ def global_rank(
     return out
 
 
+def _all_of(conditions: Sequence[Column]) -> Column:
+    out = conditions[0]
+    for condition in conditions[1:]:
+        out = out & condition
+    return out
+
+
+def _ranks_together(
+    df: DataFrame, steps: Sequence[RankStep], weight: Column, keys: Sequence[str], rank: Callable[[RankStep], Column]
+) -> DataFrame:
+    """``keys, _rank_0, _rank_1, ...``: the ranks of all columns through one window over narrow rows.
+
+    A row becomes one row of key, weight, column number and value per ranked column that has a
+    value. Those are dealt out by column and bucket once, and the ranks are put side by side by key.
+    """
+    columns = [s.column for s in steps]
+    narrow = _with_buckets(df.select(*keys, *[c for c in columns if c not in keys], weight.alias("_weight")), columns, [s.cuts for s in steps])
+    cells = F.array(
+        *[F.struct(F.lit(i).alias("_column"), F.col(f"_bucket_{c}").alias("_bucket"), F.col(f"_value_{c}").alias("_value")) for i, c in enumerate(columns)]
+    )
+    valued = F.filter(cells, lambda x: x["_value"].isNotNull())
+    narrow = narrow.select(*keys, "_weight", F.explode(valued).alias("_cell")).select(*keys, "_weight", "_cell.*")
+    offsets = [(i, *o) for i, s in enumerate(steps) for o in s.offsets]
+    schema = T.StructType([T.StructField("_column", T.IntegerType()), *_OFFSET_SCHEMA.fields])
+    narrow = narrow.join(F.broadcast(df.sparkSession.createDataFrame(offsets, schema)), ["_column", "_bucket"], "left")
+    loose = F.coalesce(F.col("_single"), F.lit(True))
+    slices = F.lit(max(2, *[len(s.offsets) for s in steps]))
+    narrow = narrow.withColumns(
+        {
+            "_slice": F.when(loose, slice_of(keys, slices)).otherwise(F.lit(0)),
+            "_order": F.when(loose, F.xxhash64(*keys).cast("double")).otherwise(F.col("_value")),
+        }
+    )
+    ordered = Window.partitionBy("_column", "_bucket", "_slice").orderBy("_order")
+    up_to_here = F.sum("_weight").over(ordered.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    ties = F.sum("_weight").over(ordered.rangeBetween(Window.currentRow, Window.currentRow))
+    narrow = narrow.withColumns({"_up_to": up_to_here, "_tied": ties})
+    narrow = narrow.withColumns(
+        {
+            "_lower": F.when(loose, F.col("_below")).otherwise(F.col("_below") + F.col("_up_to") - F.col("_tied")),
+            "_ties": F.when(loose, F.col("_inside")).otherwise(F.col("_tied")),
+        }
+    )
+    side_by_side = [F.max(F.when(F.col("_column") == i, rank(s))).alias(f"_rank_{i}") for i, s in enumerate(steps)]
+    return narrow.groupBy(*keys).agg(*side_by_side)
+
+
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]) -> DataFrame:
     """One row per column and probability: the linearly interpolated exact quantile.
 

@@ -168,3 +168,28 @@ def test_metrics_on_zero_vectors_and_huge_differences(frame):
     got = by_key(loss_report(df, "a", "b"), "metric")
     assert got[("cosine",)]["value"] == 0.0
     assert got[("logcosh",)]["value"] == pytest.approx(1e6, rel=1e-5)
+
+
+def test_columns_together_give_what_each_alone_gives(frame):
+    a, b, c = (skewed_values(1_500, s) for s in (5, 6, 7))
+    rows = [(i if i else None, *v, 1 + i % 3) for i, v in enumerate(zip(a, b, c))] + [(9_999, None, None, None, 2)]
+    df = materialise(frame(rows, "id long, a double, b double, c double, w int").repartition(3))
+    for options in ({}, {"weight": "w"}, {"method": "average", "ascending": True, "pct": True, "weight": "w"}):
+        together = by_key(global_rank(df, {"a": "ra", "b": "rb", "c": "rc"}, ["id"], **options), "id")
+        for column in "abc":
+            alone = by_key(global_rank(df, {column: "r"}, ["id"], **options), "id")
+            assert {k: r["r"] for k, r in alone.items()} == {k: r[f"r{column}"] for k, r in together.items()}
+    assert together[(9_999,)]["ra"] is None and len(together) == 1_501
+
+
+def test_four_ranks_share_one_window_over_narrow_rows(spark):
+    wide = [(F.col("id") * k % 97).cast("double").alias(f"v{k}") for k in range(4)] + [F.lit("x" * 50).alias(f"text{k}") for k in range(5)]
+    df = materialise(spark.range(0, 5_000, 1, 4).select("id", *wide))
+    ranked = global_rank(df, {f"v{k}": f"r{k}" for k in range(4)}, ["id"])
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    # Running sums and ties are two frames of one window, over one sort of rows without the texts.
+    assert len(windows) <= 2 and plan.count("Exchange hashpartitioning(_column") == 1
+    dealt = next(line for line in plan.splitlines() if "Exchange hashpartitioning(_column" in line)
+    below = plan[plan.index(dealt) :]
+    assert "text0" not in below
