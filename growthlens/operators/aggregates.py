@@ -53,7 +53,12 @@ def period_sums(panel: DataFrame, spec: PeriodSpec) -> DataFrame:
 
 def trend_table(panel: DataFrame, spec: PeriodSpec) -> DataFrame:
     """Half sums, totals and half-over-half growth of every pair seen in the first half."""
-    sums = period_sums(panel, spec).filter(F.col("rows1") > 0)
+    return trends_of(period_sums(panel, spec))
+
+
+def trends_of(sums: DataFrame) -> DataFrame:
+    """The trend table that follows from period sums."""
+    sums = sums.filter(F.col("rows1") > 0)
     out = []
     for flow in ("export", "import"):
         first, second = F.col(f"{flow}_period1"), F.col(f"{flow}_period2")

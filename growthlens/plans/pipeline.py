@@ -225,7 +225,8 @@ def save_run(
 
 
 def load_features(clean: TableCatalog) -> tuple[Features, Features]:
-    """Train and test features of a stored run."""
+    """Train and test features of a stored run, all of one publication."""
+    clean = clean.pinned()
     train, test = (
         Features(clean.read(name), clean.read(f"{name}_pairs"), clean.read(f"{name}_groups")) for name in ("train", "test")
     )

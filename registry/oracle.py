@@ -458,6 +458,32 @@ FROM (SELECT *, row_number() OVER (PARTITION BY location_id ORDER BY pred_pct_ch
 LEFT JOIN part ON product_id = p_partkey"""
 
 
+def _prep_tables() -> str:
+    """Rows and one sum of every named intermediate table."""
+    years = "year >= 1995 AND year < 1999"
+    parts = {
+        "df": f"SELECT export_value AS x FROM panel WHERE {years}",
+        "df_groupsum": f"SELECT export_total_loc_year AS x FROM totals WHERE {years}",
+    }
+    for name, split, start in (("df_95_04", "train", 1995), ("df_05_14", "test", 1997)):
+        parts[name] = f"SELECT export_value AS x FROM panel WHERE year >= {start} AND year < {start + 2}"
+        for half in (0, 1):
+            parts[f"{name}_sum{half + 1}"] = f"SELECT sum(export_value) AS x FROM panel WHERE year = {start + half} GROUP BY location_id, product_id"
+        parts[f"{name}_trend"] = f"SELECT export_trend AS x FROM {split}_pairs"
+        for column in ("pct_norm", "pct_std", "trend_std"):
+            parts[f"{split}_{column}"] = f"SELECT export_{column} AS x FROM {split}"
+    rows = "\nUNION ALL ".join(f"""SELECT '{k}' AS "table", count(*) AS "rows", {r('sum(x)', 1)} AS amount FROM ({q})""" for k, q in parts.items())
+    return with_ctes(PANEL, TOTALS, TRAIN_PAIRS, TEST_PAIRS, TRAIN, TEST, select=rows)
+
+
+def _trend_columns(split: str) -> str:
+    return (
+        "SELECT location_id, product_id, "
+        + ", ".join(f"{r(f'{f}_{p}')} AS {f}_{p}" for f in ("export", "import") for p in ("period1", "period2", "trend", "period_total"))
+        + f', "rows" FROM {split}_pairs'
+    )
+
+
 SQL: dict[str, str] = {
     "trade_panel": with_ctes(panel_raw(), select="SELECT * FROM panel_raw"),
     "trade_panel_brand": with_ctes(coded_panel("p_brand"), select="SELECT * FROM panel_raw"),
@@ -648,6 +674,24 @@ FROM ratings a JOIN ratings b ON a.item_id = b.item_id AND a.user_id < b.user_id
         )
         for model in ("als", "gbt", "fm")
     },
+    "stored_prep_tables": _prep_tables(),
+    "stored_year_replaced": with_ctes(
+        PANEL,
+        """
+stored AS (
+  SELECT * FROM panel WHERE year = 1998
+  UNION ALL SELECT location_id, product_id, year, export_value + 1000, import_value FROM panel WHERE year = 1997 AND location_id < 10
+)""",
+        select=f"""SELECT location_id, year, {r('sum(export_value)', 4)} AS export_total_loc_year,
+  {r('sum(import_value)', 4)} AS import_total_loc_year FROM stored GROUP BY location_id, year""",
+    ),
+    "refreshed_trends": with_ctes(PANEL, TEST_PAIRS, select=_trend_columns("test")),
+    "table_shapes": with_ctes(
+        PANEL, TOTALS, TRAIN_PAIRS, TEST_PAIRS, TRAIN, TEST,
+        select="""SELECT 'train' AS "table", count(*) AS "rows", 22 AS "columns" FROM train
+UNION ALL SELECT 'test', count(*), 22 FROM test""",
+    ),
+    "panel_head": with_ctes(PANEL, select="SELECT * FROM panel ORDER BY location_id, product_id, year LIMIT 20"),
     "als_grid_search": grid(),
     "als_rounds": rounds_of(0.25),
     "als_fixed_start": with_ctes(

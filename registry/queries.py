@@ -9,6 +9,7 @@ out so that they can be compared with SQL results.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -30,6 +31,7 @@ from growthlens.operators.aggregates import (
     location_year_totals,
     null_report,
     period_sums,
+    shape,
     trend_table,
 )
 from growthlens.operators.baseline import (
@@ -50,11 +52,12 @@ from growthlens.operators.panel import split_panel
 from growthlens.operators.profile import profile as profile_of
 from growthlens.operators.ranking import global_rank
 from growthlens.operators.recommend import in_order, location_id_of, rank_within, top_n, top_n_all, with_names
+from growthlens.operators.refresh import period_state, refresh_year, save_state, state_trends
 from growthlens.operators.scaling import scale_global as scaled_globally
 from growthlens.operators.scaling import scale_grouped as scaled_by_group
 from growthlens.plans.attach import attach
 from growthlens.plans.materialise import materialise, session_folder
-from growthlens.plans.pipeline import RunConfig, run_pipeline, save_run
+from growthlens.plans.pipeline import RunConfig, prep_tables, run_pipeline, save_run
 from growthlens.plans.pipeline import recommend_from_store as stored_recommendations
 from growthlens.sources.catalog import build_sample, load_panel, open_stores
 from growthlens.sources.transactions import (
@@ -69,6 +72,11 @@ SPLITS = Splits(PeriodSpec(1995, 1996, 1997), PeriodSpec(1997, 1998, 1999))
 LONG = PeriodSpec(1995, 1997, 1999)
 EVENT_DAYS = PeriodSpec(1, 9, 17)
 LOCATION = "NATION_3"
+#: The column of a stored intermediate table that is added up, the first of these that it has.
+PREP_AMOUNTS = [
+    "export_trend", "export_pct_norm", "export_pct_std", "export_trend_std", "export_period1", "export_period2",
+    "export_total_loc_year", "export_value",
+]
 TOP = 50
 
 
@@ -422,6 +430,53 @@ def recommend_from_store(spark, folder):
     return _displayed(stored_recommendations(stores["data_full_clean"], classes, cfg).recommendations, places=4)
 
 
+def _store(spark, name: str = "data_full"):
+    return open_stores(spark, f"{session_folder(spark)}/project-{uuid.uuid4().hex}")[name]
+
+
+def stored_prep_tables(spark, folder):
+    """All named intermediate tables, published together and read back: rows and the sum of one column of each."""
+    panel = _panel(spark, folder)
+    train, test = (build_features(panel, s, ranks=False) for s in (SPLITS.train, SPLITS.test))
+    store = _store(spark)
+    store.write_all(prep_tables(panel, SPLITS, train, test), replace=True)
+    store, parts = store.pinned(), []
+    for key in store.keys():
+        table = store.read(key)
+        column = next(c for c in PREP_AMOUNTS if c in table.columns)
+        parts.append(table.agg(F.lit(key).alias("table"), F.count(F.lit(1)).alias("rows"), F.sum(column).alias("amount")))
+    return rounded(reduce(DataFrame.unionByName, parts), 1)
+
+
+def stored_year_replaced(spark, folder):
+    """A panel stored by year, one year of it replaced; totals of the years from then on."""
+    store, year = _store(spark), SPLITS.test.start
+    stored = store.write("panel", panel_of_trade(spark, folder, years=SPLITS.years()), partition_by=["year"])
+    corrected = clean(stored.filter(F.col("year") == year)).filter(F.col("location_id") < 10)
+    now = store.replace_partitions("panel", corrected.withColumn("export_value", F.col("export_value") + 1000))
+    return rounded(location_year_totals(clean(now.filter(F.col("year") >= year))), 4)
+
+
+def refreshed_trends(spark, folder):
+    """Trends of the test split from a stored state of its first year and the second year appended."""
+    store, spec = _store(spark), SPLITS.test
+    stored = store.write("panel", clean(panel_of_trade(spark, folder, years=SPLITS.years())), partition_by=["year"])
+    save_state(store, "test", period_state(stored.filter(F.col("year") < spec.last_year), spec))
+    return rounded(state_trends(refresh_year(store, "panel", "test", spec.last_year)))
+
+
+def table_shapes(spark, folder):
+    """Rows and columns of the features of both splits."""
+    panel = _panel(spark, folder)
+    found = [(name, *shape(build_features(panel, s, ranks=False).rows)) for name, s in (("train", SPLITS.train), ("test", SPLITS.test))]
+    return spark.createDataFrame(found, "table string, rows long, columns int")
+
+
+def panel_head(spark, folder):
+    """The first rows of the panel in key order."""
+    return clean(panel_of_trade(spark, folder)).orderBy("location_id", "product_id", "year").limit(20)
+
+
 def _event_ratings(spark, folder) -> tuple[DataFrame, DataFrame]:
     """Scaled ratings of the first days, and the user-item pairs of the later ones."""
     panel = materialise(clean(panel_of_events(spark, folder)), "events")
@@ -601,6 +656,11 @@ QUERIES = {
     "knn_predictions_k5_others": knn_predictions_k5_others,
     "knn_recommendations": knn_recommendations,
     "recommend_from_store": recommend_from_store,
+    "stored_prep_tables": stored_prep_tables,
+    "stored_year_replaced": stored_year_replaced,
+    "refreshed_trends": refreshed_trends,
+    "table_shapes": table_shapes,
+    "panel_head": panel_head,
     "user_similarity_raw": user_similarity_raw,
     "event_user_similarity": event_user_similarity,
     "event_knn_predictions": event_knn_predictions,

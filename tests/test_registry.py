@@ -14,6 +14,7 @@ CHECKED = [
     "trade_panel", "trade_panel_brand", "panel_sample", "null_report", "key_cardinality", "export_share",
     "feature_table_test", "min_rank", "rank_within_top_n", "event_knn_predictions", "validation_report",
     "trend_table_long", "top_n_new_goods", "user_similarity_raw", "recommend_from_store",
+    "als_fixed_start", "als_rounds", "stored_prep_tables", "stored_year_replaced", "refreshed_trends", "table_shapes", "panel_head",
 ]
 
 needs_data = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables here")
