@@ -13,14 +13,16 @@ short it is. A letter stays a letter of its alphabet (vowel or consonant in
 names), a digit a digit; case, punctuation, length and the parts that carry the type
 (country code, top-level domain) stay. Addresses stay valid, the check digit of a card
 number stays right or wrong as it was. In names the form of address and the last
-letter, which carry the gender, stay.
+letter of every word, which carry the gender, stay.
 
 Being a permutation among the entities of one format, it never gives two entities the
 same surrogate, and one entity gets the same surrogate wherever, in whatever case and
-with whatever punctuation it occurs: no lookup table has to be joined to the texts. The
-entities are collected once as a distinct table, and the check over it moves on to the
-next key while two entities meet or one keeps its value, which only one without a
-character of the alphabets does.
+with whatever punctuation it occurs: no lookup table has to be joined to the texts. A name
+is replaced word by word, so a surname stays one person's with and without the given
+name, and words of a text's names are replaced where they stand in it without a form of
+address too. The entities are collected once as a distinct table, and the check over it
+moves on to the next key while two entities meet, and fails if they do under all keys. An
+entity without a character of the alphabets keeps its value and is counted.
 
 Everything is DataFrame code; texts are read whole and not shuffled.
 
@@ -37,7 +39,12 @@ from growthlens.llm.common import written
 
 KEY = "surrogates-1"
 ROUNDS = 4  # half of them there, half of them back
-TRIES = 8  # keys that are tried before entities without room to move are left as they are
+TRIES = 8  # keys that are tried
+ENTITIES_PER_TASK = 20_000  # distinct entities that a task checks
+
+#: Forms of address that a name follows, as they stand here or in capitals.
+TITLES = ["Mr", "Mrs", "Ms", "Miss", "Dr", "Herr", "Frau", "Monsieur", "Madame", "Mme", "Señora", "Señor", "Sra", "Sr", "Господин", "Госпожа", "Κύριος", "Κυρία"]
+TITLE = "|".join(t for title in TITLES for t in (title, title.upper()))
 
 #: The entities' patterns, in the order in which they are tried.
 PATTERNS = {
@@ -47,16 +54,18 @@ PATTERNS = {
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone": r"(?<![0-9])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,3}|\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9])",
     "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3})(?![0-9])",
-    "name": r"(?<![\p{L}])(?:Mr|Mrs|Ms|Miss|Dr|Herr|Frau|Monsieur|Madame|Mme|Señora|Señor|Sra|Sr|Господин|Госпожа|Κύριος|Κυρία)\.? \p{Lu}[\p{L}'’-]+(?: \p{Lu}[\p{L}'’-]+){0,2}",
+    "name": r"(?<![\p{L}])(?:" + TITLE + r")\.? \p{Lu}[\p{L}'’-]+(?: \p{Lu}[\p{L}'’-]+){0,2}",
 }
+NAME_WORD = r"(?<![\p{L}])\p{Lu}[\p{L}'’-]+"
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-HINT = r"[0-9@]|(?:Mr|Mrs|Ms|Miss|Dr|Herr|Frau|Monsieur|Madame|Mme|Señora|Señor|Sra|Sr|Господин|Госпожа|Κύριος|Κυρία)\.? "
+HINT = rf"[0-9@]|(?:{TITLE})\.? "
 
 #: The alphabets within which characters move; a character of none of them stays.
 LETTERS, DIGITS, HEX = "abcdefghijklmnopqrstuvwxyz", "0123456789", "0123456789abcdef"
 NAME_ALPHABETS = (
-    "aeiou", "bcdfghjklmnpqrstvwxyz", "àáâãäåèéêëìíîïòóôõöøùúûü", "çñšžčćđł",
+    "aeiou", "bcdfghjklmnpqrstvwxyz", "àáâãäåèéêëìíîïòóôõöøùúûü", "çñšč",
     "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "αεηιουω", "βγδζθκλμνξπρστφχψ", "άέήίόύώ",
+    "āăąēĕėęěĩīĭįıōŏőũūŭůűų", "ćĉċďĝğġģĥħĵķĺļľłńņňŕŗřśŝşťţŵŷźżđž", "ђјљњћџґїіє", "աեէըիոօ", "բգդզթժլխծկհձղճմյնշչպջռսվտրցւփքֆ",
 )
 
 
@@ -198,9 +207,39 @@ def _described(raws: Column, key: str) -> Column:
     return F.transform(_permuted(entities, key), lambda p: F.struct(p["e"].alias("e"), p["out"].alias("out"), _surrogate(p).alias("surrogate")))
 
 
+def _pieces(value: Column, raws: Column) -> Column:
+    """Parts of the text with the entity behind each: ``before, raw``. A name gives one for each of its words."""
+
+    def of_entity(before: Column, raw: Column) -> Column:
+        title = F.regexp_extract(raw, rf"^((?:{TITLE})\.? )", 1)
+        words = F.split(F.substring(raw, F.length(title) + 1, F.length(raw)), " ")
+        named = F.transform(
+            words, lambda w, j: F.struct(F.when(j == 0, F.concat(before, title)).otherwise(F.lit(" ")).alias("before"), w.alias("raw"))
+        )
+        return F.when(F.length(title) > 0, named).otherwise(F.array(F.struct(before.alias("before"), raw.alias("raw"))))
+
+    between = F.split(value, ANY, -1)
+    return F.flatten(F.zip_with(F.slice(between, F.lit(1), F.size(raws)), raws, of_entity))
+
+
+def _is_word(raw: Column) -> Column:
+    """Whether an entity is a word of a name; all others hold a digit or an at sign."""
+    return ~raw.rlike("[0-9@]")
+
+
+def _bare(text: Column, names: Column, surrogates: Column) -> Column:
+    """``text`` with surrogates for words that are names elsewhere in the same text."""
+    found = F.regexp_extract_all(text, F.lit(NAME_WORD), F.lit(0))
+    new = F.transform(found, lambda w: F.coalesce(F.get(surrogates, F.nullif(F.array_position(names, w), F.lit(0)).cast("int") - 1), w))
+    parts = F.zip_with(F.split(text, NAME_WORD, -1), new, lambda t, w: F.concat(t, F.coalesce(w, F.lit(""))))
+    return F.array_join(parts, "")
+
+
 def entities(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The distinct entities ``raw`` of a corpus, copies combined before the shuffle."""
-    return docs.select(F.explode(_found(F.col(text))).alias("raw")).distinct()
+    """The distinct entities ``raw`` of a corpus, names word by word, copies combined before the shuffle."""
+    raws = _found(F.col(text))
+    units = F.when(F.size(raws) > 0, F.transform(_pieces(F.col(text), raws), lambda u: u["raw"]))
+    return docs.select(F.explode(units).alias("raw")).distinct()
 
 
 def surrogates(raws: DataFrame, key: str) -> DataFrame:
@@ -219,34 +258,45 @@ def clashes(described: DataFrame) -> DataFrame:
 
 
 def checked_key(docs: DataFrame, key: str = KEY, text: str = "text") -> str:
-    """The first of ``TRIES`` keys without a clash over all entities, or the one with the fewest."""
+    """The first of ``TRIES`` keys under which no two entities share a surrogate; none is an error.
+
+    Entities without a movable character keep their value under every key: ``n_kept`` counts them by row.
+    """
     raws = written(entities(docs, text), "entities")
-    best = None
+    raws = raws.repartition(max(1, -(-raws.count() // ENTITIES_PER_TASK)), "raw")
     for i in range(TRIES):
         candidate = f"{key}/{i}"
-        n = clashes(surrogates(raws, candidate)).count()
-        if best is None or n < best[0]:
-            best = (n, candidate)
-        if n == 0:
-            break
-    return best[1]
+        if clashes(surrogates(raws, candidate)).filter("n > 1").isEmpty():
+            return candidate
+    raise ValueError(f"entities share surrogates under all of {TRIES} keys")
 
 
 def replace_entities(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """``docs`` with surrogates in ``text``; adds ``n_entities`` and ``kinds`` (their types, in order)."""
+    """``docs`` with surrogates in ``text``; adds ``n_entities``, ``kinds`` (their types, in order) and ``n_kept``
+    (entities and words of names without a character that could move, which stay as they are)."""
     value = F.col(text)
     marked = docs.withColumn("_raws", F.coalesce(_found(value), F.array().cast("array<string>")))
-    marked = marked.withColumn("_described", F.when(F.size("_raws") > 0, _described(F.col("_raws"), key)))
-    pieces = F.split(value, ANY, -1)
-    joined = F.array_join(F.zip_with(pieces, "_described", lambda p, d: F.concat(p, F.coalesce(d["surrogate"], F.lit("")))), "")
+    some = F.size("_raws") > 0
+    marked = marked.withColumn("_units", F.when(some, _pieces(value, F.col("_raws"))))
+    marked = marked.withColumn("_new", F.when(some, F.transform(_described(F.transform("_units", lambda u: u["raw"]), key), lambda d: d["surrogate"])))
+    words = F.filter(F.arrays_zip(F.transform("_units", lambda u: u["raw"]).alias("raw"), F.col("_new").alias("new")), lambda x: _is_word(x["raw"]))
+    marked = marked.withColumn("_words", F.when(some, words))
+    marked = marked.withColumns({"_names": F.transform("_words", lambda x: x["raw"]), "_other": F.transform("_words", lambda x: x["new"])})
+    named = F.size("_names") > 0
+    rest = F.element_at(F.split(value, ANY, -1), -1)
+    plain = F.concat(F.array_join(F.zip_with("_units", "_new", lambda u, n: F.concat(u["before"], n)), ""), rest)
+    bare = lambda t: _bare(t, F.col("_names"), F.col("_other"))
+    linked = F.concat(F.array_join(F.zip_with("_units", "_new", lambda u, n: F.concat(bare(u["before"]), n)), ""), bare(rest))
+    same = F.filter(F.zip_with("_units", "_new", lambda u, n: u["raw"] == n), lambda x: x)
     out = marked.withColumns(
         {
-            "_new": F.when(F.size("_raws") > 0, joined).otherwise(value),
+            "_text": F.when(some & named, linked).when(some, plain).otherwise(value),
             "n_entities": F.size("_raws"),
-            "kinds": F.coalesce(F.array_join(F.transform("_described", lambda d: d["e"]["kind"]), " "), F.lit("")),
+            "kinds": F.array_join(F.transform("_raws", kind_of), " "),
+            "n_kept": F.when(some, F.size(same)).otherwise(0),
         }
     )
-    return out.withColumn(text, F.col("_new")).drop("_new", "_raws", "_described")
+    return out.withColumn(text, F.col("_text")).drop("_new", "_raws", "_units", "_words", "_names", "_other", "_text")
 
 
 def pseudonymise(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:

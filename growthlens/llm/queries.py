@@ -61,7 +61,7 @@ def op9_bpe(spark, folder):
 
 def op10_pii(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    return pii.pseudonymise(docs, pii.KEY).select("doc_id", "n_entities", "kinds", "text")
+    return pii.pseudonymise(docs, pii.KEY).select("doc_id", "n_entities", "kinds", "text", "n_kept")
 
 
 def op11_alignment(spark, folder):
