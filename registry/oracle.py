@@ -684,6 +684,11 @@ stored AS (
 )""",
         select=f"""SELECT location_id, year, {r('sum(export_value)', 4)} AS export_total_loc_year,
   {r('sum(import_value)', 4)} AS import_total_loc_year FROM stored GROUP BY location_id, year""",
+    ),
+    "sketched_quartiles": with_ctes(
+        PANEL,
+        select="""SELECT c AS "column", p::DOUBLE AS probability, (SELECT count(*) FROM panel) AS "rows", true AS "within"
+FROM (VALUES ('export_value'), ('import_value')) AS a(c), (VALUES (0.25), (0.5), (0.75)) AS b(p)""",
     ),
     "refreshed_trends": with_ctes(PANEL, TEST_PAIRS, select=_trend_columns("test")),
     "table_shapes": with_ctes(

@@ -55,6 +55,7 @@ from growthlens.operators.recommend import in_order, location_id_of, rank_within
 from growthlens.operators.refresh import period_state, refresh_year, save_state, state_trends
 from growthlens.operators.scaling import scale_global as scaled_globally
 from growthlens.operators.scaling import scale_grouped as scaled_by_group
+from growthlens.operators.sketches import column_sketches, merged_sketches, rank_error, sketched_quantiles, true_ranks
 from growthlens.plans.attach import attach
 from growthlens.plans.materialise import materialise, session_folder
 from growthlens.plans.pipeline import RunConfig, prep_tables, run_pipeline, save_run
@@ -465,6 +466,15 @@ def refreshed_trends(spark, folder):
     return rounded(state_trends(refresh_year(store, "panel", "test", spec.last_year)))
 
 
+def sketched_quartiles(spark, folder):
+    """Quartiles from sketches stored per year, and whether their true ranks are within twice the stated error."""
+    store = _store(spark)
+    stored = store.write("panel", clean(panel_of_trade(spark, folder)), partition_by=["year"])
+    sketches = store.write("sketches", column_sketches(stored, ["export_value", "import_value"], ["year"]), partition_by=["year"])
+    found = true_ranks(stored, sketched_quantiles(merged_sketches(sketches), [0.25, 0.5, 0.75]))
+    return found.select("column", "probability", F.col("n").alias("rows"), (F.col("off") <= 2 * rank_error()).alias("within"))
+
+
 def table_shapes(spark, folder):
     """Rows and columns of the features of both splits."""
     panel = _panel(spark, folder)
@@ -659,6 +669,7 @@ QUERIES = {
     "stored_prep_tables": stored_prep_tables,
     "stored_year_replaced": stored_year_replaced,
     "refreshed_trends": refreshed_trends,
+    "sketched_quartiles": sketched_quartiles,
     "table_shapes": table_shapes,
     "panel_head": panel_head,
     "user_similarity_raw": user_similarity_raw,
