@@ -48,9 +48,9 @@ LONGEST = 26  # characters of a word that are compared at once; longer words are
 TRAIN_DOCS = 3_000  # labelled documents of each kind that the sample may hold
 WORDS = 4_000  # training words of each kind
 LANDMARKS = 128  # of each kind
-#: Standard deviations above its expectation that a word's count in toxic sentences has to be, from the first that
-#: gives ``ENOUGH`` words; below the last a word is ordinary.
-SURPRISES, ENOUGH = (6.0, 5.0, 4.0, 3.0), 20
+SURPRISE = 6.0  # standard deviations above its expectation that a word's count in toxic sentences has to be
+ORDINARY = 3.0  # below as many a word is ordinary
+SPREAD = 1_500  # most surprising words among which the landmarks are spread
 MEMO_WORDS = 100_000  # in each of the two generations that a worker remembers
 SLICE_CHARS = 1_000_000  # text that a task splits into words at once
 SUMMARY = ("first", "top3", "top8", "log_positive", "share")  # of the margins of a document's distinct words
@@ -320,8 +320,23 @@ def _fit_svm(words: DataFrame, landmarks: Landmarks, root: np.ndarray) -> tuple[
     return root @ svm.coefficients.toArray(), float(svm.intercept)
 
 
-def fit(docs: DataFrame, labels: DataFrame, at_most: int = TRAIN_DOCS) -> Machine:
-    """Train on at most ``at_most`` labelled documents of each kind whose id's checksum is no multiple of 5."""
+def fit(
+    docs: DataFrame,
+    labels: DataFrame,
+    at_most: int = TRAIN_DOCS,
+    surprise: float = SURPRISE,
+    ordinary: float = ORDINARY,
+    words_of_kind: int = WORDS,
+    landmarks_of_kind: int = LANDMARKS,
+    spread_over: int = SPREAD,
+) -> Machine:
+    """Train on at most ``at_most`` labelled documents of each kind whose id's checksum is no multiple of 5.
+
+    All words of these documents are counted. Those ``surprise`` deviations above chance are the positive
+    examples, the ``words_of_kind`` most surprising if there are more; as many that stay below ``ordinary``,
+    by hash, are the negative ones. ``landmarks_of_kind`` landmarks of each kind are taken, the positive ones spread
+    over the ``spread_over`` most surprising words. None of it depends on the size of the table.
+    """
     train, share = _training_documents(docs, labels, at_most)
     constant = Machine(np.zeros(SYMBOLS**3, np.float32), 0.0, start=_logit(share))
     if not 0 < share < 1:
@@ -332,25 +347,22 @@ def fit(docs: DataFrame, labels: DataFrame, at_most: int = TRAIN_DOCS) -> Machin
         return constant
     rate = base[0] / base[1]
     seen = F.col("bad") + F.col("good")
-    surprise = (F.col("bad") - rate * seen) / F.sqrt(seen * (rate * (1 - rate)))
-    rated = written(words.withColumn("surprise", surprise), "rated_words")
-    for least in SURPRISES:
-        bad = rated.filter(F.col("surprise") >= least).orderBy(F.desc("surprise"), "word").limit(WORDS)
-        positive = [r["word"] for r in bad.select("word").collect()]  # at most WORDS
-        if len(positive) >= ENOUGH:
-            break
-    clean = rated.filter((F.col("surprise") < SURPRISES[-1]) & (F.col("good") > 0))
+    above = (F.col("bad") - rate * seen) / F.sqrt(seen * (rate * (1 - rate)))
+    rated = written(words.withColumn("surprise", above), "rated_words")
+    bad = rated.filter(F.col("surprise") >= surprise).orderBy(F.desc("surprise"), "word").limit(words_of_kind)
+    positive = [r["word"] for r in bad.select("word").collect()]  # at most words_of_kind
+    clean = rated.filter((F.col("surprise") < ordinary) & (F.col("good") > 0))
     clean = written(clean.select("word"), "clean_words")
-    negative = clean.orderBy(F.xxhash64(F.lit("toxicity"), "word"), "word").limit(WORDS)
-    negative = [r["word"] for r in negative.collect()]  # at most WORDS
+    negative = clean.orderBy(F.xxhash64(F.lit("toxicity"), "word"), "word").limit(words_of_kind)
+    negative = [r["word"] for r in negative.collect()]  # at most words_of_kind
     if not positive or not negative:
         return constant
     spark = docs.sparkSession
-    near = Landmarks(positive[:LANDMARKS]).kernel(negative).max(1)  # WORDS x LANDMARKS numbers
-    hard = [negative[i] for i in np.argsort(-near, kind="stable")[: LANDMARKS // 2]]
+    near = Landmarks(positive[:landmarks_of_kind]).kernel(negative).max(1)  # words_of_kind x landmarks_of_kind numbers
+    hard = [negative[i] for i in np.argsort(-near, kind="stable")[: landmarks_of_kind // 2]]
     machine = None
     for _ in range(2):
-        chosen = list(dict.fromkeys(spread(positive[:1_500], LANDMARKS) + hard + negative[: LANDMARKS // 2]))
+        chosen = list(dict.fromkeys(spread(positive[:spread_over], landmarks_of_kind) + hard + negative[: landmarks_of_kind // 2]))
         landmarks = Landmarks(chosen)
         values, vectors = np.linalg.eigh(landmarks.kernel(chosen))
         kept = values > 1e-6 * values.max()
@@ -359,8 +371,8 @@ def fit(docs: DataFrame, labels: DataFrame, at_most: int = TRAIN_DOCS) -> Machin
         alpha, bias = _fit_svm(spark.createDataFrame(rows, "word string, label double, weight double").repartition(6), landmarks, root)
         machine = Machine(landmarks.weights(alpha), bias)
         suspects = clean.withColumn("margin", summary_column(F.col("word"), machine)[0])
-        suspects = [r["word"] for r in suspects.orderBy(F.desc("margin"), "word").limit(WORDS // 2).collect()]
-        hard = suspects[: LANDMARKS // 2]
+        suspects = [r["word"] for r in suspects.orderBy(F.desc("margin"), "word").limit(words_of_kind // 2).collect()]
+        hard = suspects[: landmarks_of_kind // 2]
         negative = list(dict.fromkeys(negative + suspects))
     scored = train.select(F.col("toxic").cast("double").alias("label"), "weight", summary_column(F.col("text"), machine).alias("summary"))
     scored = written(scored, "toxicity_summaries").withColumn("features", array_to_vector("summary"))
