@@ -147,7 +147,7 @@ TRAIN = features("train", 1995, 1997)
 TEST = features("test", 1997, 1999)
 
 RATED = """
-rated AS MATERIALIZED (SELECT location_id, product_id, export_val_std_all AS y FROM train)"""
+rated AS MATERIALIZED (SELECT location_id, product_id, year, export_val_std_all AS y FROM train)"""
 
 
 def share_of(*parts: str) -> str:
@@ -171,9 +171,9 @@ def ridge(name: str, rows: str, other: str, key: str, theirs: str, rank: int, re
 
 def factorised(prefix: str, rows: str, rank: int, reg: float, rounds: int, seed: int = 42) -> list[str]:
     """Alternating least squares from the fixed start; ``{prefix}_u{i}`` and ``{prefix}_q{i}`` after round ``i``."""
-    start = [f"({share_of(f"'{seed}:start:{j}'", 'product_id')} - 0.5) * {2 / rank**0.5!r} AS v{j}" for j in range(rank)]
+    start = [f"({share_of(f"'{seed}:start:{j}'", 'number')} - 0.5) * {2 / rank**0.5!r} AS v{j}" for j in range(rank)]
     start += ["0.0 AS v1"] * (rank == 1)
-    steps = [f"{prefix}_q0 AS MATERIALIZED (SELECT product_id, {', '.join(start)} FROM (SELECT DISTINCT product_id FROM {rows}))"]
+    steps = [f"{prefix}_q0 AS MATERIALIZED (SELECT product_id, {', '.join(start)} FROM (SELECT product_id, row_number() OVER (ORDER BY product_id) - 1 AS number FROM (SELECT DISTINCT product_id FROM {rows})))"]
     for i in range(1, rounds + 1):
         steps.append(ridge(f"{prefix}_u{i}", rows, f"{prefix}_q{i - 1}", "location_id", "product_id", rank, reg))
         steps.append(ridge(f"{prefix}_q{i}", rows, f"{prefix}_u{i}", "product_id", "location_id", rank, reg))
@@ -187,7 +187,7 @@ def predicted(rows: str, u: str, q: str) -> str:
 
 
 def grid(regs=(0.01, 0.1), ranks=(1, 2), folds: int = 2, rounds: int = 2, seed: int = 42) -> str:
-    fold = f"floor({share_of(f"'{seed}:fold'", 'location_id', 'product_id')} * {folds})::INTEGER"
+    fold = f"floor({share_of(f"'{seed}:fold'", 'location_id', 'product_id', 'year')} * {folds})::INTEGER"
     steps = [f"folded AS MATERIALIZED (SELECT *, {fold} AS fold FROM rated)"]
     cells = []
     for f in range(folds):
