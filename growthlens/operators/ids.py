@@ -22,13 +22,16 @@ class Numbering:
 def dense_ids(df: DataFrame, column: str, name: str, range_values: int = RANGE_VALUES) -> Numbering:
     """Number the distinct values of ``column`` from 0 in value order.
 
-    The values are written in ranges, one file each. A value's number is its
+    Up to ``range_values`` values are ordered in one task. More are written in ranges, one file each. A value's number is its
     place within its file plus the values of the files before it; only the files,
     one row per ``range_values`` values, are ever ordered in one task.
     """
     values = materialise(df.select(column).filter(F.col(column).isNotNull()).distinct(), "ids")
     size = values.count()
     ranges = max(1, -(-size // range_values))
+    if ranges == 1:
+        place = F.row_number().over(Window.orderBy(column)) - 1
+        return Numbering(materialise(values.select(column, place.cast("long").alias(name)), "numbering"), size)
     ordered = materialise(values.repartitionByRange(ranges, column), "id_ranges")
     placed = ordered.select(column, F.col("_metadata.file_path").alias("_file"))
     files = placed.groupBy("_file").agg(F.min(column).alias("_first"), F.count(F.lit(1)).alias("_values"))
