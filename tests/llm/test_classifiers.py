@@ -1,6 +1,8 @@
 """Quality, toxicity and language models: held-out accuracy, exact parts, and odd inputs."""
 
+import math
 import os
+import re
 
 import numpy as np
 import pytest
@@ -60,6 +62,42 @@ def test_statistics_by_hand(spark):
     assert row["s_upper"] == pytest.approx(2 / 17) and row["s_wide"] == pytest.approx(2 / 17)
 
 
+def plain_statistics(text):
+    """The statistics of a text, by definition and in their order."""
+    t = text or ""
+    found = [w for w in re.split(r"[\x20\x09-\x0D]+", t) if w]
+    lines = t.split("\n")
+    words, length = max(1, len(found)), max(1, len(t))
+    out = [math.log1p(len(found)), len(t) / words, len(set(found)) / words, len(set(lines)) / len(lines), math.log1p(words / len(lines))]
+    out += [len(re.findall("[A-ZÀ-Þ]", t)) / length, len(re.findall("[0-9]", t)) / length, (len(t.encode()) - len(t)) / length]
+    return out + [t.count(mark) / words for mark in quality.MARKS.values()]
+
+
+def test_compiled_scores_equal_direct_evaluation_of_the_rules(spark):
+    rng = np.random.default_rng(4)
+    good = [" ".join(rng.choice(["river", "house", "Green", "was", "old,", "walked."], 25)) for _ in range(60)]
+    bad = [" ".join(rng.choice(["BUY", "$$$", "now!!", "9%", "click|", "#1"], 25)) + "\nBUY\nBUY" for _ in range(60)]
+    mixed = [f"{a}\n{b}" for a, b in zip(good[:20], bad[:20], strict=True)]
+    rows = [(i, t) for i, t in enumerate(good + bad + mixed + ODD)] + [(None, good[0]), (3, bad[0])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 60)) for i in range(120)], "doc_id long, quality int")
+    model = quality.fit(docs.filter("doc_id < 120"), labels)
+    third = (tuple((f, "<=", v) for f, v in ((0, 3.4), (5, 0.2))), -0.75)
+    by_hand = quality.RuleEnsemble(model.names, 0.25, [(((7, ">", 0.0),), 1.5), third], [(1, -0.125, 2.0, 6.0), (8, 0.5, 0.0, 0.4)])
+    assert model.rules or model.linear
+    for ensemble in (model, by_hand):
+        want = []
+        for i, text in rows:
+            x, total = plain_statistics(text), ensemble.start
+            for rule, weight in ensemble.rules:
+                total += weight * all(x[f] <= v if sign == "<=" else x[f] > v for f, sign, v in rule)
+            total += sum(w * max(low, min(high, x[f])) for f, w, low, high in ensemble.linear)
+            want.append((str(i), 1 / (1 + math.exp(-total))))
+        got = [(str(r["doc_id"]), r["score"]) for r in quality.quality(docs, ensemble).collect()]
+        assert [k for k, _ in sorted(got)] == [k for k, _ in sorted(want)]
+        assert [v for _, v in sorted(got)] == pytest.approx([v for _, v in sorted(want)], abs=1e-12)
+
+
 @needs_data
 def test_toxicity_on_held_out_documents_and_disguised_insults(spark):
     docs, labels = table(spark, FOLDER, "documents"), table(spark, FOLDER, "labels")
@@ -132,6 +170,47 @@ def test_language_on_held_out_documents(spark):
     assert strict.filter("rejected").count() == strict.filter("lang_pred = 'und'").count() > 0
 
 
+def plain_language(text, model):
+    """Nearest centroid, by dictionaries of n-grams and a loop over all centroids."""
+    symbols = [b if b >= 128 or 97 <= b <= 122 else 0 for b in (text or "").lower().encode()]
+    symbols = [b for i, b in enumerate(symbols) if b or i == 0 or symbols[i - 1]]
+    counts = {}
+    for n in (1, 2, 3):
+        for i in range(len(symbols) - n + 1):
+            if n > 1 or symbols[i]:
+                code = 0
+                for b in symbols[i : i + n]:
+                    code = code * 257 + b
+                place = (code * 2654435761 >> 11) % langid.DIMENSIONS
+                counts[place] = counts.get(place, 0) + 1
+    weights = {k: math.log1p(n) * model.idf[k] for k, n in counts.items()}
+    length = math.sqrt(sum(w * w for w in weights.values()))
+    if not length or not any(c.isalpha() for c in text or ""):
+        return "und", 0.0
+    found = []
+    for owner, centroid in zip(model.language, model.vectors, strict=True):
+        cosine = sum(w * centroid[k] for k, w in weights.items()) / length
+        found.append((-round(cosine, 9), model.names[owner]))
+    best = min(found)
+    return best[1], -best[0]
+
+
+def test_languages_equal_brute_force_over_all_centroids(spark):
+    rng = np.random.default_rng(6)
+    words = {"aa": ["the", "house", "river", "is", "old"], "bb": ["das", "haus", "über", "fluß", "alt"], "cc": ["la", "maison", "été", "où", "vieux"]}
+    rows = [(i, " ".join(rng.choice(words[n], 12)), n) for i, n in enumerate(list(words) * 40)]
+    rows += [(1_000 + i, " ".join(rng.choice(sum(words.values(), []), 9)), None) for i in range(60)]
+    docs = spark.createDataFrame(rows + [(2_000 + i, t, None) for i, t in enumerate(ODD)], "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    assert model.names == ["aa", "bb", "cc"]
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in langid.predict(docs, model).collect():
+        name, score = plain_language(texts[r["doc_id"]], model)
+        assert (r["lang_pred"], r["score"]) == (name, pytest.approx(score, abs=1e-8)), r["doc_id"]
+        if name != "und" and abs(1 - score - model.bounds[name]) > 1e-6:
+            assert r["rejected"] == (1 - score > model.bounds[name])
+
+
 def test_noise_is_rejected_by_the_learned_bound(spark):
     words = ["the", "house", "and", "river", "is", "old", "green", "water"]
     rows = [(i, " ".join(words[(i * k + k) % 8] for k in range(30)), "en") for i in range(60)]
