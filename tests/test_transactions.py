@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from growthlens.config import PeriodSpec
 from growthlens.operators.aggregates import period_sums, shape
+from growthlens.sources import transactions
 from growthlens.sources.transactions import build_panel, events_as_panel
 
 from conftest import by_key
@@ -61,3 +62,20 @@ def test_sums_do_not_depend_on_the_order_of_rows(frame):
         found.add((r["export_period1"], r["export_period2"], r["export_period_total"], r["rows1"], r["rows"]))
     assert found == {(((0.0 + 1e16) + 1.0) + -1e16, (3.0 + 0.1) + 0.7, functools.reduce(float.__add__, values, 0.0), 3, 6)}
     assert shape(frame(rows, schema)) == (6, 5)
+
+
+def test_the_tasks_that_group_lines_follow_from_the_lines(spark, frame, monkeypatch):
+    """Their number was the session's, whatever the lines; a task held more cells the larger the table."""
+    lines = [(i % 7, i % 5, i % 3, float(i), 0.1) for i in range(40)] + [(1, None, 0, 2.0, 0.0), (None, 1, 0, 2.0, 0.0)]
+    given = {
+        "lineitem": frame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_extendedprice double, l_discount double"),
+        "orders": spark.sql("select id o_orderkey, id % 2 o_custkey, timestamp_ntz'1996-02-03 00:00:00' o_orderdate from range(7)"),
+        "supplier": spark.sql("select id s_suppkey, int(id) s_nationkey from range(3)"),
+        "customer": spark.sql("select id c_custkey, int(id) c_nationkey from range(2)"),
+    }
+    want = sorted(build_panel(given).collect(), key=str)
+    monkeypatch.setattr(transactions, "TASK_LINES", 2)
+    panel = build_panel(given)
+    plan = panel._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(", 21), REPARTITION_BY_NUM") == 3
+    assert sorted(panel.collect(), key=str) == want
