@@ -76,9 +76,14 @@ def product_lookup(part: DataFrame, product: str) -> DataFrame:
 
 
 def dealt(df: DataFrame, lines: int, keys: Sequence[str]) -> DataFrame:
-    """``df`` by ``keys`` in tasks of ``TASK_LINES`` lines; as it is while the session's partitions are as many."""
+    """``df`` by ``keys`` in tasks of ``TASK_LINES`` lines; as it is while the session's cores are as many.
+
+    More shuffle partitions than cores are no bound: adaptive execution merges them by their compressed bytes.
+    """
+    spark = df.sparkSession
     tasks = -(-lines // TASK_LINES)
-    return df.repartition(tasks, *keys) if tasks > shuffle_partitions(df.sparkSession) else df
+    least = min(shuffle_partitions(spark), spark.sparkContext.defaultParallelism)
+    return df.repartition(tasks, *keys) if tasks > least else df
 
 
 def build_panel(
@@ -135,9 +140,10 @@ def build_panel(
     )
     joined = dealt(lines, count, ["l_orderkey"]).join(dealt(orders, count, ["l_orderkey"]), "l_orderkey")
     cells = joined.select("product_id", "year", flows.alias("flow")).select("flow.*", "product_id", "year")
+    if product == "p_partkey":  # nearly a cell per line; the few of a coarse product are combined before the shuffle
+        cells = dealt(cells, count, CELL)
     return (
-        dealt(cells, count, CELL)
-        .groupBy(*CELL)
+        cells.groupBy(*CELL)
         .agg(sum_of_units("export", unit).alias("export_value"), sum_of_units("import", unit).alias("import_value"))
     )
 

@@ -79,3 +79,26 @@ def test_the_tasks_that_group_lines_follow_from_the_lines(spark, frame, monkeypa
     plan = panel._jdf.queryExecution().executedPlan().toString()
     assert plan.count(", 21), REPARTITION_BY_NUM") == 3
     assert sorted(panel.collect(), key=str) == want
+
+
+def test_tasks_are_dealt_though_shuffle_partitions_are_many(spark, frame, monkeypatch):
+    lines = [(i % 7, i % 5, i % 3, float(i), 0.1) for i in range(42)]
+    given = {
+        "lineitem": frame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_extendedprice double, l_discount double"),
+        "orders": spark.sql("select id o_orderkey, id % 2 o_custkey, timestamp_ntz'1996-02-03 00:00:00' o_orderdate from range(7)"),
+        "supplier": spark.sql("select id s_suppkey, int(id) s_nationkey from range(3)"),
+        "customer": spark.sql("select id c_custkey, int(id) c_nationkey from range(2)"),
+        "part": spark.sql("select id p_partkey, 'n' p_name, concat('b', id % 2) p_brand, 't' p_type from range(5)"),
+    }
+    want = {product: sorted(build_panel(given, product).collect(), key=str) for product in ("p_partkey", "p_brand")}
+    monkeypatch.setattr(transactions, "TASK_LINES", 2)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        for product, exchanges in (("p_partkey", 3), ("p_brand", 2)):
+            panel = build_panel(given, product)
+            plan = panel._jdf.queryExecution().executedPlan().toString()
+            assert plan.count(", 21), REPARTITION_BY_NUM") == exchanges
+            assert sorted(panel.collect(), key=str) == want[product]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
