@@ -28,6 +28,7 @@ import hashlib
 import itertools
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import NamedTuple
@@ -40,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from growthlens.llm.common import written
 from growthlens.llm.word_bpe import WHITE_SPACE, byte_letters
 
-MEMO_CHUNKS = 200_000  # chunks in each of the two generations that a worker remembers
+MEMO_CHUNKS = 400_000  # chunks in each of the two generations that a worker remembers
 MEMO_LENGTH = 64  # characters of the longest chunk that is remembered
 HEAD_PAIRS = 1_000_000  # most pairs of ids whose counts are broadcast, 17 bytes each
 
@@ -55,7 +56,7 @@ class Chunk(NamedTuple):
     n_a: int
     n_b: int
     n_groups: int
-    links: tuple[int, ...]  # A's id times the size of B's vocabulary plus B's id, one per overlap
+    links: array  # 64-bit numbers: A's id times the size of B's vocabulary plus B's id, one per overlap
     groups: str  # "a1,a2|b1;a3|b2"
 
 
@@ -93,6 +94,7 @@ class Aligner:
         self.width = self.b.get_piece_size()
         pieces = [self.b.id_to_piece(i) for i in range(self.width)]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
+        self.names = list(map(str, range(max(self.width, len(self.bytes_a)))))
         self.lengths_a, self.lengths_b = (np.array(list(map(len, x)), np.int64) for x in (self.bytes_a, self.bytes_b))
         self.chunks = self._chunk_pattern(
             [p for i, p in enumerate(pieces) if not self.b.is_control(i) and not self.b.is_byte(i) and not self.b.is_unknown(i)]
@@ -122,11 +124,13 @@ class Aligner:
         raw = text.encode()
         found = self.a.encode(text, add_special_tokens=False)
         ids_a = found.ids
-        pieces = self.b.encode(text[1:], return_type="proto").pieces  # the model adds the space
-        ids_b = [p.id for p in pieces]
+        pieces = self.b.encode(text[1:], return_type="offset_mapping", return_bytes=True)  # the model adds the space
+        ids_b = pieces["ids"]
         if b"".join(map(self.bytes_a.__getitem__, ids_a)) != raw or b"".join(map(self.bytes_b.__getitem__, ids_b)) != raw:
             return None
-        spans = np.array(found.offsets, np.int64).reshape(-1, 2)
+        spans, spans_b = (
+            np.fromiter(itertools.chain.from_iterable(x), np.int64, 2 * len(x)).reshape(-1, 2) for x in (found.offsets, pieces["offsets"])
+        )
         ids_a, ids_b = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
         if len(raw) == len(text):
             byte_at = np.arange(len(raw) + 1)
@@ -134,8 +138,7 @@ class Aligner:
             octets = np.frombuffer(raw, np.uint8)
             byte_at = np.append(np.flatnonzero((octets & 0xC0) != 0x80), len(raw))
         ends_a = byte_ends(spans[:, 0], spans[:, 1], byte_at, self.lengths_a[ids_a])
-        stops = np.array([p.end for p in pieces], np.int64) + 1
-        starts = np.array([p.begin for p in pieces], np.int64) + 1
+        starts, stops = spans_b[:, 0] + 1, spans_b[:, 1] + 1
         starts[:1] = 0
         ends_b = byte_ends(starts, stops, np.arange(len(raw) + 1), self.lengths_b[ids_b])
         return ids_a, ends_a, ids_b, ends_b
@@ -149,25 +152,28 @@ class Aligner:
         # Between neighbouring cuts of either tokenizer lies one token of each: one link.
         cuts = np.union1d(ends_a, ends_b)
         at_a, at_b = np.searchsorted(ends_a, cuts), np.searchsorted(ends_b, cuts)
-        links = (ids_a[at_a] * self.width + ids_b[at_b]).tolist()
+        links = (ids_a[at_a] * self.width + ids_b[at_b]).tobytes()
         common = np.flatnonzero((ends_a[at_a] == cuts) & (ends_b[at_b] == cuts))
         after_a, after_b = (at_a[common] + 1).tolist(), (at_b[common] + 1).tolist()
         borders = cuts[common]
         froms, tos = (np.array(x, np.int64) for x in zip(*ranges, strict=True))
         first, last = np.searchsorted(borders, froms), np.searchsorted(borders, tos)  # the border at each side
         link_from, link_to = np.searchsorted(cuts, froms, "right").tolist(), np.searchsorted(cuts, tos, "right").tolist()
-        text_a, text_b = list(map(str, ids_a.tolist())), list(map(str, ids_b.tolist()))
+        text_a, text_b = (list(map(self.names.__getitem__, x.tolist())) for x in (ids_a, ids_b))
+        groups, a, b = [], 0, 0
+        for next_a, next_b in zip(after_a, after_b, strict=True):  # most groups are one token of each
+            one = text_a[a] if next_a - a == 1 else ",".join(text_a[a:next_a])
+            other = text_b[b] if next_b - b == 1 else ",".join(text_b[b:next_b])
+            groups.append(f"{one}|{other}")
+            a, b = next_a, next_b
         after_a.append(0)  # in front of the first border, which place -1 stands for
         after_b.append(0)
         out = []
         for start, k, k_end, l, l_end in zip(froms.tolist(), first.tolist(), last.tolist(), link_from, link_to, strict=True):
             k = k if start else -1
-            parts, a, b = [], after_a[k], after_b[k]
-            first_a, first_b = a, b
-            for g in range(k + 1, k_end + 1):
-                parts.append(f"{','.join(text_a[a : after_a[g]])}|{','.join(text_b[b : after_b[g]])}")
-                a, b = after_a[g], after_b[g]
-            out.append(Chunk(a - first_a, b - first_b, len(parts), tuple(links[l:l_end]), ";".join(parts)))
+            own = array("q", links[8 * l : 8 * l_end])
+            text = groups[k_end] if k_end - k == 1 else ";".join(groups[k + 1 : k_end + 1])
+            out.append(Chunk(after_a[k_end] - after_a[k], after_b[k_end] - after_b[k], k_end - k, own, text))
         return out
 
     def _align(self, chunks: list[str]) -> Iterator[tuple[str, Chunk | None]]:
@@ -190,7 +196,7 @@ class Aligner:
         for run in filter(None, runs):
             ranges, place = [], 0
             for chunk in run:
-                size = len(chunk.encode())
+                size = len(chunk) if chunk.isascii() else len(chunk.encode())
                 ranges.append((place + 2, place + 2 + size))
                 place += 2 + size
             found = self._aligned("".join(f" a{c}" for c in run), ranges)
@@ -203,7 +209,7 @@ class Aligner:
 
     def known(self, texts: list[list[str]]) -> dict[str, Chunk | None]:
         """The aligned chunks of some texts: those that are not remembered go to the tokenizers together."""
-        wanted = set(itertools.chain.from_iterable(texts))
+        wanted = set().union(*texts)
         found = {c: self.memo[c] for c in wanted if c in self.memo}
         others = wanted - found.keys()
         late = {c: self.older[c] for c in others if c in self.older}
@@ -222,9 +228,9 @@ class Aligner:
         """The aligned chunks of each text, none for a text without tokens."""
         cut = list(map(self.cut, texts))
         known = self.known(cut)
+        lost = {c for c, x in known.items() if x is None}
         for chunks in cut:
-            found = list(map(known.__getitem__, chunks))
-            yield [] if None in found else found
+            yield [] if lost and not lost.isdisjoint(chunks) else list(map(known.__getitem__, chunks))
 
 
 @dataclass(frozen=True)
@@ -299,10 +305,10 @@ def aligned(docs: DataFrame, id_column: str = "doc_id", text: str = "text", path
             for start, texts in _some(batch):
                 counts, digests, links, times = [], [], [], []
                 for chunks in aligner.texts(texts):
-                    codes = np.fromiter(itertools.chain.from_iterable(c.links for c in chunks), np.int64)
-                    counts.append((sum(c.n_a for c in chunks), sum(c.n_b for c in chunks), sum(c.n_groups for c in chunks), len(codes)))
-                    joined = ";".join(c.groups for c in chunks)
-                    digests.append(hashlib.sha256(joined.encode()).hexdigest() if chunks else "")
+                    *numbers, listed, groups = zip(*chunks, strict=True) if chunks else ((),) * 5
+                    codes = np.frombuffer(b"".join(listed), np.int64)
+                    counts.append((*map(sum, numbers), len(codes)))
+                    digests.append(hashlib.sha256(";".join(groups).encode()).hexdigest() if chunks else "")
                     distinct, often = np.unique(codes, return_counts=True)
                     links.append(distinct)
                     times.append(often.astype(np.int32))

@@ -125,3 +125,12 @@ def test_groups_and_an_empty_table(spark, aligner):
     got = {r["doc_id"]: r["groups"] for r in align.align(docs).collect()}
     assert got == {1: brute(aligner, "Hello 世界 x")[3], 2: ""}
     assert align.link_report(docs.limit(0)).count() == 0
+
+
+def test_links_are_packed_and_offsets_come_without_a_message_per_token(aligner, monkeypatch):
+    asked, encode = [], aligner.b.encode
+    monkeypatch.setattr(aligner.b, "encode", lambda text, **options: asked.append(options["return_type"]) or encode(text, **options), raising=False)
+    aligner.memo, aligner.older = {}, {}
+    chunks = next(iter(aligner.texts(["Übung 😀𐍈 two  words"])))
+    assert asked and set(asked) == {"offset_mapping"}
+    assert all(memoryview(c.links).itemsize == 8 for c in chunks)
