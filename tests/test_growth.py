@@ -53,6 +53,11 @@ def test_period_sums_keep_missing_half_null(panel):
     assert got[(15,)]["export_period1"] is None and got[(15,)]["rows1"] == 0
 
 
+def test_period_sums_build_no_lists_of_rows(panel):
+    plan = period_sums(panel, SPEC)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "ObjectHashAggregate" not in plan and "collect_list" not in plan
+
+
 def test_trend_does_not_depend_on_row_order(panel):
     shuffled = panel.orderBy(F.rand(3)).repartition(3)
     assert sorted(trend_table(panel, SPEC).collect()) == sorted(trend_table(shuffled, SPEC).collect())
