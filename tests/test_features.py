@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from growthlens.config import PeriodSpec, Splits
+from growthlens.operators import features
 from growthlens.operators.features import FEATURE_COLUMNS, build_features, global_moments
 from growthlens.plans.materialise import materialise
 from growthlens.plans.pipeline import write_panel
@@ -126,3 +127,14 @@ def test_colocated_run_is_equal_and_joins_without_shuffling_the_panel(spark, fra
             assert "Exchange" not in colocal._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_pair_table_of_a_colocated_run_is_written_once(frame, monkeypatch):
+    panel, _ = write_panel(frame(random_panel(6), PANEL), True)
+    names, written = [], features.materialise
+    monkeypatch.setattr(features, "materialise", lambda df, name="frame": names.append(name) or written(df, name))
+    for ranks in (True, False):
+        found = features.pair_features(panel, SPLITS.train, colocate=True, ranks=ranks)
+        assert found.count() == features.trend_table(panel, SPLITS.train).count() > 0
+        assert found.filter("export_trend_pct_rank is not null").isEmpty() is not ranks
+    assert names == ["pairs", "pairs"]

@@ -193,3 +193,13 @@ def test_four_ranks_share_one_window_over_narrow_rows(spark):
     dealt = next(line for line in plan.splitlines() if "Exchange hashpartitioning(_column" in line)
     below = plan[plan.index(dealt) :]
     assert "text0" not in below
+
+
+def test_ranks_of_several_columns_shuffle_no_weights_of_buckets(frame):
+    df = materialise(frame([(None, 1.0, -2.0), *[(i, float(i % 3), -float(i)) for i in range(9)]], "k long, a double, b double"))
+    ranked = global_rank(df, {"a": "ra", "b": "rb"}, ["k"])
+    lines = ranked._jdf.queryExecution().executedPlan().toString().splitlines()
+    dealt = [i for i, line in enumerate(lines) if "Exchange hashpartitioning(_column" in line]
+    assert dealt and not any("_below" in lines[i + 1] or "_inside" in lines[i + 1] for i in dealt)
+    got = by_key(ranked, "k")
+    assert got[(None,)]["ra"] == 4 and got[(None,)]["rb"] == 3 and got[(8,)]["ra"] == 1 and got[(8,)]["rb"] == 10
